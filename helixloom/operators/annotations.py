@@ -72,16 +72,21 @@ def build_consequences(csq: Column | str, fields: Sequence[str], types: Mapping[
             return F.when(F.size(F.array_distinct(filled)) == 1, F.get(filled, F.lit(0)))
         return _last(filled)
 
+    def values_at(i: int) -> Column:
+        return F.transform(transcripts, lambda t: _nth(t, i))
+
+    def ids_of(lists: Column, prefix: str) -> Column:
+        ids = F.transform(lists, lambda one: F.filter(one, lambda x: x.startswith(prefix)))
+        return _last(F.filter(ids, lambda one: F.size(one) > 0))
+
     variant: dict[str, Column] = {}
     for i, f in enumerate(fields):
         if f in V.VEP_TRANSCRIPT_FIELDS or f in V.VEP_VARIANT_SKIPPED:
             continue
-        values = F.transform(transcripts, lambda t, i=i: _nth(t, i))
+        values = values_at(i)
         if f == "Existing_variation":
             lists = F.transform(values, lambda v: F.split(v, "&"))
-            for target, prefix in (("COSMIC_ID", "COSM"), ("dbSNP_ID", "rs")):
-                ids = F.transform(lists, lambda l, p=prefix: F.filter(l, lambda x: x.startswith(p)))
-                variant[target] = _last(F.filter(ids, lambda l: F.size(l) > 0))
+            variant["COSMIC_ID"], variant["dbSNP_ID"] = ids_of(lists, "COSM"), ids_of(lists, "rs")
             continue
         value = pick(values)
         if types.get(f) == "integer":

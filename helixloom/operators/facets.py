@@ -52,6 +52,11 @@ def facet(df: DataFrame, field: str, top: int = V.FACET_VALUES) -> DataFrame:
     return best.select("value", "n", F.row_number().over(order).alias("position"))
 
 
+def _labelled(values: Column, kind: T.DataType, field: str) -> Column:
+    kept = F.filter(values, lambda v: _kept(kind, v))
+    return F.transform(kept, lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
+
+
 def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> DataFrame:
     """All facets in one pass over the data: field, value (text), n, position.
 
@@ -71,8 +76,7 @@ def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> D
             kind, values = df.schema[path].dataType.elementType[member].dataType, F.col(path)[member]
             if isinstance(kind, T.ArrayType):
                 values, kind = F.flatten(values), kind.elementType
-        kept = F.filter(values, lambda v, kind=kind: _kept(kind, v))
-        pairs.append(F.transform(kept, lambda v, f=f: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))))
+        pairs.append(_labelled(values, kind, f))
     empty = F.array().cast("array<struct<field:string,value:string>>")
     exploded = df.select(F.explode(F.concat(*[F.coalesce(p, empty) for p in pairs])).alias("p"))
     counts = exploded.groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
