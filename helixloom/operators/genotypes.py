@@ -189,3 +189,33 @@ def sample_arrays(genotypes: DataFrame, keys: Sequence[str], path: str = "sample
 def family_elements(df: DataFrame, path: str, family: str, field: str = "Family_ID") -> DataFrame:
     """Keep only the array elements of one family."""
     return df.withColumns({path: F.filter(path, lambda e: F.coalesce(e[field] == family, F.lit(False)))})
+
+
+def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[str], ped: DataFrame,
+                          types: Mapping[str, str] | None = None, keep_homref: bool = True) -> DataFrame:
+    """``unpivot_genotypes`` and ``join_pedigree`` (without siblings) in one pass without a shuffle.
+
+    All samples of a variant stand in one line, so a parent's call is another element of the same
+    array. Where each parent stands follows from the headings and the pedigree; that is at most
+    one number per sample column, read here once.
+    """
+    place = {s: i + 1 for i, s in enumerate(samples)}
+    parents = {r["sample"]: (place.get(r["father"], 0), place.get(r["mother"], 0))
+               for r in ped.filter(F.col("sample").isin(list(samples))).select("sample", "father", "mother").collect()}
+    fathers = F.lit([parents.get(s, (0, 0))[0] for s in samples])
+    mothers = F.lit([parents.get(s, (0, 0))[1] for s in samples])
+
+    def gt_at(places: Column) -> Column:
+        call = lambda p: F.split_part(F.get("calls", p - 1), F.lit(":"), F.lit(1))
+        return F.transform(places, lambda p: F.when(p > 0, call(p)))
+
+    wide = df.select(*keys, "format", F.arrays_zip(
+        F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("call"),
+        gt_at(fathers).alias("Father_Genotype"), gt_at(mothers).alias("Mother_Genotype")).alias("_all"))
+    # A one-call array per row lets the ordinary unpivot type the fields.
+    single = wide.select(*keys, "format", F.explode("_all").alias("_s")).select(
+        *keys, "format", F.array("_s.call").alias("calls"), "_s.Sample_ID", "_s.Father_Genotype", "_s.Mother_Genotype")
+    carried = [*keys, "Sample_ID", "Father_Genotype", "Mother_Genotype"]
+    typed = unpivot_genotypes(single.withColumnRenamed("Sample_ID", "_id"), ["_"], [c if c != "Sample_ID" else "_id" for c in carried],
+                              types, keep_homref).drop("Sample_ID").withColumnRenamed("_id", "Sample_ID")
+    return typed.join(broadcast_if(is_small(ped), enrich_pedigree(ped)), "Sample_ID", "left")

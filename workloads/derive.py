@@ -72,7 +72,7 @@ def pedigree(spark: SparkSession) -> DataFrame:
     """The five trios; each affected child of family 4 lists its cousin's ids as siblings."""
     rows = []
     for fam, sex, child, father, mother in TRIOS:
-        sibs = "'F1C,F2C'" if fam == 4 else "NULL"
+        sibs = "'F2C,F1C'" if fam == 4 else "NULL"
         unaffected = "'F1F,F1M'" if fam == 4 else "NULL"
         rows.append(f"('family{fam}','F{fam}C','F{fam}F','F{fam}M','{sex}','{child}',NULL,{sibs},NULL,NULL,{unaffected},NULL,NULL)")
         rows.append(f"('family{fam}','F{fam}F',NULL,NULL,'1','{father}',NULL,NULL,NULL,NULL,NULL,NULL,NULL)")
