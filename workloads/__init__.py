@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "family"]
+MODULES = ["search", "family", "ingest"]
 
 
 def _load() -> None:
