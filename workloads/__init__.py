@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "family", "ingest"]
+MODULES = ["search", "family", "ingest", "cohorts"]
 
 
 def _load() -> None:
