@@ -39,20 +39,24 @@ def unpivot_genotypes(df: DataFrame, samples: Sequence[str], keys: Sequence[str]
     dropped, PL and the genotype texts stay text. ``nocall``: ``drop`` them, ``keep`` them (for
     parent lookups, then ``drop_uncalled``) or read them as ``homref``.
     """
-    types = dict(types or {})
     named = F.arrays_zip(F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("call"))
-    rows = df.select(*keys, F.split("format", ":").alias("_format"), F.explode(named).alias("_s"))
-    call = F.col("_s.call")
-    rows = rows.select(*keys, "_format", F.col("_s.Sample_ID").alias("Sample_ID"), call.alias("_call"),
-                       F.split(call, ":").alias("_values"))
+    rows = df.select(*keys, "format", F.explode(named).alias("_s"))
+    rows = rows.select(*keys, "format", "_s.Sample_ID", F.col("_s.call").alias("_call"))
+    return _typed_calls(rows, [*keys, "Sample_ID"], types, keep_homref, nocall, group)
+
+
+def _typed_calls(rows: DataFrame, keys: Sequence[str], types: Mapping[str, str] | None, keep_homref: bool,
+                 nocall: str = "drop", group: str | None = None) -> DataFrame:
+    """FORMAT fields of one call per row, after the filters that need only the call's text."""
+    types = dict(types or {})
+    missing_call = F.lit(False)
     if nocall == "homref":
         missing_call = F.split_part("_call", F.lit(":"), F.lit(1)).isin("./.", ".")
-    else:
-        missing_call = F.lit(False)
-        if nocall == "drop":
-            rows = rows.filter(~is_no_call("_call"))
+    elif nocall == "drop":
+        rows = rows.filter(~is_no_call("_call"))
     if not keep_homref:
         rows = rows.filter(~is_hom_ref("_call"))
+    rows = rows.select(*keys, "_call", F.split("format", ":").alias("_format"), F.split("_call", ":").alias("_values"))
 
     def raw(name: str) -> Column:
         at = F.array_position("_format", name)
@@ -79,8 +83,7 @@ def unpivot_genotypes(df: DataFrame, samples: Sequence[str], keys: Sequence[str]
             out.append(parse_int(scalar(name)).cast("int").alias(name))
     if group is not None:
         out.append(F.lit(group.strip("_")).alias("group"))
-    carried = ["_call"] if nocall == "keep" else []
-    return rows.select(*keys, "Sample_ID", *out, *carried)
+    return rows.select(*keys, *out, *(["_call"] if nocall == "keep" else []))
 
 
 def drop_uncalled(g: DataFrame, keep_homref: bool = True) -> DataFrame:
@@ -192,30 +195,38 @@ def family_elements(df: DataFrame, path: str, family: str, field: str = "Family_
 
 
 def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[str], ped: DataFrame,
-                          types: Mapping[str, str] | None = None, keep_homref: bool = True) -> DataFrame:
-    """``unpivot_genotypes`` and ``join_pedigree`` (without siblings) in one pass without a shuffle.
+                          types: Mapping[str, str] | None = None, keep_homref: bool = True, siblings: bool = False) -> DataFrame:
+    """``unpivot_genotypes`` and ``join_pedigree`` in one pass over the lines, without a shuffle.
 
-    All samples of a variant stand in one line, so a parent's call is another element of the same
-    array. Where each parent stands follows from the headings and the pedigree; that is at most
-    one number per sample column, read here once.
+    All samples of a variant stand in one line, so a relative's call is another element of the same
+    array. Where each relative stands follows from the headings and the pedigree; those are a few
+    numbers per sample column, read here once.
     """
     place = {s: i + 1 for i, s in enumerate(samples)}
-    parents = {r["sample"]: (place.get(r["father"], 0), place.get(r["mother"], 0))
-               for r in ped.filter(F.col("sample").isin(list(samples))).select("sample", "father", "mother").collect()}
-    fathers = F.lit([parents.get(s, (0, 0))[0] for s in samples])
-    mothers = F.lit([parents.get(s, (0, 0))[1] for s in samples])
-
-    def gt_at(places: Column) -> Column:
-        call = lambda p: F.split_part(F.get("calls", p - 1), F.lit(":"), F.lit(1))
-        return F.transform(places, lambda p: F.when(p > 0, call(p)))
-
-    wide = df.select(*keys, "format", F.arrays_zip(
-        F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("call"),
-        gt_at(fathers).alias("Father_Genotype"), gt_at(mothers).alias("Mother_Genotype")).alias("_all"))
-    # A one-call array per row lets the ordinary unpivot type the fields.
-    single = wide.select(*keys, "format", F.explode("_all").alias("_s")).select(
-        *keys, "format", F.array("_s.call").alias("calls"), "_s.Sample_ID", "_s.Father_Genotype", "_s.Mother_Genotype")
-    carried = [*keys, "Sample_ID", "Father_Genotype", "Mother_Genotype"]
-    typed = unpivot_genotypes(single.withColumnRenamed("Sample_ID", "_id"), ["_"], [c if c != "Sample_ID" else "_id" for c in carried],
-                              types, keep_homref).drop("Sample_ID").withColumnRenamed("_id", "Sample_ID")
+    wanted = ped.filter(F.col("sample").isin(list(samples))).select(
+        "sample", "father", "mother", F.split("affected_sibs_id", ",").alias("affected"), F.split("unaffected_sibs_id", ",").alias("unaffected"))
+    relatives = {r["sample"]: r for r in wanted.collect()}
+
+    def parent(role: str) -> Column:
+        return F.lit([place.get(relatives[s][role], 0) if s in relatives else 0 for s in samples])
+
+    def listed(role: str) -> Column:
+        return F.array(*[F.lit([place.get(x, 0) for x in (relatives[s][role] if s in relatives else None) or []] or [0]) for s in samples])
+
+    cut = df.select(*keys, "format", "calls", F.transform("calls", lambda c: F.split_part(c, F.lit(":"), F.lit(1))).alias("_gts"))
+
+    def gt(p: Column) -> Column:
+        return F.when(p > 0, F.get("_gts", p - 1))
+
+    def joined(places: Column) -> Column:
+        found = F.array_compact(F.transform(places, gt))
+        return F.when(F.size(found) > 0, F.array_join(found, ","))
+
+    found = {"Father_Genotype": F.transform(parent("father"), gt), "Mother_Genotype": F.transform(parent("mother"), gt)}
+    if siblings:
+        found["Affected_Siblings_Genotypes"] = F.transform(listed("affected"), joined)
+        found["Unaffected_Siblings_Genotypes"] = F.transform(listed("unaffected"), joined)
+    zipped = F.arrays_zip(F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("_call"), *[c.alias(n) for n, c in found.items()])
+    rows = cut.select(*keys, "format", F.explode(zipped).alias("_s")).select(*keys, "format", "_s.*")
+    typed = _typed_calls(rows, [*keys, "Sample_ID", *found], types, keep_homref)
     return typed.join(broadcast_if(is_small(ped), enrich_pedigree(ped)), "Sample_ID", "left")

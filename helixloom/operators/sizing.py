@@ -17,3 +17,13 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
     """Hint a broadcast for a side of checked size; beyond it Spark joins by shuffle and splits skew."""
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the input came as fewer partitions than there are cores.
+
+    One small file is one partition, and so is one gzip file of any size; rows that are about to
+    be multiplied or parsed should not stay in it. Inputs with enough partitions are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

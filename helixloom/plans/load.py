@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixloom.operators.annotations import annotate
-from helixloom.operators.genotypes import drop_uncalled, join_pedigree, unpivot_genotypes
+from helixloom.operators.genotypes import unpivot_genotypes, unpivot_with_pedigree
 from helixloom.operators.inheritance import lof_condition, tag_modes
 from helixloom.operators.info import csq_types, parse_info, profile_fields, refine_catalog, with_info
 from helixloom.sources.vcf import Catalog, normalize_variants, read_catalog, read_vcf, split_rejects
@@ -81,8 +81,7 @@ def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assem
     if ped is None:
         samples = unpivot_genotypes(variants, catalog.samples, KEYS, catalog.format, keep_homref=False)
         return long_tables(variants, samples), bad
-    calls = unpivot_genotypes(variants, catalog.samples, [*KEYS, "lof"], catalog.format, nocall="keep")
-    enriched = drop_uncalled(join_pedigree(calls, ped, [*KEYS, "lof"], siblings=True))
+    enriched = unpivot_with_pedigree(variants, catalog.samples, [*KEYS, "lof"], ped, catalog.format, siblings=True)
     has_genes = {"CSQ_nested", "AAChange_refGene"} & set(variants.columns)
     tagged = tag_modes(enriched, lof_genes(variants) if has_genes else None, assembly)
     return long_tables(variants, tagged), bad

@@ -130,8 +130,8 @@ def test_in_line_pedigree_agrees_with_the_join(spark, files):
     raw, _ = vcf.split_rejects(vcf.read_vcf(spark, str(files / "cohort.vcf")))
     ped = read_ped(spark, str(files / "cohort.ped"))
     samples, types = ["KID", "DAD", "MUM", "SIS"], {"DP": "integer", "GQ": "integer", "PL": "string"}
-    joined = N.drop_uncalled(N.join_pedigree(N.unpivot_genotypes(raw, samples, ["POS"], types, nocall="keep"), ped, ["POS"]))
-    in_line = N.unpivot_with_pedigree(raw, samples, ["POS"], ped, types)
+    joined = N.drop_uncalled(N.join_pedigree(N.unpivot_genotypes(raw, samples, ["POS"], types, nocall="keep"), ped, ["POS"], siblings=True))
+    in_line = N.unpivot_with_pedigree(raw, samples, ["POS"], ped, types, siblings=True)
     assert sorted(map(str, joined.select(*sorted(joined.columns)).collect())) == sorted(map(str, in_line.select(*sorted(joined.columns)).collect()))
     assert "Exchange hashpartitioning" not in in_line._jdf.queryExecution().executedPlan().toString()
 

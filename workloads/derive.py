@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
+from helixloom.operators.sizing import spread
 from helixloom.sources.warehouse import Tables
 
 # The five trios: family, child sex, phenotypes of child, father, mother.
@@ -99,7 +100,7 @@ def calls(k: Column) -> Column:
 def genotypes(spark: SparkSession, sf: str) -> DataFrame:
     """Genotype rows of the whole cohort, one per variant and sample."""
     k = F.col("variant_key")
-    return variants(spark, sf).select(
+    return spread(variants(spark, sf)).select(
         "variant_key", F.explode(F.arrays_zip(F.lit(SAMPLES).alias("Sample_ID"), calls(k).alias("call"))).alias("s")
     ).select("variant_key", "s.Sample_ID", F.split_part("s.call", F.lit(":"), F.lit(1)).alias("GT"))
 
@@ -111,7 +112,7 @@ def trio_rows(spark: SparkSession, sf: str) -> DataFrame:
     fams = F.explode(F.array(*[F.struct(F.lit(f).alias("fam"), F.lit(s).alias("Sex"), F.lit(c).alias("Phenotype"),
                                         F.lit(fp).alias("Father_Phenotype"), F.lit(mp).alias("Mother_Phenotype"))
                                for f, s, c, fp, mp in TRIOS])).alias("f")
-    rows = variants(spark, sf).select("variant_key", "CHROM", "POS", "gene", "lof", fams).select(
+    rows = spread(variants(spark, sf)).select("variant_key", "CHROM", "POS", "gene", "lof", fams).select(
         "variant_key", "CHROM", "POS", "gene", "lof", "f.*")
     return rows.select(
         "variant_key", "CHROM", "POS", "gene", "lof", F.concat(F.lit("F"), F.col("fam"), F.lit("C")).alias("Sample_ID"),

@@ -9,6 +9,7 @@ from helixloom.functions.scalars import alt_count
 from helixloom.operators import facets as G
 from helixloom.operators import genotypes as N
 from helixloom.operators import inheritance as I
+from helixloom.operators.sizing import spread
 from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec, run_spec_nested, search_mode
 from helixloom.sources.warehouse import Tables
 from workloads import derive as D
@@ -169,7 +170,7 @@ def _(spark, sf):
 @query("unpivot_genotypes", f"""{WITH} SELECT g.variant_key, g."Sample_ID", g."GT", (g.variant_key % 50 + 10)::INT AS "AD_ref",
  (g.variant_key % 30 + substr("Sample_ID", 2, 1)::INT)::INT AS "AD_alt", (g.variant_key % 80 + 10)::INT AS "DP", (g.variant_key % 99)::INT AS "GQ" FROM gts g""")
 def _(spark, sf):
-    raw = D.variants(spark, sf).select("variant_key", F.lit("GT:AD:DP:GQ").alias("format"), D.calls(F.col("variant_key")).alias("calls"))
+    raw = spread(D.variants(spark, sf)).select("variant_key", F.lit("GT:AD:DP:GQ").alias("format"), D.calls(F.col("variant_key")).alias("calls"))
     return N.unpivot_genotypes(raw, D.SAMPLES, KEYS, {"GT": "string", "AD": "integer", "DP": "integer", "GQ": "integer"})
 
 
@@ -179,7 +180,7 @@ def _raw_with_gaps(spark, sf) -> DataFrame:
     shapes = F.element_at(F.lit(["./.:.:.", ".|.", "0/.:3,4:9", ".|0:1,1:2", "./0:5,6:7"]), (k % 5 + 1).cast("int"))
     at = F.col("variant_key") % 7 == 0
     cells = F.transform(D.calls(k), lambda c, i: F.when(at & (i >= 3) & (i < 6), shapes).otherwise(c))
-    return D.variants(spark, sf).select("variant_key", F.lit("GT:AD:DP:GQ").alias("format"), cells.alias("calls"))
+    return spread(D.variants(spark, sf)).select("variant_key", F.lit("GT:AD:DP:GQ").alias("format"), cells.alias("calls"))
 
 
 _GAPS = f"""gap AS (SELECT variant_key, "Sample_ID", CASE WHEN variant_key % 7 = 0 AND "Sample_ID" LIKE 'F2%'
@@ -223,15 +224,25 @@ def _(spark, sf):
     return g.select(*_FAMILY_COLUMNS)
 
 
-@query("join_siblings", f"""{WITH} SELECT g.variant_key, g."Sample_ID", g."GT", CASE WHEN g."Sample_ID" = 'F4C' THEN a."GT" || ',' || b."GT" END AS "Affected_Siblings_Genotypes",
+_SIBLINGS = f"""{WITH} SELECT g.variant_key, g."Sample_ID", g."GT", CASE WHEN g."Sample_ID" = 'F4C' THEN a."GT" || ',' || b."GT" END AS "Affected_Siblings_Genotypes",
  CASE WHEN g."Sample_ID" = 'F4C' THEN c."GT" || ',' || d."GT" END AS "Unaffected_Siblings_Genotypes" FROM gts g
  JOIN gts a ON a.variant_key = g.variant_key AND a."Sample_ID" = 'F2C' JOIN gts b ON b.variant_key = g.variant_key AND b."Sample_ID" = 'F1C'
- JOIN gts c ON c.variant_key = g.variant_key AND c."Sample_ID" = 'F1F' JOIN gts d ON d.variant_key = g.variant_key AND d."Sample_ID" = 'F1M'""")
+ JOIN gts c ON c.variant_key = g.variant_key AND c."Sample_ID" = 'F1F' JOIN gts d ON d.variant_key = g.variant_key AND d."Sample_ID" = 'F1M'"""
+
+
+@query("join_siblings", _SIBLINGS)
 def _(spark, sf):
     out = N.join_siblings(D.genotypes(spark, sf), D.pedigree(spark), KEYS)
     return out.select("variant_key", "Sample_ID", "GT", "Affected_Siblings_Genotypes", "Unaffected_Siblings_Genotypes")
 
 
+@query("join_siblings_in_line", _SIBLINGS)
+def _(spark, sf):
+    raw = spread(D.variants(spark, sf)).select("variant_key", F.lit("GT:AD:DP:GQ").alias("format"), D.calls(F.col("variant_key")).alias("calls"))
+    out = N.unpivot_with_pedigree(raw, D.SAMPLES, KEYS, D.pedigree(spark), siblings=True)
+    return out.select("variant_key", "Sample_ID", "GT", "Affected_Siblings_Genotypes", "Unaffected_Siblings_Genotypes")
+
+
 @query("trio_carriers", f"""{WITH} SELECT 'family' || substr("Sample_ID", 2, 1) AS "Family_ID", "Sample_ID" AS child, count(*) AS carried FROM gts
  WHERE "Sample_ID" LIKE '%C' AND "GT" NOT IN ('0/0', '0|0') GROUP BY ALL""")
 def _(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.operators.info import with_info
+from helixloom.operators.sizing import spread
 from helixloom.sources.vcf import split_lines
 from workloads import derive as D
 
@@ -64,7 +65,7 @@ def lines(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     ``broken`` spoils some lines: a bad POS, a bad QUAL, too few columns, or all calls missing.
     """
     k = F.col("variant_key")
-    v = D.variants(spark, sf)
+    v = spread(D.variants(spark, sf))
     ident = F.when(k % 3 == 0, text("rs", k)).when(k % 3 == 1, ".").otherwise(text("id", k))
     qual = F.when(k % 10 == 0, ".").otherwise((k % 90 + 0.5).cast("string"))
     filt = F.when(k % 4 == 0, "PASS").when(k % 4 == 1, "q10;s50").otherwise("q10")
