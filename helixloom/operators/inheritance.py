@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
 from helixloom.operators.predicates import Nested, nested_term, nested_terms, not_terms, outside
+from helixloom.operators.sizing import is_small
 
 
 def _is(name: str, values: Sequence[str] | str) -> Column:
@@ -126,21 +127,35 @@ def _from_father() -> Column:
     return _is("Father_Genotype", V.HET) & _is("Mother_Genotype", V.HOM_REF)
 
 
-def compound_het(g: DataFrame, genes: DataFrame, variant: str = "variant_key", child: str = "Sample_ID") -> DataFrame:
-    """Candidate rows of every (child, gene) that has a maternal and a paternal variant.
+def compound_pairs(hits: DataFrame, child: str = "Sample_ID") -> DataFrame:
+    """(child, gene) with a maternal and a paternal variant among candidate rows.
 
-    ``genes`` lists the variant's genes in which it is loss-of-function (variant, gene). Rows
-    are filtered first; the group test keeps two booleans per (child, gene) and combines
-    map-side, so a gene with very many variants costs no more than a small one. No pairs are
-    formed: all candidates of a qualifying gene are returned, through a semi join.
+    Two booleans per group, combined map-side: a gene with very many variants costs no more
+    than a small one, and no pairs of variants are formed.
     """
-    hits = (g.filter(compound_candidate()).drop("gene")
-            .join(genes.select(variant, "gene").distinct(), variant))
-    both = (hits.groupBy(child, "gene")
+    return (hits.groupBy(child, "gene")
             .agg(F.max(F.coalesce(_from_mother(), F.lit(False))).alias("_m"),
                  F.max(F.coalesce(_from_father(), F.lit(False))).alias("_f"))
             .filter("_m and _f").select(child, "gene"))
-    return hits.join(both, [child, "gene"], "left_semi")
+
+
+def _gene_rows(g: DataFrame, genes: DataFrame | str, variant: str) -> DataFrame:
+    """Candidate rows once per gene in which their variant is loss-of-function."""
+    candidates = g.filter(compound_candidate())
+    if isinstance(genes, str):
+        rest = [c for c in g.columns if c not in ("gene", genes)]
+        return candidates.select(*rest, F.explode(F.array_distinct(genes)).alias("gene"))
+    return candidates.drop("gene").join(genes.select(variant, "gene").distinct(), variant)
+
+
+def compound_het(g: DataFrame, genes: DataFrame | str, variant: str = "variant_key", child: str = "Sample_ID") -> DataFrame:
+    """Candidate rows of every (child, gene) that has a maternal and a paternal variant.
+
+    ``genes`` is the array column of genes in which the row's variant is loss-of-function, which
+    needs no join, or a table (variant, gene). All candidates of a qualifying gene are returned.
+    """
+    hits = _gene_rows(g, genes, variant)
+    return hits.join(compound_pairs(hits, child), [child, "gene"], "left_semi")
 
 
 def candidate_genes(g: DataFrame, genes: DataFrame, variant: str = "variant_key") -> DataFrame:
@@ -152,18 +167,41 @@ def candidate_genes(g: DataFrame, genes: DataFrame, variant: str = "variant_key"
 
 # --- tagging and reading tags ------------------------------------------------------------
 
-def tag_modes(g: DataFrame, genes: DataFrame | None = None, assembly: str = "hg19", strict: bool = False,
+# Qualifying (child, gene) pairs up to this number, some 50 MB, may be sent to every executor.
+PAIR_ROWS = 1_000_000
+
+
+def _mark_compound(g: DataFrame, genes: DataFrame | str, variant: str, child: str) -> DataFrame:
+    """Add ``_compound``. Only candidate rows are ever shuffled, never the whole genotype table."""
+    candidate = F.coalesce(compound_candidate(), F.lit(False))
+    if isinstance(genes, str):
+        pairs = compound_pairs(_gene_rows(g, genes, variant), child).persist()
+        if is_small(pairs, PAIR_ROWS):
+            sets = pairs.groupBy(child).agg(F.collect_list("gene").alias("_pairs"))
+            marked = g.join(F.broadcast(sets), child, "left")
+            overlap = F.coalesce(F.arrays_overlap(genes, "_pairs"), F.lit(False))
+            return marked.withColumn("_compound", candidate & overlap).drop("_pairs")
+        pairs.unpersist()
+    hits = compound_het(g, genes, variant, child).select(variant, child).distinct().withColumn("_compound", F.lit(True))
+    mine = g.filter(candidate).join(hits, [variant, child], "left").withColumn("_compound", F.coalesce("_compound", F.lit(False)))
+    return g.filter(~candidate).withColumn("_compound", F.lit(False)).unionByName(mine)
+
+
+def tag_modes(g: DataFrame, genes: DataFrame | str | None = None, assembly: str = "hg19", strict: bool = False,
               variant: str = "variant_key", child: str = "Sample_ID") -> DataFrame:
-    """Add ``mendelian_diseases``: all modes of each row in one pass; tagging twice changes nothing."""
-    tests = row_modes(assembly, strict)
+    """Add ``mendelian_diseases``: all modes of each row in one pass; tagging twice changes nothing.
+
+    With ``genes`` as an array column, compound heterozygosity costs one extra scan of the
+    candidates and a broadcast of the qualifying pairs, whose number is checked first.
+    """
+    columns, tests = g.columns, row_modes(assembly, strict)
     if genes is not None:
-        hits = compound_het(g, genes, variant, child).select(variant, child).distinct()
-        g = g.join(hits.withColumn("_compound", F.lit(True)), [variant, child], "left")
-        tests["compound_heterozygous"] = F.coalesce("_compound", F.lit(False))
+        g = _mark_compound(g, genes, variant, child)
+        tests["compound_heterozygous"] = F.col("_compound")
     found = F.array_compact(F.array(*[F.when(tests[m], F.lit(m)) for m in V.MODES if m in tests]))
-    if "mendelian_diseases" in g.columns:
+    if "mendelian_diseases" in columns:
         found = F.array_union(F.coalesce("mendelian_diseases", F.array().cast("array<string>")), found)
-    return g.withColumn("mendelian_diseases", found).drop("_compound")
+    return g.select(*[F.col(f"`{c}`") for c in columns if c != "mendelian_diseases"], found.alias("mendelian_diseases"))
 
 
 def mode_counts(tagged: DataFrame, variant: str = "variant_key", child: str = "Sample_ID") -> DataFrame:

@@ -17,7 +17,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.functions.scalars import column, tokens
+from helixloom.functions.scalars import column
 
 
 def _values(v: Any) -> list:
@@ -94,8 +94,17 @@ def outside(c: Column | str, low: Any, high: Any) -> Column:
 
 
 def text_term(c: Column | str, v: str, analyzer: str = "simple") -> Column:
-    """A whole word of an analysed text. The word is lower-cased unless split on whitespace."""
-    return F.array_contains(tokens(c, analyzer), v if analyzer == "whitespace" else v.lower())
+    """A whole word of an analysed text: a lower-cased run of letters, or as written between blanks.
+
+    One regular expression search; no list of all the text's words is built. A value that could
+    never be one word matches nothing.
+    """
+    c, word = column(c), v if analyzer == "whitespace" else v.lower()
+    if not word or (any(x.isspace() for x in word) if analyzer == "whitespace" else not word.isalpha()):
+        return c.isNotNull() & F.lit(False)
+    if analyzer == "whitespace":
+        return c.rlike(rf"(^|\s)\Q{word}\E(\s|$)")
+    return F.lower(c).rlike(rf"(^|[^\p{{L}}]){word}([^\p{{L}}]|$)")
 
 
 def any_of(*preds: Column) -> Column:

@@ -104,7 +104,7 @@ def _first_value(candidates: Sequence[Column]) -> Column:
 
 def flatten_long(base: DataFrame, key: str | Sequence[str], elements: Mapping[str, DataFrame],
                  fields: Mapping[str, Sequence[str]], keep: Sequence[str] = (),
-                 preds: Iterable[Nested] = ()) -> DataFrame:
+                 preds: Iterable[Nested] = (), unique: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """The same rows from long tables, one row per element, without building any array.
 
     Each element table is filtered, cut to the wanted fields and made distinct on its own; that
@@ -123,7 +123,10 @@ def flatten_long(base: DataFrame, key: str | Sequence[str], elements: Mapping[st
         members = list(fields.get(p, ()))
         if members:
             names = {f: f"_{i}_{f}" for f in members}
-            side = kept.select(*keys, *[quoted(f).alias(n) for f, n in names.items()]).distinct()
+            side = kept.select(*keys, *[quoted(f).alias(n) for f, n in names.items()])
+            identity = (unique or {}).get(p)
+            if not identity or not set(identity) <= set(members):
+                side = side.distinct()
             out = out.join(side, keys, "inner" if p in grouped else "left")
             shown[p] = (members, lambda f, names=names: quoted(names[f]))
         elif p in grouped:

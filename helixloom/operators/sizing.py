@@ -1,8 +1,11 @@
-"""Broadcast only what has been counted."""
+"""Sides of checked size, small inputs spread out, results written once for several readers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A pedigree row is a few hundred bytes, so this stays well below the 8 GB broadcast limit.
@@ -27,3 +30,24 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, as the session names it; a temporary one only in local mode."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="helixloom-")
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write once to the shared folder and go on from there.
+
+    Several outputs of one costly plan then read columns of a stored table, and a lost executor
+    costs a re-read and not the whole lineage.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

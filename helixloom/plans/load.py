@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,26 +10,27 @@ from helixloom.operators.annotations import annotate
 from helixloom.operators.genotypes import unpivot_genotypes, unpivot_with_pedigree
 from helixloom.operators.inheritance import lof_condition, tag_modes
 from helixloom.operators.info import csq_types, parse_info, profile_fields, refine_catalog, with_info
+from helixloom.operators.sizing import written
 from helixloom.sources.vcf import Catalog, normalize_variants, read_catalog, read_vcf, split_rejects
 from helixloom.sources.warehouse import Tables
 
 KEYS = ["variant_key", "CHROM", "POS"]
 
 
-def lof_genes(variants: DataFrame) -> DataFrame:
-    """(variant, gene) pairs in which a variant is loss-of-function.
+def lof_genes(variants: DataFrame) -> Column:
+    """Genes in which a variant is loss-of-function, as an array column.
 
     VEP: gene and consequence must be on the same transcript. ANNOVAR: the variant as a whole is
     loss-of-function, its genes come from its transcript changes.
     """
     if "CSQ_nested" in variants.columns:
-        e = variants.select("variant_key", F.explode("CSQ_nested").alias("c"))
-        found = e.filter(lof_condition(F.col("c.Consequence"))).select("variant_key", F.col("c.SYMBOL").alias("gene"))
-    else:
+        hit = F.filter("CSQ_nested", lambda e: lof_condition(e["Consequence"]))
+        return F.array_distinct(F.array_compact(F.transform(hit, lambda e: e["SYMBOL"])))
+    if "AAChange_refGene" in variants.columns:
         flags = [c for c in variants.columns if c.startswith(("ExonicFunc_", "Func_"))]
-        e = variants.filter(lof_condition(columns=flags)).select("variant_key", F.explode("AAChange_refGene").alias("c"))
-        found = e.select("variant_key", F.col("c.Gene").alias("gene"))
-    return found.filter(F.col("gene").isNotNull()).distinct()
+        genes = F.array_distinct(F.array_compact(F.transform("AAChange_refGene", lambda e: e["Gene"])))
+        return F.when(lof_condition(columns=flags), genes)
+    return F.lit(None).cast("array<string>")
 
 
 def with_lof(variants: DataFrame) -> DataFrame:
@@ -65,11 +66,12 @@ def long_tables(variants: DataFrame, genotypes: DataFrame | None = None) -> Tabl
 
 
 def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assembly: str = "hg19",
-             partitions: int | None = None, profile: bool = True) -> tuple[Tables, DataFrame]:
+             partitions: int | None = None, profile: bool = True, stage: bool = True) -> tuple[Tables, DataFrame]:
     """Warehouse tables of a VCF and its rejected lines.
 
     With a pedigree all calls are kept, enriched and tagged; without one reference calls are
-    dropped. ``profile`` corrects the declared types by a pass over all lines.
+    dropped. ``profile`` corrects the declared types by a pass over all lines. The parsed lines
+    are written once to the shared folder (``stage``), since every table is made from them.
     """
     catalog = read_catalog(spark, path)
     good, bad = split_rejects(read_vcf(spark, path, partitions))
@@ -78,10 +80,12 @@ def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assem
         found = profile_fields(good, catalog.csq_fields)
         catalog, types = refine_catalog(catalog, found), csq_types(catalog, found)
     variants = with_lof(parse_variants(good, catalog, types))
+    if stage:
+        variants = written(variants, "variants")
     if ped is None:
         samples = unpivot_genotypes(variants, catalog.samples, KEYS, catalog.format, keep_homref=False)
-        return long_tables(variants, samples), bad
-    enriched = unpivot_with_pedigree(variants, catalog.samples, [*KEYS, "lof"], ped, catalog.format, siblings=True)
-    has_genes = {"CSQ_nested", "AAChange_refGene"} & set(variants.columns)
-    tagged = tag_modes(enriched, lof_genes(variants) if has_genes else None, assembly)
-    return long_tables(variants, tagged), bad
+    else:
+        carried = [*KEYS, "lof", "_genes"]
+        calls = unpivot_with_pedigree(variants.withColumn("_genes", lof_genes(variants)), catalog.samples, carried, ped, catalog.format, siblings=True)
+        samples = tag_modes(calls, "_genes", assembly).drop("_genes")
+    return long_tables(variants, samples), bad

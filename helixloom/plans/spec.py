@@ -188,7 +188,7 @@ def run_spec(tables: Tables, spec: QuerySpec, reviews: DataFrame | None = None,
         rows = _kindred_long(rows, tables, nested, spec.kindred)
     wanted = spec.nested_attributes()
     involved = {p: tables.paths[p] for p in dict.fromkeys([*P.by_path(nested), *wanted])}
-    out = S.flatten_long(rows, key, involved, wanted, spec.flat_attributes(), nested)
+    out = S.flatten_long(rows, key, involved, wanted, spec.flat_attributes(), nested, tables.unique)
     return _finish(out, spec, key, spec.limit if limit == "spec" else limit, order)
 
 

@@ -17,11 +17,16 @@ RECORDS_PER_FILE = 20_000_000
 
 @dataclass
 class Tables:
-    """A warehouse in the long layout: ``base`` has one row per document, each path one per element."""
+    """A warehouse in the long layout: ``base`` has one row per document, each path one per element.
+
+    ``unique`` names, per path, the fields that tell a document's elements apart (such as the
+    sample id); a search that shows them needs no de-duplication there.
+    """
 
     base: DataFrame
     paths: dict[str, DataFrame] = field(default_factory=dict)
     key: str = "variant_key"
+    unique: dict[str, list[str]] = field(default_factory=dict)
 
 
 def write_warehouse(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:

@@ -115,7 +115,7 @@ def trio_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(variants(spark, sf)).select("variant_key", "CHROM", "POS", "gene", "lof", fams).select(
         "variant_key", "CHROM", "POS", "gene", "lof", "f.*")
     return rows.select(
-        "variant_key", "CHROM", "POS", "gene", "lof", F.concat(F.lit("F"), F.col("fam"), F.lit("C")).alias("Sample_ID"),
+        "variant_key", "CHROM", "POS", "lof", F.when(F.col("lof"), F.array("gene")).alias("genes"), F.concat(F.lit("F"), F.col("fam"), F.lit("C")).alias("Sample_ID"),
         F.concat(F.lit("family"), F.col("fam")).alias("Family_ID"), "Sex", "Phenotype", "Father_Phenotype", "Mother_Phenotype",
         _gt(k, "child", F.col("fam")).alias("GT"), _gt(k, "father", F.col("fam")).alias("Father_Genotype"),
         _gt(k, "mother", F.col("fam")).alias("Mother_Genotype"))

@@ -67,6 +67,11 @@ _mode_query("x_linked_dominant_hg38", lambda: I.x_linked_dominant("hg38"), _x_do
 
 
 @query("compound_heterozygous", f'{WITH}, {COMPOUND_CTE} SELECT variant_key, "Sample_ID", gene FROM compound')
+def _(spark, sf):
+    return I.compound_het(D.trio_rows(spark, sf), "genes").select("variant_key", "Sample_ID", "gene")
+
+
+@query("compound_heterozygous_gene_table", f'{WITH}, {COMPOUND_CTE} SELECT variant_key, "Sample_ID", gene FROM compound')
 def _(spark, sf):
     return I.compound_het(D.trio_rows(spark, sf), D.gene_table(spark, sf)).select("variant_key", "Sample_ID", "gene")
 
@@ -83,7 +88,7 @@ _ORDER = " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(["autosomal_reces
 
 
 def tagged(spark, sf) -> DataFrame:
-    return I.tag_modes(D.trio_rows(spark, sf), D.gene_table(spark, sf))
+    return I.tag_modes(D.trio_rows(spark, sf), "genes")
 
 
 @query("tag_modes", f"""{WITH}, {COMPOUND_CTE}, tags AS ({_TAGGED}) SELECT variant_key, "Sample_ID",
@@ -92,9 +97,15 @@ def _(spark, sf):
     return tagged(spark, sf).select("variant_key", "Sample_ID", F.array_join("mendelian_diseases", ",").alias("modes"))
 
 
+@query("tag_modes_gene_table", f"""{WITH}, {COMPOUND_CTE}, tags AS ({_TAGGED}) SELECT variant_key, "Sample_ID", mode FROM tags""")
+def _(spark, sf):
+    out = I.tag_modes(D.trio_rows(spark, sf), D.gene_table(spark, sf))
+    return out.select("variant_key", "Sample_ID", F.explode("mendelian_diseases").alias("mode"))
+
+
 @query("tag_modes_twice", f"""{WITH}, {COMPOUND_CTE}, tags AS ({_TAGGED}) SELECT mode, count(*) AS samples FROM tags GROUP BY 1""")
 def _(spark, sf):
-    return I.mode_counts(I.tag_modes(tagged(spark, sf), D.gene_table(spark, sf)))
+    return I.mode_counts(I.tag_modes(tagged(spark, sf), "genes"))
 
 
 @query("mode_counts", f"""{WITH}, {COMPOUND_CTE}, tags AS ({_TAGGED}) SELECT mode, count(DISTINCT (variant_key, "Sample_ID")) AS samples FROM tags GROUP BY 1""")
@@ -104,7 +115,7 @@ def _(spark, sf):
 
 def _tables(spark, sf) -> Tables:
     base = D.variants(spark, sf).select("variant_key", "CHROM", "POS", "gene", "p_size")
-    return Tables(base, {"sample": tagged(spark, sf).drop("CHROM", "POS", "gene", "lof")})
+    return Tables(base, {"sample": tagged(spark, sf).drop("CHROM", "POS", "genes", "lof")}, unique={"sample": ["Sample_ID"]})
 
 
 _MODE_SPEC = QuerySpec([Attribute("CHROM"), Attribute("gene"), Attribute("Sample_ID", "sample"), Attribute("GT", "sample")],
