@@ -92,3 +92,13 @@ def test_par_by_assembly(spark):
 def test_kindred(spark, n, want):
     df = spark.createDataFrame([("v1", "f1"), ("v1", "f2"), ("v2", "f1")], "variant_key string, Family_ID string")
     assert I.kindred(df, n).count() == want
+
+
+def test_marking_agrees_with_and_without_broadcast(spark, sf, monkeypatch):
+    from workloads import derive as D
+
+    g = D.trio_rows(spark, sf.replace("sf0.001", "sf0.01"))
+    small = sorted(map(str, I.tag_modes(g, "genes").select("variant_key", "Sample_ID", "mendelian_diseases").collect()))
+    monkeypatch.setattr(I, "PAIR_ROWS", 0)
+    assert sorted(map(str, I.tag_modes(g, "genes").select("variant_key", "Sample_ID", "mendelian_diseases").collect())) == small
+    assert sum("compound" in r for r in small) > 100
