@@ -82,7 +82,7 @@ def _(spark, sf):
     return out.select("k", "AC_case", "AN_case", "Note")
 
 
-@query("profile_fields", f"""{V} SELECT section, name, type, filled, seen FROM (
+@query("profile_fields", f"""{V} SELECT section, name, type, filled::BIGINT AS filled, seen::BIGINT AS seen FROM (
  SELECT 'INFO' AS section, 'AC' AS name, 'integer' AS type, count(*) AS filled, count(*) AS seen FROM v
  UNION ALL SELECT 'INFO', 'AF', 'float', count(*), count(*) FROM v
  UNION ALL SELECT 'INFO', 'DP', 'integer', count_if(k % 9 <> 0), count(*) FROM v
@@ -200,7 +200,7 @@ def _(spark, sf):
     return e.select("k", F.concat_ws(":", "c.Gene", "c.RefSeq", "c.exon_id_rg", "c.cdna_change_rg", "c.aa_change_rg").alias("change"))
 
 
-@query("transcript_changes_short", f"""{V} SELECT k, count(*) AS n, count_if(p = 3) AS short FROM (SELECT k, unnest([5, 3, 5]) AS p FROM v WHERE k % 8 <> 0) GROUP BY k""")
+@query("transcript_changes_short", f"""{V} SELECT k, count(*) AS n, count_if(p = 3)::BIGINT AS short FROM (SELECT k, unnest([5, 3, 5]) AS p FROM v WHERE k % 8 <> 0) GROUP BY k""")
 def _(spark, sf):
     e = T.parsed(spark, sf).select("k", F.explode(A.build_aachange(info_value("AAChange_refGene"), "refGene", min_parts=3)).alias("c"))
     return e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.cdna_change_rg").isNull()).alias("short"))
@@ -324,8 +324,8 @@ def _(spark, sf):
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_report", f"""{V} SELECT count(*) AS processed, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 <> 0) AS created, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 = 0) AS updated,
- count_if(k % 50 IN (1, 2, 4)) AS failed, count_if(k % 50 = 3) AS skipped FROM v""")
+@query("ingest_report", f"""{V} SELECT count(*) AS processed, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 <> 0)::BIGINT AS created, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 = 0)::BIGINT AS updated,
+ count_if(k % 50 IN (1, 2, 4))::BIGINT AS failed, count_if(k % 50 = 3)::BIGINT AS skipped FROM v""")
 def _(spark, sf):
     stored = normalize_variants(T.parsed(spark, sf).filter(F.col("k") % 3 == 0)).select("variant_key")
     return ingest_report(split_lines(T.lines(spark, sf, broken=True)), stored)
