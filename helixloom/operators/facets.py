@@ -52,25 +52,33 @@ def facet(df: DataFrame, field: str, top: int = V.FACET_VALUES) -> DataFrame:
     return best.select("value", "n", F.row_number().over(order).alias("position"))
 
 
+# Fields counted by one pass of grouping sets.
+FIELDS_PER_PASS = 30
+
+
+def _scalar_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, value, n) of plain columns, one grouping set each: combined map-side, all in codegen."""
+    names = [f"c{i}" for i in range(len(fields))]
+    cut = df.select(*[F.col(f"`{f}`").alias(n) for f, n in zip(fields, names)])
+    full = (1 << len(names)) - 1
+    own_bit = [full - (1 << (len(names) - 1 - i)) for i in range(len(names))]
+    counted = cut.groupingSets([[n] for n in names], *names).agg(F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("n"))
+    label = F.create_map(*[F.lit(x) for pair in zip(own_bit, fields) for x in pair])
+    value = F.coalesce(*[F.when(_kept(cut.schema[n].dataType, F.col(n)), F.col(n).cast("string")) for n in names])
+    return counted.select(F.element_at(label, F.col("_g").cast("int")).alias("field"), value.alias("value"), "n").filter(F.col("value").isNotNull())
+
+
 def _labelled(values: Column, kind: T.DataType, field: str) -> Column:
     kept = F.filter(values, lambda v: _kept(kind, v))
     return F.transform(kept, lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
 
 
-def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> DataFrame:
-    """All facets in one pass over the data: field, value (text), n, position.
-
-    The best values are first picked inside hashed slices of each field and then among the
-    slices' winners, so a field with very many values never gathers them all in one task.
-    """
+def _array_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The same for array columns and members of nested arrays, exploded in one pass."""
     pairs = []
     for f in fields:
         if f in df.columns:
-            kind, c = df.schema[f].dataType, F.col(f"`{f}`")
-            if isinstance(kind, T.ArrayType):
-                values, kind = F.array_distinct(c), kind.elementType
-            else:
-                values = F.array(c)
+            kind, values = df.schema[f].dataType.elementType, F.array_distinct(F.col(f"`{f}`"))
         else:
             path, member = f.split(".", 1)
             kind, values = df.schema[path].dataType.elementType[member].dataType, F.col(path)[member]
@@ -79,7 +87,22 @@ def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> D
         pairs.append(_labelled(values, kind, f))
     empty = F.array().cast("array<struct<field:string,value:string>>")
     exploded = df.select(F.explode(F.concat(*[F.coalesce(p, empty) for p in pairs])).alias("p"))
-    counts = exploded.groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    return exploded.groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> DataFrame:
+    """All facets at once: field, value (text), n, position.
+
+    The best values are first picked inside hashed slices of each field and then among the
+    slices' winners, so a field with very many values never gathers them all in one task.
+    """
+    scalars = [f for f in fields if f in df.columns and not isinstance(df.schema[f].dataType, T.ArrayType)]
+    arrays = [f for f in fields if f not in scalars]
+    parts = [_scalar_counts(df, scalars[i:i + FIELDS_PER_PASS]) for i in range(0, len(scalars), FIELDS_PER_PASS)]
+    parts += [_array_counts(df, arrays)] if arrays else []
+    counts = parts[0]
+    for p in parts[1:]:
+        counts = counts.unionByName(p)
     best_first = [F.desc("n"), F.asc("value")]
     sliced = counts.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(TOP_SLICES)))
     near = (sliced.withColumn("r", F.row_number().over(Window.partitionBy("field", "slice").orderBy(*best_first)))

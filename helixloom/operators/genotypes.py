@@ -114,60 +114,43 @@ def enrich_pedigree(ped: DataFrame) -> DataFrame:
     )
 
 
-def _receivers(ped: DataFrame, siblings: bool) -> DataFrame:
-    """Who wants to know a sample's genotype: (Sample_ID, list of (child, role, place))."""
-    def one(role: str, source: Column) -> DataFrame:
-        return ped.select(source.alias("Sample_ID"), F.col("sample").alias("child"),
-                          F.lit(role).alias("role"), F.lit(0).alias("place"))
-
-    def many(role: str, ids: str) -> DataFrame:
-        return ped.select(F.col("sample").alias("child"), F.posexplode(F.split(ids, ",")).alias("place", "Sample_ID")) \
-            .select("Sample_ID", "child", F.lit(role).alias("role"), "place")
-
-    wanted = one("father", F.col("father")).unionByName(one("mother", F.col("mother")))
-    if siblings:
-        wanted = (wanted.unionByName(many("affected", "affected_sibs_id"))
-                  .unionByName(many("unaffected", "unaffected_sibs_id")))
-    return (wanted.filter(F.col("Sample_ID").isNotNull()).groupBy("Sample_ID")
-            .agg(F.collect_list(F.struct("child", "role", "place")).alias("_to")))
+def _gifts(genotypes: DataFrame, receivers: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Genotypes of the samples somebody asks for, addressed to who asks: narrow rows, no shuffle
+    while the pedigree is broadcast."""
+    own = genotypes.select(*keys, F.col("Sample_ID").alias("_giver"), F.col("GT").alias("_gt"))
+    return own.join(broadcast_if(small, receivers), "_giver")
 
 
 def join_pedigree(genotypes: DataFrame, ped: DataFrame, keys: Sequence[str], siblings: bool = False) -> DataFrame:
     """Family, sex, phenotypes and the parents' (and siblings') genotypes at the same variant.
 
-    Every genotype row is sent to itself and to the relatives who need its GT, then the rows of
-    one (variant, sample) are put together. That is one shuffle of narrow groups, where looking
-    up each parent by a self-join would move the genotypes three times. The pedigree is counted
-    first and broadcast only while small; beyond that it is joined by shuffle, where adaptive
-    execution splits the samples' rows. Give genotypes from before no-call filtering, since a
+    Parents' rows are cut to the genotype and re-addressed to their children by the pedigree, which
+    is counted first and broadcast only while small. All joins then share one key, (variant,
+    sample), so the genotypes are shuffled and sorted once; no key is larger than a family. Beyond
+    the bound the pedigree is joined by shuffle, where adaptive execution splits the samples' rows.
+    ``keys`` identify a variant line. Give genotypes from before no-call filtering, since a
     parent's missing call must still be seen.
     """
     small = is_small(ped)
+    known = enrich_pedigree(ped)
     attributes = [c for c in genotypes.columns if c not in keys and c != "Sample_ID"]
-    own = F.struct(F.col("Sample_ID").alias("child"), F.lit("self").alias("role"), F.lit(0).alias("place"))
-    sent = (genotypes.join(broadcast_if(small, _receivers(ped, siblings)), "Sample_ID", "left")
-            .withColumn("_r", F.explode(F.concat(F.array(own), F.coalesce("_to", F.array().cast(
-                "array<struct<child:string,role:string,place:int>>"))))))
-    role = F.col("_r.role")
-    whole = F.struct(*[F.col(f"`{c}`") for c in attributes])
-    sent = sent.select(*keys, F.col("_r.child").alias("Sample_ID"), role.alias("_role"), F.col("_r.place").alias("_place"),
-                       F.col("GT").alias("_gt"), F.when(role == "self", whole).alias("_own"))
-    gathered = [
-        F.max("_own").alias("_own"),
-        F.max(F.when(F.col("_role") == "father", F.col("_gt"))).alias("Father_Genotype"),
-        F.max(F.when(F.col("_role") == "mother", F.col("_gt"))).alias("Mother_Genotype"),
-    ]
+    on, out = [*keys, "Sample_ID"], genotypes
+    found = []
+    for role in ("father", "mother"):
+        name = f"{role.capitalize()}_Genotype"
+        receivers = ped.filter(F.col(role).isNotNull()).select(F.col(role).alias("_giver"), F.col("sample").alias("Sample_ID"))
+        out = out.join(_gifts(genotypes, receivers, keys, small).select(*on, F.col("_gt").alias(name)), on, "left")
+        found.append(name)
     if siblings:
-        for r, name in (("affected", "Affected"), ("unaffected", "Unaffected")):
-            listed = F.sort_array(F.collect_list(F.when(F.col("_role") == r, F.struct("_place", "_gt"))))
-            text = F.array_join(F.transform(listed, lambda x: x["_gt"]), ",")
-            gathered.append(F.when(F.size(listed) > 0, text).alias(f"{name}_Siblings_Genotypes"))
-    merged = sent.groupBy(*keys, "Sample_ID").agg(*gathered).filter(F.col("_own").isNotNull())
-    genotype_columns = [c for c in merged.columns if c.endswith("_Genotype") or c.endswith("_Genotypes")]
-    flat = merged.select(*keys, "Sample_ID", "_own.*", *genotype_columns)
-    known = enrich_pedigree(ped)
-    return flat.join(broadcast_if(small, known), "Sample_ID", "left").select(
-        *keys, "Sample_ID", *attributes, *[c for c in known.columns if c != "Sample_ID"], *genotype_columns)
+        for role in ("affected", "unaffected"):
+            name = f"{role.capitalize()}_Siblings_Genotypes"
+            receivers = ped.select(F.col("sample").alias("Sample_ID"), F.posexplode(F.split(f"{role}_sibs_id", ",")).alias("_place", "_giver"))
+            listed = F.transform(F.sort_array(F.collect_list(F.struct("_place", "_gt"))), lambda x: x["_gt"])
+            gifts = _gifts(genotypes, receivers, keys, small).groupBy(*on).agg(F.array_join(listed, ",").alias(name))
+            out = out.join(gifts, on, "left")
+            found.append(name)
+    return out.join(broadcast_if(small, known), "Sample_ID", "left").select(
+        *keys, "Sample_ID", *attributes, *[c for c in known.columns if c != "Sample_ID"], *found)
 
 
 def join_siblings(genotypes: DataFrame, ped: DataFrame, keys: Sequence[str]) -> DataFrame:
