@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixloom.functions.scalars import normalize_chrom
 from helixloom.operators.annotations import annotate
 from helixloom.operators.genotypes import unpivot_genotypes, unpivot_with_pedigree
 from helixloom.operators.inheritance import lof_condition, tag_modes
@@ -66,15 +67,18 @@ def long_tables(variants: DataFrame, genotypes: DataFrame | None = None) -> Tabl
 
 
 def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assembly: str = "hg19",
-             partitions: int | None = None, profile: bool = True, stage: bool = True) -> tuple[Tables, DataFrame]:
+             partitions: int | None = None, profile: bool = True, stage: bool = True, plain_chrom: bool = False) -> tuple[Tables, DataFrame]:
     """Warehouse tables of a VCF and its rejected lines.
 
     With a pedigree all calls are kept, enriched and tagged; without one reference calls are
     dropped. ``profile`` corrects the declared types by a pass over all lines. The parsed lines
     are written once to the shared folder (``stage``), since every table is made from them.
+    ``plain_chrom`` turns ``chrX`` into ``X``, as the rules for X and Y need.
     """
     catalog = read_catalog(spark, path)
     good, bad = split_rejects(read_vcf(spark, path, partitions))
+    if plain_chrom:
+        good = good.withColumn("CHROM", normalize_chrom("CHROM"))
     types = csq_types(catalog)
     if profile:
         found = profile_fields(good, catalog.csq_fields)

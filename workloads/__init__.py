@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "family", "ingest", "cohorts"]
+MODULES = ["search", "family", "ingest", "cohorts", "storage"]
 
 
 def _load() -> None:

@@ -15,16 +15,16 @@ from workloads import vcf_text as T
 from workloads.derive import table
 from workloads.registry import query
 
-# Cases are parts not divisible by 3, controls those not divisible by 4; many are in both.
-_SIDES = """a AS (SELECT p_partkey AS k, p_size AS "AC", p_brand AS gene, p_type AS note FROM part WHERE p_partkey % 3 <> 0),
- b AS (SELECT p_partkey AS k, p_size + 1 AS "AC", p_brand || 'x' AS gene, NULL::VARCHAR AS note FROM part WHERE p_partkey % 4 <> 0)"""
+# Cases are the smaller parts, controls the larger ones; the middle sizes are in both.
+_SIDES = """a AS (SELECT p_partkey AS k, p_size AS "AC", p_brand AS gene, p_type AS note FROM part WHERE p_size < 35),
+ b AS (SELECT p_partkey AS k, p_size + 1 AS "AC", p_brand || 'x' AS gene, NULL::VARCHAR AS note FROM part WHERE p_size > 12)"""
 
 
 def _sides(spark, sf):
     part, k = table(spark, sf, "part"), F.col("p_partkey")
-    a = part.filter(k % 3 != 0).select(k.alias("k"), F.col("p_size").alias("AC"), F.col("p_brand").alias("gene"), F.col("p_type").alias("note"),
+    a = part.filter("p_size < 35").select(k.alias("k"), F.col("p_size").alias("AC"), F.col("p_brand").alias("gene"), F.col("p_type").alias("note"),
                                        F.array(F.lit("case1"), F.lit("case2")).alias("sample"))
-    b = part.filter(k % 4 != 0).select(k.alias("k"), (F.col("p_size") + 1).alias("AC"), F.concat("p_brand", F.lit("x")).alias("gene"),
+    b = part.filter("p_size > 12").select(k.alias("k"), (F.col("p_size") + 1).alias("AC"), F.concat("p_brand", F.lit("x")).alias("gene"),
                                        F.lit(None).cast("string").alias("note"), F.array(F.lit("control1")).alias("sample"))
     return a, b
 
@@ -123,14 +123,17 @@ def _(spark, sf):
     return R.exclude_rejected(docs, _reviews(spark, sf), "lab", "doc_id")
 
 
-@query("apply_reviews", f"""WITH {_REVIEWS} SELECT "group", document, CASE WHEN document % 3 = 0 THEN 'Approved' ELSE status END AS status FROM r WHERE document % 5 <> 0""")
+# Afterwards the clinic approves what it had rejected, all toxic documents lose their review, and the lab reviews those again.
+@query("apply_reviews", """WITH l AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'lab' ELSE 'clinic' END AS "group" FROM labels)
+ SELECT "group", doc_id AS document, CASE WHEN toxic = 1 THEN 'Rejected' WHEN "group" = 'clinic' OR quality = 1 THEN 'Approved' ELSE 'Rejected' END AS status
+ FROM l WHERE toxic = 0 OR "group" = 'lab'""")
 def _(spark, sf):
     base = _reviews(spark, sf)
-    doc = F.col("document")
-    first = base.filter(doc % 3 == 0).withColumns({"status": F.lit("Approved"), "ts": F.lit(1).cast("long")})
-    gone = base.filter(doc % 5 == 0).withColumns({"status": F.lit("Delete"), "ts": F.lit(2).cast("long")})
-    again = base.filter(doc % 3 == 0).withColumns({"status": F.lit("Approved"), "ts": F.when(doc % 5 == 0, 1).otherwise(3).cast("long")})
-    return R.apply_reviews(base, first.unionByName(gone).unionByName(again)).select("group", "document", "status")
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document"))
+    approved = base.filter("`group` = 'clinic' and status = 'Rejected'").withColumns({"status": F.lit("Approved"), "ts": F.lit(1).cast("long")})
+    gone = base.join(toxic, "document", "left_semi").withColumns({"status": F.lit("Delete"), "ts": F.lit(2).cast("long")})
+    again = base.filter("`group` = 'lab'").join(toxic, "document", "left_semi").withColumns({"status": F.lit("Rejected"), "ts": F.lit(3).cast("long")})
+    return R.apply_reviews(base, approved.unionByName(gone).unionByName(again)).select("group", "document", "status")
 
 
 @query("reviews_for_groups", f"""WITH {_REVIEWS} SELECT document, status FROM r WHERE "group" IN ('clinic')""")

@@ -324,8 +324,8 @@ def _(spark, sf):
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_report", f"""{V} SELECT count(*) AS processed, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 <> 0)::BIGINT AS created, count_if(k % 50 NOT IN (1, 2, 3, 4) AND k % 3 = 0)::BIGINT AS updated,
+@query("ingest_report", f"""{V} SELECT count(*) AS processed, count_if(k % 50 NOT IN (1, 2, 3, 4) AND kind <> 'PROMO')::BIGINT AS created, count_if(k % 50 NOT IN (1, 2, 3, 4) AND kind = 'PROMO')::BIGINT AS updated,
  count_if(k % 50 IN (1, 2, 4))::BIGINT AS failed, count_if(k % 50 = 3)::BIGINT AS skipped FROM v""")
 def _(spark, sf):
-    stored = normalize_variants(T.parsed(spark, sf).filter(F.col("k") % 3 == 0)).select("variant_key")
+    stored = normalize_variants(T.parsed(spark, sf).filter(info_value("class_code") == "PROMO")).select("variant_key")
     return ingest_report(split_lines(T.lines(spark, sf, broken=True)), stored)
