@@ -22,7 +22,8 @@ def column(c: Column | str) -> Column:
 
 def is_int(c: Column | str) -> Column:
     """True for whole-number text such as ``5`` or `` 5 ``, not for ``5.0`` or ``1e5``."""
-    return column(c).rlike(INT_PATTERN)
+    c = column(c)
+    return c.try_cast("bigint").isNotNull() | c.rlike(INT_PATTERN)
 
 
 def is_float(c: Column | str) -> Column:
@@ -37,15 +38,19 @@ def infer_type(c: Column | str) -> Column:
 
 
 def parse_int(c: Column | str) -> Column:
-    """Whole number or NULL. The pattern guards the cast, which alone accepts ``5.7``."""
+    """Whole number or NULL. Only digits grouped by ``_`` need more than the cast."""
     c = column(c)
-    return F.when(is_int(c), F.regexp_replace(c, "[_\\s]", "").try_cast("bigint"))
+    grouped = F.when(c.rlike(INT_PATTERN), F.regexp_replace(c, "[_\\s]", "").try_cast("bigint"))
+    return F.coalesce(c.try_cast("bigint"), F.when(c.contains("_"), grouped))
 
 
 def parse_float(c: Column | str) -> Column:
-    """Decimal number or NULL. The pattern guards the cast, which alone accepts ``1f``."""
+    """Decimal number or NULL. The cast alone also reads Java forms such as ``1f`` or ``0x1p3``, so
+    text with such letters (and grouped digits) must match the pattern first."""
     c = column(c)
-    return F.when(c.rlike(FLOAT_PATTERN), F.regexp_replace(c, "[_\\s]", "").try_cast("double"))
+    plain = F.translate(c, "fFdDxXpP_", "") == c
+    guarded = F.when(c.rlike(FLOAT_PATTERN), F.regexp_replace(c, "[_\\s]", "").try_cast("double"))
+    return F.when(plain, c.try_cast("double")).otherwise(guarded)
 
 
 def clean_number(c: Column | str, nan: float | None = None, inf: float = V.INFINITE_FLOAT) -> Column:

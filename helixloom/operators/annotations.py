@@ -31,16 +31,21 @@ def _last(values: Column) -> Column:
 
 # --- VEP ---------------------------------------------------------------------------------
 
-def build_consequences(csq: Column | str, fields: Sequence[str], types: Mapping[str, str] | None = None,
+def split_transcripts(csq: Column | str) -> Column:
+    """The VEP field as an array of transcripts, each an array of sub-field texts."""
+    return F.transform(F.split(column(csq), ","), lambda t: F.split(t, r"\|"))
+
+
+def build_consequences(transcripts: Column | str, fields: Sequence[str], types: Mapping[str, str] | None = None,
                        ranges: str = "first", global_rule: str = "last") -> tuple[Column, dict[str, Column]]:
     """Transcript array, and the variant-wide fields that every transcript repeats.
 
+    ``transcripts`` comes from ``split_transcripts``, as a column of its own since it is read often.
     ``ranges``: positions such as ``12-15`` as first number or as ``_start``/``_end``.
     ``global_rule``: a variant-wide field takes the ``last`` filled transcript, or a value only
     where all filled transcripts are ``agreed``. Lists by ``&`` are arrays.
     """
-    types = dict(types or {})
-    transcripts = F.transform(F.split(column(csq), ","), lambda t: F.split(t, r"\|"))
+    types, transcripts = dict(types or {}), column(transcripts)
 
     def members(t: Column) -> list[Column]:
         out = []
@@ -328,41 +333,47 @@ def annotate(df: DataFrame, info_types: Mapping[str, str], csq_fields: Sequence[
              csq_types: Mapping[str, str] | None = None, subfields: Mapping[str, Sequence[str]] | None = None,
              gene_always: bool = False) -> DataFrame:
     """Add every nested annotation the header declares, in one projection."""
-    from helixloom.operators.info import info_value, with_info
+    from helixloom.operators.info import cut_info, drop_cut, info_text, info_value, with_info
 
     df = df if "_keys" in df.columns else with_info(df)
+    columns = df.columns
+    needed = ["GTEx_V6_tissue", *info_types, *(subfields or {})]
+    for db in ("refGene", "ensGene"):
+        needed += [f"Func_{db}", f"GeneDetail_{db}"]
+    df = cut_info(df, [n for n in dict.fromkeys(needed) if n != "CSQ"])
     out: dict[str, Column] = {}
     if csq_fields:
-        nested, variant = build_consequences(info_value("CSQ"), csq_fields, csq_types)
+        df = df.withColumns({"_info_parts": split_transcripts(info_value("CSQ"))})
+        nested, variant = build_consequences("_info_parts", csq_fields, csq_types)
         out["CSQ_nested"] = nested
         out.update(variant)
     for db in ("refGene", "ensGene"):
         if f"Gene_{db}" in info_types:
-            out.update(build_gene_context(info_value(f"Func_{db}"), info_value(f"Gene_{db}"), info_value(f"GeneDetail_{db}"), db, gene_always))
+            out.update(build_gene_context(info_text(f"Func_{db}"), info_text(f"Gene_{db}"), info_text(f"GeneDetail_{db}"), db, gene_always))
         if f"AAChange_{db}" in info_types:
-            out[f"AAChange_{db}"] = build_aachange(info_value(f"AAChange_{db}"), db)
+            out[f"AAChange_{db}"] = build_aachange(info_text(f"AAChange_{db}"), db)
     for sig in ("CLNSIG", "CLINSIG"):
         if sig in info_types:
-            out["CLNVAR_nested"] = zip_clinvar(info_value(sig), info_value("CLNDN"), info_value("CLNREVSTAT"))
+            disease, review = [info_text(n) if n in info_types else F.lit(None).cast("string") for n in ("CLNDN", "CLNREVSTAT")]
+            out["CLNVAR_nested"] = zip_clinvar(info_text(sig), disease, review)
     if "ICGC_Occurrence" in info_types:
-        out["ICGC_nested"] = parse_icgc(info_value("ICGC_Occurrence"))
+        out["ICGC_nested"] = parse_icgc(info_text("ICGC_Occurrence"))
     if "GTEx_V6_gene" in info_types:
-        out["GTEx_nested"] = zip_gtex(info_value("GTEx_V6_gene"), info_value("GTEx_V6_tissue"))
+        out["GTEx_nested"] = zip_gtex(info_text("GTEx_V6_gene"), info_text("GTEx_V6_tissue"))
     if "gwasCatalog" in info_types:
-        out["gwasCatalog"] = parse_gwas(info_value("gwasCatalog"))
+        out["gwasCatalog"] = parse_gwas(info_text("gwasCatalog"))
     if "wgRna" in info_types:
-        out["wgRna"] = parse_name(info_value("wgRna"))
+        out["wgRna"] = parse_name(info_text("wgRna"))
     for track in ("tfbsConsSites", "targetScanS"):
         if track in info_types:
-            out.update(parse_score_name(info_value(track), track))
+            out.update(parse_score_name(info_text(track), track))
     for name in info_types:
         if "cosmic" in name:
-            ids, sites = parse_cosmic(info_value(name))
-            out["COSMIC_ID"], out["COSMIC_nested"] = ids, sites
+            out["COSMIC_ID"], out["COSMIC_nested"] = parse_cosmic(info_text(name))
     for kind in ("ANN", "LOF", "NMD"):
         if subfields and kind in subfields:
-            out["ANN_nested" if kind == "ANN" else kind] = build_snpeff(info_value(kind), kind, subfields[kind])
+            out["ANN_nested" if kind == "ANN" else kind] = build_snpeff(info_text(kind), kind, subfields[kind])
     for name in ("dbSNP_ID", "COSMIC_ID"):
-        if name in out and name in df.columns:
+        if name in out and name in columns:
             out[name] = F.coalesce(out[name], F.col(name))
-    return df.withColumns(out)
+    return drop_cut(df.withColumns(out))

@@ -57,22 +57,25 @@ def _typed_calls(rows: DataFrame, keys: Sequence[str], types: Mapping[str, str]
     if not keep_homref:
         rows = rows.filter(~is_hom_ref("_call"))
     rows = rows.select(*keys, "_call", F.split("format", ":").alias("_format"), F.split("_call", ":").alias("_values"))
+    names = list(dict.fromkeys(["GT", "AD", "DP", *types]))
+    # Each field is cut out once, before the typing below uses it several times.
+    cut = rows.select(*keys, "_call", missing_call.alias("_missing"), *[
+        F.get("_values", F.array_position("_format", n).cast("int") - 1).alias(f"_f{i}") for i, n in enumerate(names)])
+    cut = cut.select(*keys, "_call", "_missing", *[
+        F.when(~F.col("_missing") & (F.col(f"_f{i}") != "."), F.col(f"_f{i}")).alias(f"_r{i}") for i in range(len(names))])
 
     def raw(name: str) -> Column:
-        at = F.array_position("_format", name)
-        v = F.when(at > 0, F.get("_values", (at - 1).cast("int")))
-        return F.when(~missing_call & (v != "."), v)
+        return F.col(f"_r{names.index(name)}")
 
     def scalar(name: str) -> Column:
         return F.when(~raw(name).contains(","), raw(name))
 
-    out = [F.when(missing_call, "0/0").otherwise(raw("GT")).alias("GT")]
-    depth = F.split(F.when(raw("AD").contains(","), raw("AD")), ",")
-    out += [
-        F.when(missing_call, F.lit(0)).otherwise(parse_int(F.get(depth, F.lit(0)))).cast("int").alias("AD_ref"),
-        F.when(missing_call, F.lit(0)).otherwise(parse_int(F.get(depth, F.lit(1)))).cast("int").alias("AD_alt"),
-        parse_int(scalar("DP")).cast("int").alias("DP"),
-    ]
+    def depth(i: int) -> Column:
+        piece = F.when(raw("AD").contains(","), F.split_part(raw("AD"), F.lit(","), F.lit(i)))
+        return F.when(F.col("_missing"), F.lit(0)).otherwise(parse_int(piece)).cast("int")
+
+    out = [F.when(F.col("_missing"), "0/0").otherwise(raw("GT")).alias("GT"), depth(1).alias("AD_ref"), depth(2).alias("AD_alt"),
+           parse_int(scalar("DP")).cast("int").alias("DP")]
     out += [raw(name).alias(name) for name in ("PL", "PGT", "PID") if name in types]
     for name, kind in types.items():
         if name in ("GT", "AD", "DP", "PL", "PGT", "PID"):
@@ -83,7 +86,7 @@ def _typed_calls(rows: DataFrame, keys: Sequence[str], types: Mapping[str, str]
             out.append(parse_int(scalar(name)).cast("int").alias(name))
     if group is not None:
         out.append(F.lit(group.strip("_")).alias("group"))
-    return rows.select(*keys, *out, *(["_call"] if nocall == "keep" else []))
+    return cut.select(*keys, *out, *(["_call"] if nocall == "keep" else []))
 
 
 def drop_uncalled(g: DataFrame, keep_homref: bool = True) -> DataFrame:
@@ -194,7 +197,8 @@ def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[
         return F.lit([place.get(relatives[s][role], 0) if s in relatives else 0 for s in samples])
 
     def listed(role: str) -> Column:
-        return F.array(*[F.lit([place.get(x, 0) for x in (relatives[s][role] if s in relatives else None) or []] or [0]) for s in samples])
+        ids = [(relatives[s][role] if s in relatives else None) or [] for s in samples]
+        return F.array(*[F.lit([place[x] for x in one if x in place] or [0]) for one in ids])
 
     cut = df.select(*keys, "format", "calls", F.transform("calls", lambda c: F.split_part(c, F.lit(":"), F.lit(1))).alias("_gts"))
 
@@ -202,8 +206,7 @@ def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[
         return F.when(p > 0, F.get("_gts", p - 1))
 
     def joined(places: Column) -> Column:
-        found = F.array_compact(F.transform(places, gt))
-        return F.when(F.size(found) > 0, F.array_join(found, ","))
+        return F.when(places[0] > 0, F.array_join(F.transform(places, gt), ","))
 
     found = {"Father_Genotype": F.transform(parent("father"), gt), "Mother_Genotype": F.transform(parent("mother"), gt)}
     if siblings:

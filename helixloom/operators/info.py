@@ -30,6 +30,20 @@ def info_value(name: str) -> Column:
     return F.when((at > 0) & (v != "."), v)
 
 
+def cut_info(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add the text of each field as ``_info_<name>``, cut out once for all later uses."""
+    return df.withColumns({f"_info_{n}": info_value(n) for n in dict.fromkeys(names)})
+
+
+def info_text(name: str) -> Column:
+    """A field that ``cut_info`` has cut out."""
+    return F.col(f"`_info_{name}`")
+
+
+def drop_cut(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_info_")])
+
+
 def has_flag(name: str) -> Column:
     return F.array_contains("_keys", name)
 
@@ -49,7 +63,7 @@ def _built_elsewhere(name: str) -> bool:
 
 def info_columns(types: Mapping[str, str], group: str | None = None,
                  dictionaries: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, Column]:
-    """Output name -> typed column for every plain field of the catalog.
+    """Output name -> typed column for every plain field of the catalog, over fields cut out before.
 
     Cohort metrics get the group suffix. Unreadable numbers, NaN and ``.`` are NULL.
     """
@@ -60,7 +74,7 @@ def info_columns(types: Mapping[str, str], group: str | None = None,
         if name in V.INFO_EXCLUDED or _built_elsewhere(name):
             continue
         target = name + (suffix if name in V.COHORT_FIELDS else "")
-        raw = info_value(name)
+        raw = info_text(name)
         if kind == "flag":
             out[name] = F.when(has_flag(name), "Yes").otherwise("No")
         elif kind == "integer" and name in V.INFO_KEPT_AS_TEXT:
@@ -88,14 +102,16 @@ def parse_info(df: DataFrame, types: Mapping[str, str], group: str | None = None
                dictionaries: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Add all plain INFO fields in one projection; ``_keys``/``_values`` stay for the builders."""
     df = df if "_keys" in df.columns else with_info(df)
+    present = df.columns
+    df = cut_info(df, [n for n, kind in types.items() if kind != "flag" and n not in V.INFO_EXCLUDED and not _built_elsewhere(n)])
     fields = info_columns(types, group, dictionaries)
     snp = fields.pop("_snp", None)
     if snp is not None:
         listed = F.when(snp.isNotNull(), F.array(snp))
-        fields["dbSNP_ID"] = F.coalesce("dbSNP_ID", listed) if "dbSNP_ID" in df.columns else listed
-    if "VariantType" in fields and "VariantType" in df.columns:
+        fields["dbSNP_ID"] = F.coalesce("dbSNP_ID", listed) if "dbSNP_ID" in present else listed
+    if "VariantType" in fields and "VariantType" in present:
         fields["VariantType"] = F.coalesce(fields["VariantType"], F.col("VariantType"))
-    return df.withColumns(fields)
+    return drop_cut(df.withColumns(fields))
 
 
 # --- profiling ---------------------------------------------------------------------------
@@ -181,12 +197,12 @@ class FieldMapping:
 
 
 def _mapped(m: FieldMapping) -> Column:
-    raw = decode_escapes(info_value(m.key))
+    raw = decode_escapes(info_text(m.key))
     raw = F.when(raw != "nan", raw)
     if m.exists_only:
         return F.when(has_flag(m.key), F.lit(True))
     if m.parse_function:
-        args = [raw] + ([decode_escapes(info_value(m.parse_with))] if m.parse_with else [])
+        args = [raw] + ([decode_escapes(info_text(m.parse_with))] if m.parse_with else [])
         return parser(m.parse_function)(*args)
     if m.type == "integer":
         return F.transform(F.split(raw, ","), parse_int)
@@ -202,6 +218,7 @@ def apply_mapping(df: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
     Numbers come as arrays because a value may be a list. Parts of one nested path are joined.
     """
     df = df if "_keys" in df.columns else with_info(df)
+    df = cut_info(df, [k for m in mapping for k in (m.key, m.parse_with) if k])
     out: dict[str, Column] = {}
     for m in mapping:
         target = m.nested_path or m.target or m.key
@@ -217,4 +234,4 @@ def apply_mapping(df: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
         if m.overwrites:
             base, over = by_key[m.overwrites], by_key[m.key]
             out[base] = F.coalesce(out[over], out[base])
-    return df.withColumns(out)
+    return drop_cut(df.withColumns(out))

@@ -141,8 +141,8 @@ def _(spark, sf):
 
 
 def _variant_level(spark, sf):
-    nested, variant = A.build_consequences(info_value("CSQ"), T.CSQ_FIELDS, T.CSQ_TYPES)
-    return T.parsed(spark, sf), nested, variant
+    nested, variant = A.build_consequences("parts", T.CSQ_FIELDS, T.CSQ_TYPES)
+    return T.parsed(spark, sf).withColumn("parts", A.split_transcripts(info_value("CSQ"))), nested, variant
 
 
 @query("consequences", f"""{V} SELECT k, 1 AS i, 'missense_variant,splice_region_variant' AS consequence, 'MODERATE' AS impact, brand AS symbol, {_int('k % 90')} AS cdna,
@@ -167,8 +167,8 @@ def _(spark, sf):
 
 @query("consequence_spans_agreed", f"""{V} SELECT k, {_int('k % 90')}::BIGINT AS s, {_int('k % 90 + 3')}::BIGINT AS e, kind AS variant_class FROM v""")
 def _(spark, sf):
-    nested, variant = A.build_consequences(info_value("CSQ"), T.CSQ_FIELDS, T.CSQ_TYPES, ranges="span", global_rule="agreed")
-    first = T.parsed(spark, sf).select("k", F.get(nested, F.lit(0)).alias("c"), variant["VARIANT_CLASS"].alias("variant_class"))
+    nested, variant = A.build_consequences("parts", T.CSQ_FIELDS, T.CSQ_TYPES, ranges="span", global_rule="agreed")
+    first = T.parsed(spark, sf).withColumn("parts", A.split_transcripts(info_value("CSQ"))).select("k", F.get(nested, F.lit(0)).alias("c"), variant["VARIANT_CLASS"].alias("variant_class"))
     return first.select("k", F.col("c.cDNA_position_start").alias("s"), F.col("c.cDNA_position_end").alias("e"), "variant_class")
 
 
