@@ -34,7 +34,7 @@ def is_float(c: Column | str) -> Column:
 
 def infer_type(c: Column | str) -> Column:
     """``float``, ``integer`` or ``keyword`` for one text value."""
-    return (F.when(is_int(c), "integer").when(is_float(c), "float").otherwise("keyword"))
+    return F.when(is_int(c), "integer").when(parse_float(c).isNotNull(), "float").otherwise("keyword")
 
 
 def parse_int(c: Column | str) -> Column:

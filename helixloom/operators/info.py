@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
@@ -145,29 +145,29 @@ def profile_fields(df: DataFrame, csq_fields: Sequence[str] = ()) -> DataFrame:
     every = F.concat(*[F.coalesce(x, empty) for x in lists])
     values = df.select(F.explode(every).alias("e")).select("e.*").filter(F.col("name").isNotNull() & (F.col("name") != ""))
     filled = F.col("value").isNotNull() & ~F.col("value").isin("", ".")
-    head = F.regexp_extract("value", r"^([^,&]*)", 1)
-    kind = F.when(F.col("name").endswith("GT") & (F.col("section") == "FORMAT"), "keyword").otherwise(infer_type(head))
-    rank = F.when(kind == "keyword", 3).when(kind == "float", 2).otherwise(1)
-    found = values.select("section", "name", F.when(filled, rank).alias("rank"))
+    head = F.substring_index(F.substring_index("value", ",", 1), "&", 1)
+    values = values.select("section", "name", F.when(filled, head).alias("head"))
+    text_only = F.col("name").endswith("GT") & (F.col("section") == "FORMAT")
+    kind = infer_type("head")
+    rank = F.when(text_only | (kind == "keyword"), 3).when(kind == "float", 2).otherwise(1)
+    found = values.select("section", "name", F.when(F.col("head").isNotNull(), rank).alias("rank"))
     counted = found.groupBy("section", "name").agg(F.max("rank").alias("rank"), F.count("rank").alias("filled"), F.count(F.lit(1)).alias("seen"))
     names = F.when(F.col("rank") == 3, "keyword").when(F.col("rank") == 2, "float").when(F.col("rank") == 1, "integer")
     return counted.select("section", "name", names.alias("type"), "filled", "seen")
 
 
-def refine_catalog(catalog: Catalog, profile: DataFrame) -> Catalog:
-    """Declared types corrected by what the lines hold. The profile has one row per field."""
-    found = {(r["section"], r["name"]): r["type"] for r in profile.filter(F.col("type").isNotNull()).collect()}
+def refine_catalog(catalog: Catalog, profile: Sequence[Row]) -> Catalog:
+    """Declared types corrected by the collected profile, which has one row per field."""
+    found = {(r["section"], r["name"]): r["type"] for r in profile if r["type"]}
     info = {n: (t if t == "flag" else found.get(("INFO", n), t)) for n, t in catalog.info.items()}
     fmt = {n: ("string" if n == "PL" else found.get(("FORMAT", n), t)) for n, t in catalog.format.items()}
     return Catalog(info, fmt, catalog.descriptions, catalog.subfields, catalog.samples, catalog.contigs)
 
 
-def csq_types(catalog: Catalog, profile: DataFrame | None = None) -> dict[str, str]:
+def csq_types(catalog: Catalog, profile: Sequence[Row] = ()) -> dict[str, str]:
     """Types of the VEP sub-fields: by name, then by profile."""
+    found = {r["name"]: r["type"] for r in profile if r["section"] == "CSQ" and r["type"]}
     out = {}
-    found = {}
-    if profile is not None:
-        found = {r["name"]: r["type"] for r in profile.filter("section = 'CSQ' and type is not null").collect()}
     for f in catalog.csq_fields:
         declared = "keyword"
         if f.endswith("_AF") or f == "AF" or f.startswith("CADD") or f.endswith("score"):

@@ -81,7 +81,7 @@ def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assem
         good = good.withColumn("CHROM", normalize_chrom("CHROM"))
     types = csq_types(catalog)
     if profile:
-        found = profile_fields(good, catalog.csq_fields)
+        found = profile_fields(good, catalog.csq_fields).collect()  # one row per field
         catalog, types = refine_catalog(catalog, found), csq_types(catalog, found)
     variants = with_lof(parse_variants(good, catalog, types))
     if stage:

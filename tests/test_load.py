@@ -77,7 +77,7 @@ def test_gzip_equals_plain(spark, files):
 def test_profile_takes_the_widest_type(spark, files):
     raw, _ = vcf.split_rejects(vcf.read_vcf(spark, str(files / "cohort.vcf")))
     c = vcf.read_catalog(spark, str(files / "cohort.vcf"))
-    refined = Info.refine_catalog(c, Info.profile_fields(raw, c.csq_fields))
+    refined = Info.refine_catalog(c, Info.profile_fields(raw, c.csq_fields).collect())
     assert refined.info["MQ"] == "float" and refined.info["AC"] == "integer" and refined.info["NEW"] == "flag"
 
 
