@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixloom.functions import vocab as V
+from helixloom.functions.scalars import safe_name
 from helixloom.operators.predicates import Nested, by_path, element_condition, row_condition
 
 
@@ -192,3 +193,28 @@ def terms_file(df: DataFrame, c: str, ids: DataFrame, id_column: str = "value",
         return df.join(wanted, quoted(c) == F.col("_wanted"), "left_semi")
     hits = df.select(key, F.explode(quoted(c)).alias("_wanted")).join(wanted, "_wanted", "left_semi")
     return df.join(hits.select(key).distinct(), key, "left_semi")
+
+
+# Width of the position bins in which intervals and variants meet.
+INTERVAL_BIN = 1_000_000
+
+
+def outside_intervals(df: DataFrame, intervals: DataFrame, chrom: str = "CHROM", pos: str = "POS",
+                      width: int = INTERVAL_BIN) -> DataFrame:
+    """Rows not inside any open interval (chrom, start, end); bounds stay, as do missing positions.
+
+    Intervals are written once per bin they touch, so the range test becomes an equality join on
+    (chromosome, bin) that can be shuffled and split like any other. A few fixed intervals are
+    better given as a condition: see ``predicates.outside``.
+    """
+    binned = intervals.select(
+        F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"),
+        F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
+    inside = ((quoted(chrom) == F.col("_c")) & (F.floor(quoted(pos) / width) == F.col("_b"))
+              & (quoted(pos) > F.col("_s")) & (quoted(pos) < F.col("_e")))
+    return df.join(binned, inside, "left_anti")
+
+
+def safe_names(df: DataFrame) -> DataFrame:
+    """Columns without dots in their names."""
+    return df.toDF(*[safe_name(c) for c in df.columns])

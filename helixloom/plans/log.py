@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.plans.spec import QuerySpec, run_spec
+from helixloom.plans.spec import QuerySpec, run_spec, search_mode
 from helixloom.sources.export import export_csv
 from helixloom.sources.warehouse import Tables
 
@@ -43,6 +43,12 @@ def export_logged(log: DataFrame, id: str, tables: Tables, path: str, labels: Ma
     export_csv(replay(log, id, tables, reviews, group), path, labels)
 
 
+def export_mode_csv(tables: Tables, mode: str, spec: QuerySpec, path: str, labels: Mapping[str, str] | None = None,
+                    reviews: DataFrame | None = None, group: str | None = None) -> None:
+    """The whole result of a search by inheritance mode as CSV."""
+    export_csv(search_mode(tables, mode, spec, reviews=reviews, group=group, limit=None), path, labels)
+
+
 def saved_specs(log: DataFrame, user: str, catalog: DataFrame) -> DataFrame:
     """One row per filter of a user's saved specs, with the field's display text.
 

@@ -113,7 +113,7 @@ def _(spark, sf):
     return I.mode_counts(tagged(spark, sf))
 
 
-def _tables(spark, sf) -> Tables:
+def tables_of(spark, sf) -> Tables:
     base = D.variants(spark, sf).select("variant_key", "CHROM", "POS", "gene", "p_size")
     return Tables(base, {"sample": tagged(spark, sf).drop("CHROM", "POS", "genes", "lof")}, unique={"sample": ["Sample_ID"]})
 
@@ -126,7 +126,7 @@ _MODE_SPEC = QuerySpec([Attribute("CHROM"), Attribute("gene"), Attribute("Sample
 @query("search_mode", f"""{WITH} SELECT trio.variant_key, trio."CHROM", trio.gene, "Sample_ID", "GT" FROM trio JOIN part ON p_partkey = variant_key
  WHERE {RULES['denovo']} AND "Family_ID" IN ('family1', 'family4') AND p_size >= 10""")
 def _(spark, sf):
-    return search_mode(_tables(spark, sf), "denovo", _MODE_SPEC)
+    return search_mode(tables_of(spark, sf), "denovo", _MODE_SPEC)
 
 
 _MODE_ARRAY = f"""{WITH}, {COMPOUND_CTE} SELECT DISTINCT variant_key, "CHROM", gene, "Sample_ID", "GT" FROM compound JOIN part ON p_partkey = variant_key
@@ -135,12 +135,12 @@ _MODE_ARRAY = f"""{WITH}, {COMPOUND_CTE} SELECT DISTINCT variant_key, "CHROM", g
 
 @query("search_mode_long", _MODE_ARRAY)
 def _(spark, sf):
-    return search_mode(_tables(spark, sf), "compound_heterozygous", _MODE_SPEC)
+    return search_mode(tables_of(spark, sf), "compound_heterozygous", _MODE_SPEC)
 
 
 @query("search_mode_arrays", _MODE_ARRAY)
 def _(spark, sf):
-    t = _tables(spark, sf)
+    t = tables_of(spark, sf)
     docs = t.base.join(N.sample_arrays(t.paths["sample"], KEYS), KEYS)
     spec = QuerySpec(_MODE_SPEC.attributes, _MODE_SPEC.filters, limit=None, mode="compound_heterozygous")
     return run_spec_nested(docs, spec)
@@ -157,7 +157,7 @@ def _(spark, sf):
  SELECT variant_key, "CHROM", "Sample_ID" FROM hit WHERE variant_key IN (SELECT variant_key FROM hit GROUP BY 1 HAVING count(DISTINCT "Family_ID") > 1)""")
 def _(spark, sf):
     spec = QuerySpec([Attribute("CHROM"), Attribute("Sample_ID", "sample")], [], limit=None, mode="autosomal_dominant", kindred=1)
-    return run_spec(_tables(spark, sf), spec)
+    return run_spec(tables_of(spark, sf), spec)
 
 
 @query("family_count", f"""{WITH} SELECT count(DISTINCT "Family_ID") AS families FROM trio""")
@@ -321,3 +321,14 @@ def _(spark, sf):
                     F.lit(" "), F.when(n % 4 == 0, "NA").otherwise(F.concat(F.lit("M"), n)), F.lit("\t"), (c % 2 + 1).cast("string"), F.lit("\t2"), rest)
     lines = D.table(spark, sf, "customer").select(line.alias("value"))
     return split_pedigree(lines).select("family", "sample", "father", "mother", "sex")
+
+
+@query("outside_intervals", f"""WITH v AS ({D.VARIANTS_SQL}), i AS (SELECT (['1','2','X','7'])[n_nationkey % 4 + 1] AS ichr, n_nationkey * 1500000 AS s, n_nationkey * 1500000 + 2600000 AS e FROM nation)
+ SELECT variant_key, "CHROM", "POS" FROM v WHERE NOT EXISTS (SELECT 1 FROM i WHERE ichr = "CHROM" AND "POS" > s AND "POS" < e)""")
+def _(spark, sf):
+    from helixloom.operators.shaping import outside_intervals
+
+    n = F.col("n_nationkey")
+    intervals = D.table(spark, sf, "nation").select(F.element_at(F.lit(["1", "2", "X", "7"]), (n % 4 + 1).cast("int")).alias("chrom"),
+                                                    (n * 1500000).alias("start"), (n * 1500000 + 2600000).alias("end"))
+    return outside_intervals(D.variants(spark, sf).select("variant_key", "CHROM", "POS"), intervals)

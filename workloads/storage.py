@@ -116,3 +116,14 @@ def _(spark, sf):
     path = folder(spark, "log")
     L.log_spec(L.log_row(spark, "q1", "ann", "orders", SPEC, "large returned orders"), path)
     return L.replay(spark.read.parquet(path), "q1", order_tables(spark, sf))
+
+
+@query("export_mode_csv", f"""WITH {D.COHORT_SQL} SELECT variant_key::VARCHAR AS variant_key, "CHROM", "Sample_ID" AS "Sample" FROM trio WHERE {RULES['autosomal_dominant']}""")
+def _(spark, sf):
+    from helixloom.plans.spec import Attribute, QuerySpec
+    from workloads.family import tables_of
+
+    out = folder(spark, "csv")
+    spec = QuerySpec([Attribute("CHROM"), Attribute("Sample_ID", "sample", "Sample")])
+    L.export_mode_csv(tables_of(spark, sf), "autosomal_dominant", spec, out)
+    return spark.read.csv(out, header=True)
