@@ -169,10 +169,13 @@ def trios(ped: DataFrame) -> DataFrame:
 
 
 def sample_arrays(genotypes: DataFrame, keys: Sequence[str], path: str = "sample") -> DataFrame:
-    """The array view of genotype rows: one document per variant. For cohorts of bounded size."""
+    """The array view of genotype rows: one document per variant.
+
+    A variant has one row per sample column of the file, so the arrays are bounded by the headings.
+    """
     from helixloom.operators.nesting import nest
 
-    return nest(genotypes, keys, path, [c for c in genotypes.columns if c not in keys])
+    return nest(genotypes, keys, path, [c for c in genotypes.columns if c not in keys], parts=1)
 
 
 def family_elements(df: DataFrame, path: str, family: str, field: str = "Family_ID") -> DataFrame:

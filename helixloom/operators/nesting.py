@@ -12,13 +12,15 @@ PART_ELEMENTS = 100_000
 
 
 def nest(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] | Mapping[str, str],
-         parts: int = 1) -> DataFrame:
+         parts: int | None = None) -> DataFrame:
     """One document per key with ``path`` as an array of structs, elements in a stable order.
 
-    ``fields`` are the element members, or source column -> member name. With ``parts`` above 1
-    the elements of a document are spread by content over that many rows (column ``part``), so
-    that no task has to hold all elements of a very large document; use ``parts_for`` to size it.
+    ``fields`` are the element members, or source column -> member name. A document with very many
+    elements takes several rows, over which its elements are dealt out, so that no task gathers
+    all of them; flattening, element tests and element counts mean the same on such rows. How
+    many rows is counted first, unless ``parts`` states it (1 where a group is bounded anyway).
     """
+    parts = parts_for(df, keys) if parts is None else parts
     names = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
     element = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     if parts <= 1:
@@ -32,7 +34,7 @@ def nest(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] |
     part = F.pmod(F.xxhash64("_e") + F.col("_i"), F.lit(parts)).cast("int")
     grouped = (dealt.select(*keys, part.alias("part"), F.struct("_e", copies.alias("_n")).alias("_s"))
                .groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_s")).alias("_es")))
-    return grouped.select(*keys, "part", F.flatten(F.transform(
+    return grouped.select(*keys, F.flatten(F.transform(
         "_es", lambda x: F.array_repeat(x["_e"], x["_n"]))).alias(path))
 
 

@@ -215,14 +215,17 @@ def _(spark, sf):
                     F.col("r.refGene_location").alias("location"), F.col("r.refGene_distance_to_gene").alias("distance"))
 
 
-@query("prune_nested", """SELECT l_orderkey, l_returnflag, detail FROM (SELECT l_orderkey, l_returnflag, CASE WHEN l_linenumber > 3 THEN l_linenumber END AS detail,
- count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS n FROM lineitem) WHERE n = 1 OR detail IS NOT NULL""")
+@query("prune_nested", f"""{V} SELECT k, gene, detail FROM (SELECT k, brand AS gene, NULL::VARCHAR AS detail, k % 2 = 0 AS kept FROM v
+ UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 'OTHER' ELSE brand END, 'NM_' || k, true FROM v UNION ALL SELECT k, 'NEXT' || (k % 10), NULL, true FROM v) WHERE kept""")
 def _(spark, sf):
-    from helixloom.operators.nesting import nest
+    k, none = F.col("variant_key"), F.lit(None).cast("string")
 
-    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("detail"))
-    docs = nest(rows, ["l_orderkey"], "gene", ["l_returnflag", "detail"])
-    return docs.select("l_orderkey", F.explode(A.prune_nested("gene", "l_returnflag", ["detail"])).alias("e")).select("l_orderkey", "e.*")
+    def entry(gene, detail):
+        return F.struct(gene.alias("gene"), detail.alias("detail"))
+
+    genes = F.array(entry(F.col("gene"), none), entry(F.when(k % 2 == 0, "OTHER").otherwise(F.col("gene")), T.text("NM_", k)), entry(T.text("NEXT", k % 10), none))
+    docs = D.variants(spark, sf).select(k.alias("k"), genes.alias("genes"))
+    return docs.select("k", F.explode(A.prune_nested("genes", "gene", ["detail"])).alias("e")).select("k", "e.*")
 
 
 @query("clinvar", f"""{V} SELECT k, 'Pathogenic' AS sig, 'dis' || (k % 6) AS disease, 'single' AS review FROM v

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.functions.scalars import natural_key
+from helixloom.functions.scalars import natural_key, tokens
 from helixloom.operators import facets as G
 from helixloom.operators import predicates as P
 from helixloom.operators import shaping as S
@@ -196,7 +196,8 @@ def _(spark, sf):
     docs = nested_orders(spark, sf, ["l_returnflag", "l_quantity", "l_discount"])
     test = P.same_element([P.nested_terms("line", "l_returnflag", ["R", "A"]), P.nested_gte("line", "l_quantity", 45.0),
                            P.nested_lte("line", "l_discount", 0.02)])
-    return docs.filter(test).select("o_orderkey", "o_orderstatus")
+    # A very large document takes several rows of one key, hence the distinct; it needs no further shuffle.
+    return docs.filter(test).select("o_orderkey", "o_orderstatus").dropDuplicates(["o_orderkey"])
 
 
 @query("nested_analysed_text", r"""SELECT conv_id FROM conversations WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}]+'), 'the')
@@ -213,6 +214,7 @@ def _(spark, sf):
 @query("nest", """SELECT conv_id, count(*)::INT AS turns, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS roles
  FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
+    # One row per conversation as long as none has more than nesting.PART_ELEMENTS turns.
     docs = nest(table(spark, sf, "conversations"), ["conv_id"], "turn", ["turn", "role"])
     text = F.array_join(F.transform("turn", lambda e: F.concat(e["turn"].cast("string"), F.lit(":"), e["role"])), ",")
     return docs.select("conv_id", F.size("turn").alias("turns"), text.alias("roles"))
@@ -227,24 +229,19 @@ def _(spark, sf):
 # --- shaping -------------------------------------------------------------------------------
 
 
-@query("select_attributes", """SELECT o_orderstatus, o_orderkey, string_agg(l_linenumber || '/' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS lines
- FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+@query("select_attributes", """SELECT o_orderstatus, o_orderkey, l_linenumber, l_returnflag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
 def _(spark, sf):
     docs = nested_orders(spark, sf, ["l_linenumber", "l_returnflag", "l_quantity"])
     cut = S.select_attributes(docs, ["o_orderstatus", "o_orderkey", "line.l_linenumber", "line.l_returnflag"])
-    text = F.array_join(F.array_sort(F.transform("line", lambda e: F.concat(e["l_linenumber"].cast("string"), F.lit("/"), e["l_returnflag"]))), ",")
-    return cut.select("o_orderstatus", "o_orderkey", text.alias("lines"))
+    return cut.select("o_orderstatus", "o_orderkey", F.explode_outer("line").alias("e")).select("o_orderstatus", "o_orderkey", "e.*")
 
 
-@query("matching_elements", """SELECT o_orderkey, string_agg(l_linenumber || '@' || l_quantity::INT, ',' ORDER BY l_linenumber || '@' || l_quantity::INT) AS hits,
- count(*)::INT AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity >= 40 GROUP BY o_orderkey""")
+@query("matching_elements", """SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity >= 40""")
 def _(spark, sf):
     docs = nested_orders(spark, sf, ["l_linenumber", "l_returnflag", "l_quantity"])
     preds = [P.nested_term("line", "l_returnflag", "R"), P.nested_gte("line", "l_quantity", 40.0)]
     hits = S.matching_elements(docs.filter(P.same_element(preds)), "line", preds, ["l_linenumber", "l_quantity"])
-    text = F.array_join(F.array_sort(F.transform("line", lambda e: F.concat(
-        e["l_linenumber"].cast("string"), F.lit("@"), e["l_quantity"].cast("int").cast("string")))), ",")
-    return hits.select("o_orderkey", text.alias("hits"), F.size("line").alias("n"))
+    return unnest(hits, ["o_orderkey"], "line")
 
 
 _FLAT = """SELECT DISTINCT o_orderkey, o_orderstatus, l_linenumber, l_returnflag FROM orders
@@ -348,12 +345,12 @@ def _(spark, sf):
     return S.terms_file(table(spark, sf, "orders"), "o_custkey", ids).select("o_orderkey", "o_custkey")
 
 
-@query("terms_file_array", "SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+@query("terms_file_array", r"""WITH ids AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM benchmark) WHERE length(w) >= 12)
+ SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS w FROM documents) WHERE w IN (SELECT w FROM ids)""")
 def _(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    docs = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("suppliers"))
-    ids = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("value"))
-    return S.terms_file(docs, "suppliers", ids, key="o_orderkey").select("o_orderkey")
+    words = table(spark, sf, "benchmark").select(F.explode(tokens("text")).alias("value")).filter(F.length("value") >= 12)
+    docs = table(spark, sf, "documents").select("doc_id", tokens("text").alias("words"))
+    return S.terms_file(docs, "words", words, key="doc_id").select("doc_id")
 
 
 @query("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
@@ -409,13 +406,9 @@ def _(spark, sf):
     return G.long_facets({"": t.base, **t.paths}, ["o_orderstatus", "o_orderpriority", "line.l_returnflag", "line.l_linestatus"])
 
 
-@query("natural_sort", f"""SELECT p_brand, (row_number() OVER (ORDER BY {_NATURAL.format(c='p_brand')}))::INT AS position
- FROM (SELECT DISTINCT p_brand FROM part)""")
+@query("natural_sort", """SELECT DISTINCT p_brand, 'Brand#/' || lpad(length(d)::VARCHAR, 6, '0') || d AS sort_key FROM (SELECT p_brand, regexp_extract(p_brand, '(\\d+)', 1) AS d FROM part)""")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    brands = table(spark, sf, "part").select("p_brand").distinct()
-    return brands.select("p_brand", F.row_number().over(Window.orderBy(natural_key("p_brand"))).alias("position"))
+    return table(spark, sf, "part").select("p_brand", F.array_join(natural_key("p_brand"), "/").alias("sort_key")).distinct()
 
 
 @query("gene_list", """SELECT string_agg(p_brand, '|' ORDER BY p_brand) AS genes FROM (SELECT DISTINCT p_brand FROM part WHERE p_size > 40)""")
