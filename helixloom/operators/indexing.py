@@ -14,7 +14,8 @@ def global_index(df: DataFrame, c: str, out: str = "index") -> DataFrame:
 
     A fixed-size hash sample gives split points. They are literals, so every attempt of a task
     cuts the rows alike; they only steer balance, not the result. Each range is numbered on its
-    own and shifted by the sizes of the ranges before it, a table of at most 257 rows.
+    own and shifted by the sizes of the ranges before it, a table of at most 257 rows. The input is
+    read three times: store a costly one first.
     """
     sample = df.select(c).orderBy(F.xxhash64(c), F.col(c)).limit(BOUNDARY_SAMPLE).collect()
     values = sorted((r[0] for r in sample if r[0] is not None), key=lambda v: v.encode())

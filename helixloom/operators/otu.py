@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.operators.indexing import global_index
+from helixloom.operators.sizing import written
 
 MAX_SAMPLES = 10_000
 
@@ -35,7 +36,8 @@ def otu_table(df: DataFrame, samples: Sequence[str], tax: str = "taxonomy", samp
     Several values for one cell: the last by ``order`` wins, or ``agg='sum'`` adds them.
     """
     cells = df.groupBy(tax).pivot(sample, list(samples)).agg(_cell(value, order, agg)).fillna(0, subset=list(samples))
-    numbered = global_index(cells, tax, "_i")
+    # Numbering reads its input several times, so the finished cells are stored first.
+    numbered = global_index(written(cells, "otu"), tax, "_i")
     return numbered.select(F.concat(F.lit("OTU_"), F.col("_i").cast("string")).alias("OTU_ID"),
                            *[F.col(f"`{s}`") for s in samples], tax)
 
@@ -43,6 +45,6 @@ def otu_table(df: DataFrame, samples: Sequence[str], tax: str = "taxonomy", samp
 def otu_long(df: DataFrame, tax: str = "taxonomy", sample: str = "BMlabid", value: str = "value",
              order: str | Column | None = None, agg: str = "last") -> DataFrame:
     """The same cells without column headings, for any number of samples: id, taxon, sample, value."""
-    cells = df.groupBy(tax, sample).agg(_cell(value, order, agg).alias("value"))
+    cells = written(df.groupBy(tax, sample).agg(_cell(value, order, agg).alias("value")), "otu")
     ids = global_index(cells.select(tax).distinct(), tax, "_i")
     return cells.join(ids, tax).select(F.concat(F.lit("OTU_"), F.col("_i").cast("string")).alias("OTU_ID"), tax, sample, "value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
-from helixloom.functions.scalars import display_id, parse_float, parse_int, safe_name, to_list, variant_class, variant_key
+from helixloom.functions.scalars import display_id, parse_float, parse_int, to_list, variant_class, variant_key
 
 FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "format"]
 KEYS = ["CHROM", "POS", "REF", "ALT"]
@@ -169,7 +169,3 @@ def normalize_variants(raw: DataFrame, rule: str = "base", sep: str = "_", key_p
 def region(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Both bounds included. Prunes the chromosome partition and row groups of a written warehouse."""
     return df.filter((F.col("CHROM") == chrom) & F.col("POS").between(start, end))
-
-
-def field_name(name: str) -> str:
-    return safe_name(name)

@@ -3,8 +3,6 @@
 import gzip
 
 import pytest
-from pyspark.sql import functions as F
-
 from helixloom.functions import vocab as V
 from helixloom.operators import genotypes as N
 from helixloom.operators import info as Info

@@ -10,7 +10,6 @@ from helixloom.operators import reviews as R
 from helixloom.plans.field_plan import field_plan
 from helixloom.plans.log import saved_specs
 from helixloom.sources.vcf import header_catalog
-from workloads import derive as D
 from workloads import vcf_text as T
 from workloads.derive import table
 from workloads.registry import query

@@ -9,7 +9,6 @@ from helixloom.functions.scalars import (
     clean_number, decode_escapes, infer_type, normalize_chrom, parse_float, region_string, start_end, variant_key,
 )
 from helixloom.operators import annotations as A
-from helixloom.operators import merging as M
 from helixloom.operators.info import FieldMapping, apply_mapping, info_value, parse_info, profile_fields
 from helixloom.sources.vcf import header_catalog, ingest_report, normalize_variants, region, split_lines, split_rejects
 from workloads import derive as D
