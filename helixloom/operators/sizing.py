@@ -34,7 +34,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it; a temporary one only in local mode."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
 from helixloom.functions.scalars import display_id, parse_float, parse_int, to_list, variant_class, variant_key
+from helixloom.operators.sizing import spread
 
 FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "format"]
 KEYS = ["CHROM", "POS", "REF", "ALT"]
@@ -31,9 +32,13 @@ class Catalog:
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Text lines of plain or gzip files. Gzip cannot be split: ask for ``partitions`` after it."""
+    """Text lines of plain or gzip files.
+
+    Gzip cannot be split, so its lines are dealt out after reading: over ``partitions`` if given,
+    else over all cores when the files came as fewer pieces than that.
+    """
     lines = spark.read.text(path)
-    return lines.repartition(partitions) if partitions else lines
+    return lines.repartition(partitions) if partitions else spread(lines)
 
 
 def header_lines(spark: SparkSession, path: str) -> list[str]:

@@ -125,3 +125,13 @@ def test_arriving_batches(spark, tmp_path):
 def test_trios_and_counts(spark):
     ped = spark.sql("SELECT * FROM VALUES ('f', 'c1', 'd', 'm', '1'), ('f', 'c2', 'd', 'm', '2'), ('f', 'd', null, null, '1') AS t(family, sample, father, mother, sex)")
     assert sorted(r["child"] for r in N.trios(ped).collect()) == ["c1", "c2"]
+
+
+def test_shared_folder_is_the_named_one(spark):
+    from helixloom.operators.sizing import shared_folder, written
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_folder(spark) == named.rstrip("/")
+    back = written(spark.range(5), "five")
+    assert back.count() == 5 and (named is None or back.inputFiles()[0].startswith(named.rstrip("/")) or named.rstrip("/") in back.inputFiles()[0])
