@@ -78,3 +78,9 @@ def test_parsers_and_dictionaries(spark):
     assert values(spark, ["a", "z", None], lambda c: parsers.map_values(c, {"a": "b"})) == ["b", "z", None]
     with pytest.raises(ValueError):
         parsers.map_values("c", {str(i): "x" for i in range(parsers.LITERAL_MAP_ENTRIES + 1)})
+
+
+def test_safe_names(spark):
+    from helixloom.operators.shaping import safe_names
+
+    assert safe_names(spark.sql("SELECT 1 AS `Gene.refGene`, 2 AS x")).columns == ["Gene_refGene", "x"]
