@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_oracles import compare, connect
+from workloads import all_oracles, all_queries
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
