@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontaminate, exact_dedup, mixing, quality, simhash, sql
+from helixloom.llm import decontaminate, exact_dedup, mixing, quality, simhash, sql, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return quality.annotate(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op8_substring_dedup", sql.SUBSTRING_DEDUP)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.annotate(table(spark, sf, "documents")).drop("factors")
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.annotate(table(spark, sf, "documents"))

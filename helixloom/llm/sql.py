@@ -61,3 +61,15 @@ used AS (SELECT doc_id, source, unnest(range(epochs)) AS epoch, block, tokens, w
          UNION ALL SELECT doc_id, source, epochs, block, tokens, w FROM part WHERE fits OR ends <= rest)
 SELECT doc_id, source, epoch, block, {_dice(str(SEED), 'epoch', 'doc_id')} AS place, tokens, round(w, 6) AS weight FROM used
 """
+
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+win AS (SELECT r, doc_id, fst, md5(array_to_string(w[fst:fst + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS fst FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS source FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT r, list(DISTINCT k) AS gone FROM (SELECT r, unnest(range(fst, fst + 50)) AS k FROM win JOIN f USING (h) WHERE source < doc_id) GROUP BY r),
+word AS (SELECT r, string_agg(w, ' ' ORDER BY k) AS kept FROM (SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS k FROM d) x
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(gone) AS k FROM gone) g WHERE g.r = x.r AND g.k = x.k) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN word USING (r)
+"""
