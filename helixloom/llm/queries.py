@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontaminate, exact_dedup, mixing, quality, simhash, sql, substring_dedup
+from helixloom.llm import decontaminate, exact_dedup, html_extract, mixing, quality, simhash, sql, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.annotate(table(spark, sf, "documents")).drop("factors")
 
 
+@query("op9_html_extract")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf, "pages"))
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.annotate(table(spark, sf, "documents"))
