@@ -204,12 +204,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _grouped(keys: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints with their smallest doc_id, and the component id of those that are linked."""
-    nodes = keys.groupBy("print").agg(F.min("doc_id").alias("first"))
+    """Distinct fingerprints with their smallest doc_id, and the component id of those that are linked.
+
+    What later joins read is stored first: a join of two plain scans can be split where a key is hot.
+    """
+    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     moved = components(links(nodes.select("print"), radius))
     linked = moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct())
-    named = linked.join(nodes, F.col("node") == F.col("print")).select("node", "root", "first")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(linked.join(nodes, F.col("node") == F.col("print")).select("node", "root", "first"), "linked")
+    ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
     return nodes, named.join(ids, "root").select(F.col("node").alias("print"), "component_id")
 
 
@@ -221,7 +224,7 @@ def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
     keys = stored(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("print")), "prints")
     nodes, linked = _grouped(keys, radius)
-    named = nodes.join(linked, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"))
+    named = stored(nodes.join(linked, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id")), "components")
     return keys.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
