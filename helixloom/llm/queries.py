@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontaminate, exact_dedup, html_extract, mixing, quality, simhash, sql, substring_dedup
+from helixloom.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, quality, simhash, sql, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_license_scan", sql.LICENSE_SCAN)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf, "documents"), license_scan.catalog(spark))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 @query("op2_decontaminate", sql.DECONTAMINATE)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.annotate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -43,6 +49,15 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf, "documents"))
 
 
+# The contract's rules: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES, url_filter.labelled_urls(spark))
+
+
 @query("op7_quality")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return quality.annotate(table(spark, sf, "documents"), table(spark, sf, "labels"))

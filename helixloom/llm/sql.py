@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the rows of the registered queries."""
 
+from helixloom.llm.license_scan import CLAIM, NOT_WORD, NOTICES, RESERVED, SPELLINGS
+
 SEED = 7
 ENTROPY = 0.999
 
@@ -73,3 +75,28 @@ word AS (SELECT r, string_agg(w, ' ' ORDER BY k) AS kept FROM (SELECT r, unnest(
 SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r) LEFT JOIN word USING (r)
 """
+
+
+def _spelled(line: str) -> str:
+    out = f"concat(' ', trim({line}), ' ')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"trim({out})"
+
+
+_LINES = (f"list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), '{CLAIM}', '\\1', 'g'), '{NOT_WORD}', ' ', 'g'), chr(10)), "
+          f"lambda line: {_spelled('line')})")
+_TOLD = f"list_filter(lines, lambda x: x <> '' AND x <> '{RESERVED}')"
+_WHOLE = f"CASE WHEN len({_TOLD}) > 0 THEN array_to_string({_TOLD}, ' ') WHEN list_contains(lines, '{RESERVED}') THEN '{RESERVED}' ELSE '' END"
+
+_CATALOG = ", ".join("({}, {})".format(*("'" + v.replace("'", "''") + "'" for v in row)) for row in NOTICES)
+
+LICENSE_SCAN = f"""
+WITH known AS (SELECT sha256(c) AS digest, min(license) AS license
+               FROM (SELECT license, {_WHOLE} AS c FROM (SELECT license, {_LINES} AS lines FROM (VALUES {_CATALOG}) v(license, text))) WHERE c <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LINES} AS lines FROM documents),
+u AS (SELECT r, true AS entire, {_WHOLE} AS c FROM d UNION ALL SELECT r, false, unnest(lines) FROM d),
+f AS (SELECT r, min(license) FILTER (entire) AS license, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) FILTER (NOT entire) AS n_lines
+      FROM (SELECT r, entire, sha256(c) AS digest FROM u WHERE c <> '') JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, license, coalesce(licenses, '') AS licenses, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN f USING (r)
+"""
