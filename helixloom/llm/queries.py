@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontaminate, exact_dedup, html_extract, license_scan, mixing, quality, simhash, sql, substring_dedup, url_filter
+from helixloom.llm import decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, simhash, sql, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.annotate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op3_line_dedup", sql.LINE_DEDUP)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.annotate(table(spark, sf, "documents"))
+
+
 @query("op4_mixing", sql.MIXING)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), target_entropy=sql.ENTROPY, seed=sql.SEED)

@@ -1,6 +1,7 @@
 """DuckDB SQL that gives the rows of the registered queries."""
 
 from helixloom.llm.license_scan import CLAIM, NOT_WORD, NOTICES, RESERVED, SPELLINGS
+from helixloom.llm.line_dedup import DEPTH, FIELD, MIN_DOCS, SIMILARITY
 
 SEED = 7
 ENTROPY = 0.999
@@ -100,3 +101,23 @@ f AS (SELECT r, min(license) FILTER (entire) AS license, string_agg(DISTINCT lic
       FROM (SELECT r, entire, sha256(c) AS digest FROM u WHERE c <> '') JOIN known USING (digest) GROUP BY r)
 SELECT doc_id, license, coalesce(licenses, '') AS licenses, coalesce(n_lines, 0) AS n_lines FROM d LEFT JOIN f USING (r)
 """
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k FROM d),
+m AS (SELECT r, k, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}' ELSE t END) AS w FROM l),
+o AS (SELECT r, k, w, len(w) AS n, w[1:{DEPTH}] AS lead FROM m WHERE len(w) > 0),
+c AS (SELECT n, lead, w, count(DISTINCT r) AS docs FROM o GROUP BY ALL),
+tok AS (SELECT n, lead, w, docs, unnest(w) AS t, unnest(range(1, n + 1)) AS p FROM c),
+sup AS (SELECT n, lead, p, t, sum(docs) AS held FROM tok GROUP BY ALL),
+tpl AS (SELECT n, lead, w, avg(CASE WHEN held >= {MIN_DOCS} AND t <> '{FIELD}' THEN 1.0 ELSE 0.0 END) AS alike, bool_or(held < {MIN_DOCS} AND t <> '{FIELD}') AS general,
+               list(CASE WHEN held >= {MIN_DOCS} THEN t ELSE '{FIELD}' END ORDER BY p) AS template
+        FROM tok JOIN sup USING (n, lead, p, t) GROUP BY n, lead, w),
+g AS (SELECT n, lead, w, template FROM tpl WHERE general AND alike >= {SIMILARITY}),
+often AS (SELECT n, lead, template FROM o JOIN g USING (n, lead, w) GROUP BY n, lead, template HAVING count(DISTINCT r) >= {MIN_DOCS}),
+dropped AS (SELECT w FROM c WHERE docs >= {MIN_DOCS} UNION SELECT w FROM g JOIN often USING (n, lead, template)),
+gone AS (SELECT r, list(k) AS gone FROM o JOIN dropped USING (w) GROUP BY r)
+SELECT doc_id, len(lines) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+       sha256(array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
