@@ -16,7 +16,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
@@ -50,19 +50,25 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[bytes]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights (bias last) of a logistic regression: accelerated gradient on a bounded sample of rows."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights (bias last) of a logistic regression: accelerated gradient on a bounded sample of rows, in x's precision."""
+    n, dims = x.shape
+    y = y.astype(x.dtype)
+
+    def pulled(r: np.ndarray) -> np.ndarray:
+        return np.append(r @ x, r.sum())
+
     # A bound on the curvature gives the step; the largest singular value comes from a few power steps.
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    v, size = np.full(dims + 1, (dims + 1) ** -0.5, x.dtype), 1.0
     for _ in range(12):
-        u = x.T @ (x @ v)
-        size = np.linalg.norm(u)
-        v = u / size
-    step = 1.0 / (0.25 * 1.05 * size / len(x) + ridge)
-    w, look = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        u = pulled(x @ v[:-1] + v[-1])
+        size = float(np.linalg.norm(u)) or 1.0
+        v = (u / size).astype(x.dtype)
+    step = 1.0 / (0.25 * 1.05 * size / n + ridge)
+    w, look = np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - step * (x.T @ (p - y) / len(x) + ridge * np.append(look[:-1], 0.0))
+        odds = x @ look[:-1].astype(x.dtype) + x.dtype.type(look[-1])
+        p = 1.0 / (1.0 + np.exp(-np.clip(odds, -30, 30)))
+        new = look - step * (pulled(p - y) / n + ridge * np.append(look[:-1], 0.0))
         look = new + (t / (t + 3.0)) * (new - w)
         w = new
     return w

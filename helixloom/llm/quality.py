@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from helixloom.llm.common import fit_logistic, packed, texts, unpacked
 
-LABELLED = 4_000
-POOL = 4_000
+LABELLED = 3_000
+POOL = 3_000
 ROUNDS = 3
 GRAMS = 2_048
 NAMES = 32
@@ -87,7 +87,7 @@ def cotrain(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rou
     label = [y[~held], y[~held]]
     left = np.arange(len(pools[0]))
     for turn in range(rounds + 1):
-        w = [fit_logistic(train[v].astype(np.float64), label[v]) for v in (0, 1)]
+        w = [fit_logistic(train[v], label[v]) for v in (0, 1)]
         if turn == rounds or not len(left):
             break
         taken = []
@@ -133,20 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         *[c.alias(n) for n, c in zip(("h", "doc_id"), turn())], "y", _features("text", "lang", "source").alias("f")).toArrow()
     frame = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("y", "ascending")])
     y = np.array([np.nan if v is None else v for v in frame["y"].to_pylist()])
-    views = [np.array([s[k] for s in _slices(frame["f"])], np.float32).reshape(len(y), -1) for k in (0, 1)]
+    views = [frame["f"].combine_chunks().field(k).flatten().to_numpy(False).reshape(len(y), -1) for k in ("x", "m")]
+    del rows, frame
     known = ~np.isnan(y)
     if len(np.unique(y[known])) < 2:
         return None
     return cotrain([v[known] for v in views], y[known], [v[~known] for v in views], rounds)
 
 
-def _slices(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for chunk in column.chunks:
-        x, m = chunk.field("x"), chunk.field("m")
-        for i in range(len(chunk)):
-            yield x[i].values.to_numpy(), m[i].values.to_numpy()
-
-
 def scores(docs: DataFrame, model: dict | None):
     """A column of struct p_text, p_meta, score for text, lang and source; without a model everything scores 1."""
     if model is None:

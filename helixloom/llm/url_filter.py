@@ -80,7 +80,7 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> np.ndarray |
     for i, r in enumerate(rows):
         g = grams(r.host, r.path)
         x[i, g] = len(g) ** -0.5
-    return fit_logistic(x.astype(np.float64), y, ridge=2e-4, steps=300)
+    return fit_logistic(x, y, ridge=2e-4, steps=300)
 
 
 def score(weights: np.ndarray, host: str, path: str) -> float:
