@@ -92,7 +92,8 @@ def annotate(docs: DataFrame) -> DataFrame:
     # Copies are counted before they meet, so a text with a third of all rows is a few rows per task.
     alike = marked.filter("maybe").groupBy("digest", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
     rank = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    groups = alike.groupBy("digest").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size"))
+    # Stored, so that the join below is one of plain scans and a hot digest can be split.
+    groups = stored(alike.groupBy("digest").agg(F.min(rank).alias("best"), F.sum("copies").alias("group_size")), "groups")
     many = alike.join(groups, "digest").withColumn("winner", rank.eqNullSafe(F.col("best"))).select(
         "doc_id", F.col("best.id").alias("keep_id"), F.col("group_size"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"), "winner", "digest")
