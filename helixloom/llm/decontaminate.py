@@ -132,12 +132,14 @@ def _blocks(benchmark: DataFrame, window: int, budget: int) -> Iterator[dict]:
 
 def _sets(spans: F.Column) -> F.Column:
     """Merge sorted spans that touch or overlap."""
-    empty = F.array().cast("array<struct<start: int, stop: int>>")
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(F.array_sort(spans), empty, lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))))
+    kind = "array<struct<start: int, stop: int>>"
+
+    def add(done: F.Column, s: F.Column) -> F.Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))).cast(kind)
+        return F.when((F.size(done) > 0) & (last["stop"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
