@@ -4,19 +4,24 @@ A text is lower-cased (A-Z), cut into words [^\\x20\\x09-\\x0D]+ and into shingl
 shorter text is one shingle). A bit of the 64-bit fingerprint is 1 if it is set in over half of the shingles' XXH64
 hashes (seed 42); a text without words has fingerprint zero.
 
-Equal fingerprints are one node, whatever their number of documents. Two fingerprints within `radius` bits agree on at
-least one of radius + 1 blocks of bits, so a shard is the set of fingerprints that share a block; a pair within the radius
-meets in a shard. In each shard a BK-tree (children keyed by their integer distance to the parent) is built and searched
-with all members at once, following only edges within the radius of a query's distance. A shard of more than `SHARD`
-members becomes several trees; each member queries those from its own on. Trees travel to where the shard's rows are
-and are not broadcast, because the fingerprints of all documents have no size bound.
-
-A shard gives a spanning set of links (at most one per query and linked component of the tree), not all pairs; components
-come from large-star and small-star rounds over those, each stored in the shared folder.
+Equal fingerprints are one node, whatever their number of documents. A shard is the set of fingerprints that agree under a
+mask of bits. Up to `EXACT` bits of radius the masks are radius + 1 blocks, so a pair within the radius meets in a shard for
+certain. For a wider radius (near copies that share four fifths of five-word shingles lie some nine bits apart, seldom over twelve) they are
+`TABLES` samples of `MASK` bits, and the share of pairs found is measured in the tests.
+
+In each shard a BK-tree (children keyed by their integer distance to the parent) is built and searched with all members at
+once, following only edges within the radius of a query's distance. A shard of more than `SHARD` members becomes several
+trees; each member queries those from its own on. Trees travel to where the shard's rows are and are not broadcast,
+because the fingerprints of all documents have no size bound.
+
+A shard gives a spanning set of links between its closest fingerprints, not all pairs. Where a similarity is asked for, links
+are confirmed on bottom-k sketches of the shingle sets (exact for texts of up to `SKETCH` shingles). Components come
+from large-star and small-star rounds over the links, each stored in the shared folder.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,20 +33,26 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import packed, stored, texts, unpacked
 
 SHARD = 2048
+EXACT = 3
+TABLES = 48
+MASK = 18
+SKETCH = 64
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
+def shingled(text: bytes, shingle: int = 3) -> tuple[int, np.ndarray]:
+    """Fingerprint of a text, and the `SKETCH` least of its distinct shingle hashes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return 0, np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
+        h = xxhash.xxh64_intdigest(line, 42)
+        return h, np.array([h], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
     ends = starts + lens
     n = len(words) - shingle + 1
-    half, counts = n, np.zeros(64, np.int64)
+    counts, least = np.zeros(64, np.int64), np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, 51_000):  # 200 runs of 255 shingles: sums of a run fit a byte
         to = min(n, at + 51_000)
@@ -50,7 +61,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         runs = -(-len(bits) // 255)
         bits = np.concatenate([bits, np.zeros((runs * 255 - len(bits), 64), np.uint8)]).reshape(runs, 255, 64)
         counts += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > half)))
+        # Enough of the least hashes to hold SKETCH distinct ones, were it not for shingles that repeat often.
+        low = h if to - at <= 4 * SKETCH else np.partition(h, 4 * SKETCH)[:4 * SKETCH]
+        low = np.unique(low)
+        least = np.unique(np.concatenate([least, low if len(low) >= SKETCH else np.unique(h)]))[:SKETCH]
+    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))), least
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return shingled(text, shingle)[0]
 
 
 def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
@@ -65,6 +84,19 @@ def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
     return of(text)
 
 
+def sketched(text: F.Column, shingle: int) -> F.Column:
+    """Struct of print and sketch."""
+
+    @F.arrow_udf("struct<print: bigint, sketch: array<bigint>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = [shingled(t, shingle) for t in texts(column)]
+            prints = np.array([p for p, _ in found], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(prints), pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))], ["print", "sketch"])
+
+    return of.asNondeterministic()(text)
+
+
 class BKTree:
     """Children of a node are keyed by their Hamming distance to it."""
 
@@ -97,18 +129,41 @@ class BKTree:
                     todo.append((child, follow))
 
 
-def _joined(labels: np.ndarray, members: np.ndarray) -> None:
-    """Merge the components of `members`; the smallest position is the label."""
-    roots = np.unique(labels[members])
-    for r in roots[1:]:
-        labels[labels == r] = roots[0]
-
-
-def _tree_links(prints: np.ndarray, radius: int) -> tuple[BKTree, np.ndarray]:
-    tree, labels = BKTree(prints), np.arange(len(prints))
-    for node, near in tree.search(prints, radius):
-        _joined(labels, np.append(near, node))
-    return tree, labels
+def _spanning(n: int, found: list[tuple[np.ndarray, ...]], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Component labels of n nodes, and the (x, y) pairs that make them: of pairs (x, y, distance) the closest first."""
+    labels, chosen = np.arange(n), []
+    if not found:
+        return labels, np.zeros((0, 2), np.int64)
+    x, y, far = (np.concatenate(c) for c in zip(*found))
+    for level in range(radius + 1):
+        at = np.flatnonzero(far == level)
+        at = at[labels[x[at]] != labels[y[at]]]
+        if not len(at):
+            continue
+        _, first = np.unique(labels[x[at]] * n + labels[y[at]], return_index=True)
+        root: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while root.get(i, i) != i:
+                i = root[i]
+            return i
+
+        for k in at[first].tolist():
+            a, b = top(int(labels[x[k]])), top(int(labels[y[k]]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                chosen.append((x[k], y[k]))
+        moved = np.arange(n)
+        for i in root:
+            moved[i] = top(i)
+        labels = moved[labels]
+    return labels, np.array(chosen, np.int64).reshape(-1, 2)
+
+
+def _tree_links(prints: np.ndarray, radius: int) -> tuple[BKTree, np.ndarray, np.ndarray]:
+    tree = BKTree(prints)
+    found = [(near, np.full(len(near), node), np.bitwise_count(prints[near] ^ prints[node])) for node, near in tree.search(prints, radius)]
+    return tree, *_spanning(len(prints), found, radius)
 
 
 def _links(radius: int):
@@ -120,9 +175,8 @@ def _links(radius: int):
         def grown() -> None:
             nonlocal tree, labels
             prints = np.concatenate(own).view(np.uint64)
-            tree, labels = _tree_links(prints, radius)
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            out.append((prints[linked], prints[labels[linked]]))
+            tree, labels, pairs = _tree_links(prints, radius)
+            out.append((prints[pairs[:, 0]], prints[pairs[:, 1]]))
 
         def flushed():
             a = np.concatenate([x for x, _ in out] or [np.zeros(0, np.uint64)]).view(np.int64)
@@ -149,13 +203,14 @@ def _links(radius: int):
                     if tree is None:
                         grown()
                     queries = prints[split:b].view(np.uint64)
-                    found: set[tuple[int, int]] = set()
+                    # One link, the closest, from a guest to each linked component of the tree.
+                    best: dict[tuple[int, int], tuple[int, int]] = {}
                     for node, near in tree.search(queries, radius):
                         root = int(labels[node])
-                        found.update((q, root) for q in near.tolist())
-                    if found:
-                        pairs = np.array(sorted(found))
-                        out.append((queries[pairs[:, 0]], tree.prints[pairs[:, 1]]))
+                        for q, far in zip(near.tolist(), np.bitwise_count(queries[near] ^ tree.prints[node]).tolist()):
+                            best[q, root] = min(best.get((q, root), (65, 0)), (far, node))
+                    if best:
+                        out.append((queries[[q for q, _ in best]], tree.prints[[node for _, node in best.values()]]))
             if out:
                 yield flushed()
         if own and tree is None:
@@ -165,13 +220,19 @@ def _links(radius: int):
     return run
 
 
+def masks(radius: int) -> list[int]:
+    """Masks of bits under which pairs within the radius are looked for."""
+    if radius <= EXACT:
+        width = -(-64 // (radius + 1))
+        return [((1 << min(width, 64 - at)) - 1) << at for at in range(0, 64, width)]
+    rng = random.Random(64)
+    return [sum(1 << b for b in rng.sample(range(64), MASK)) for _ in range(TABLES)]
+
+
 def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column print) that span every component at the radius."""
-    blocks, width = radius + 1, -(-64 // (radius + 1))
-    # Block i holds bits i*width up to the next block; the last may be shorter.
-    keyed = [F.struct(F.lit(i).alias("block"),
-                      F.shiftrightunsigned("print", i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("key"))
-             for i in range(blocks)]
+    """Links (a, b) between distinct fingerprints (column print): closest pairs first, spanning what each shard links."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    keyed = [F.struct(F.lit(i).alias("block"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)]
     members = prints.select("print", F.explode(F.array(*keyed)).alias("k")).select("k.block", "k.key", "print")
     sizes = members.groupBy("block", "key").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / shard).cast("int")).drop("count")
     met = members.join(sizes, ["block", "key"]).withColumn("own", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
@@ -181,6 +242,15 @@ def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
             .mapInArrow(_links(radius), "a long, b long"))
 
 
+def confirmed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The links whose sketches (print, sketch) show a Jaccard similarity of at least `similarity`."""
+    one, two = (sketches.select(F.col("print").alias(n), F.col("sketch").alias(k)) for n, k in (("a", "x"), ("b", "y")))
+    both = pairs.distinct().join(one, "a").join(two, "b")
+    low = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    shared = F.size(F.array_intersect(low, F.array_intersect("x", "y")))
+    return both.filter((F.size(low) > 0) & (shared >= similarity * F.size(low))).select("a", "b")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every linked node that is not its component's smallest: large-star and small-star in turn."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -203,13 +273,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(keys: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(keys: DataFrame, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints with their smallest doc_id, and the component id of those that are linked.
 
     What later joins read is stored first: a join of two plain scans can be split where a key is hot.
     """
-    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    moved = components(links(nodes.select("print"), radius))
+    sketch = [F.min_by("sketch", "doc_id").alias("sketch")] if similarity is not None else []
+    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first"), *sketch), "nodes")
+    pairs = links(nodes.select("print"), radius)
+    moved = components(pairs if similarity is None else confirmed(pairs, nodes, similarity))
     linked = moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct())
     named = stored(linked.join(nodes, F.col("node") == F.col("print")).select("node", "root", "first"), "linked")
     ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
@@ -229,14 +301,15 @@ def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 12, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, with all columns of the input: the one with the smallest doc_id.
 
-    Rows are told apart by doc_id and a hash of the text; of rows equal in both, one stays.
+    Links need a fingerprint distance within the radius and, unless `similarity` is None, that Jaccard similarity of shingle
+    sets. Rows are told apart by doc_id and a hash of the text; of rows equal in both, one stays.
     """
-    key = lambda: (F.col("doc_id"), F.xxhash64("text").alias("h"))
-    keys = stored(docs.select(*key(), fingerprints(F.col("text"), shingle).alias("print")), "prints")
-    nodes, linked = _grouped(keys, radius)
+    prints = F.struct(fingerprints(F.col("text"), shingle).alias("print")) if similarity is None else sketched(F.col("text"), shingle)
+    keys = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), prints.alias("p")).select("doc_id", "h", "p.*"), "prints")
+    nodes, linked = _grouped(keys, radius, similarity)
     root = linked.withColumnRenamed("component_id", "group")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     # Copies of one fingerprint merge before components meet.

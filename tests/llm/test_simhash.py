@@ -110,6 +110,41 @@ def test_tree_search_finds_all_within_radius():
         assert found == want and {int(prints[n]) for n in nodes} == set(prints.tolist())
 
 
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_copies_of_five_word_shingles(documents):
+    """Recall of the wide radius against brute force over pairs of four fifths similarity or more; no other text goes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, copies = [], []
+    for i in range(300):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        rows.append((2 * i, " ".join(base)))
+        if i % 2:
+            other = list(base)
+            for _ in range(max(1, len(base) // 60)):
+                other[rng.randrange(len(other))] = word()
+            rows.append((2 * i + 1, " ".join(other)))
+            a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+            if len(a & b) / len(a | b) >= 0.82:
+                copies.append(2 * i + 1)
+    rows += [(10_000 + i, f"short text {word()} of few words {word()}") for i in range(200)]
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.deduplicate(documents(rows)).collect()}
+    assert len(gone & set(copies)) >= 0.9 * len(copies) > 90
+    assert all(g % 2 and g < 10_000 for g in gone)
+
+
+def test_sketch_is_the_least_distinct_hashes():
+    text = " ".join(str(i % 9_000) for i in range(70_000)).encode()
+    words = text.split()
+    h = {xxhash.xxh64_intdigest(b" ".join(words[i:i + 5]), 42) for i in range(len(words) - 4)}
+    assert simhash.shingled(text, 5)[1].tolist() == sorted(h)[:simhash.SKETCH]
+    assert simhash.shingled(b"a a a a a a a a", 5)[1].tolist() == [xxhash.xxh64_intdigest(b"a a a a a", 42)]
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(400)], "a long, b long")
     assert simhash.components(edges).select(F.countDistinct("node"), F.max("root")).first()[:] == (400, 0)
@@ -118,7 +153,7 @@ def test_long_chain_is_one_component(spark):
 def test_deduplicate_keeps_one_of_each_group(documents, clash):
     rows = near_copies(40) + EDGE
     df = documents(rows, clash)
-    out = simhash.deduplicate(df)
+    out = simhash.deduplicate(df, shingle=3, radius=2, similarity=None)
     assert out.columns == df.columns
     want = {c for _, _, c in brute(rows)}
     got = [r.doc_id for r in out.collect()]
