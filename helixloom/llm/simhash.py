@@ -15,8 +15,8 @@ trees; each member queries those from its own on. Trees travel to where the shar
 because the fingerprints of all documents have no size bound.
 
 A shard gives a spanning set of links between its closest fingerprints, not all pairs. Where a similarity is asked for, links
-are confirmed on bottom-k sketches of the shingle sets (exact for texts of up to `SKETCH` shingles). Components come
-from large-star and small-star rounds over the links, each stored in the shared folder.
+are confirmed on the shingle sets of their texts. Components come from large-star and small-star rounds over the links,
+each stored in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,45 +31,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import packed, stored, texts, unpacked
+from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
 EXACT = 3
-TABLES = 48
+TABLES = 56
 MASK = 18
-SKETCH = 64
 
 
-def shingled(text: bytes, shingle: int = 3) -> tuple[int, np.ndarray]:
-    """Fingerprint of a text, and the `SKETCH` least of its distinct shingle hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in runs of bounded length."""
     words = text.lower().split()
-    if not words:
-        return 0, np.zeros(0, np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        h = xxhash.xxh64_intdigest(line, 42)
-        return h, np.array([h], np.uint64)
+        if words:
+            yield np.array([digest(line, 42)], np.uint64)
+        return
     lens = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lens + 1)[:-1]))
     ends = starts + lens
     n = len(words) - shingle + 1
-    counts, least = np.zeros(64, np.int64), np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 51_000):  # 200 runs of 255 shingles: sums of a run fit a byte
+    for at in range(0, n, 51_000):  # 200 runs of 255
         to = min(n, at + 51_000)
-        h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + shingle - 1:to + shingle - 1].tolist())), np.uint64, to - at)
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        runs = -(-len(bits) // 255)
-        bits = np.concatenate([bits, np.zeros((runs * 255 - len(bits), 64), np.uint8)]).reshape(runs, 255, 64)
-        counts += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        # Enough of the least hashes to hold SKETCH distinct ones, were it not for shingles that repeat often.
-        low = h if to - at <= 4 * SKETCH else np.partition(h, 4 * SKETCH)[:4 * SKETCH]
-        low = np.unique(low)
-        least = np.unique(np.concatenate([least, low if len(low) >= SKETCH else np.unique(h)]))[:SKETCH]
-    return int(sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))), least
+        yield np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + shingle - 1:to + shingle - 1].tolist())), np.uint64, to - at)
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
-    return shingled(text, shingle)[0]
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        runs = -(-len(bits) // 255)  # sums of 255 bits fit a byte
+        bits = np.concatenate([bits, np.zeros((runs * 255 - len(bits), 64), np.uint8)]).reshape(runs, 255, 64)
+        counts += bits.sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return sum(1 << int(b) for b in np.flatnonzero(2 * counts > n))
 
 
 def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
@@ -84,15 +80,13 @@ def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
     return of(text)
 
 
-def sketched(text: F.Column, shingle: int) -> F.Column:
-    """Struct of print and sketch."""
+def shingle_sets(text: F.Column, shingle: int) -> F.Column:
+    """Distinct shingle hashes of a text."""
 
-    @F.arrow_udf("struct<print: bigint, sketch: array<bigint>>")
+    @F.arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            found = [shingled(t, shingle) for t in texts(column)]
-            prints = np.array([p for p, _ in found], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(prints), pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))], ["print", "sketch"])
+            yield pa.array([np.unique(np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])).view(np.int64) for t in texts(column)], pa.list_(pa.int64()))
 
     return of.asNondeterministic()(text)
 
@@ -242,13 +236,21 @@ def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
             .mapInArrow(_links(radius), "a long, b long"))
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The links whose sketches (print, sketch) show a Jaccard similarity of at least `similarity`."""
-    one, two = (sketches.select(F.col("print").alias(n), F.col("sketch").alias(k)) for n, k in (("a", "x"), ("b", "y")))
-    both = pairs.distinct().join(one, "a").join(two, "b")
-    low = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-    shared = F.size(F.array_intersect(low, F.array_intersect("x", "y")))
-    return both.filter((F.size(low) > 0) & (shared >= similarity * F.size(low))).select("a", "b")
+def confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts have a Jaccard similarity of shingle sets of at least `similarity`. keys: doc_id, h, print.
+
+    Texts of equal fingerprint stand for each other; only texts at the ends of links are looked at.
+    """
+    pairs = stored(pairs.distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    one = keys.join(ends, "print").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    one = stored(one.select("print", F.col("k.doc_id").alias("d"), F.col("k.h").alias("k")), "ends")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    told = rows.join(broadcast_if(is_small(one), one), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).dropDuplicates(["print"])
+    sets = stored(told.select("print", shingle_sets(F.col("text"), shingle).alias("set")), "sets")
+    a, b = (sets.select(F.col("print").alias(n), F.col("set").alias(k)) for n, k in (("a", "x"), ("b", "y")))
+    both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -273,15 +275,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(keys: DataFrame, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _grouped(keys: DataFrame, radius: int, confirm=lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
     """Distinct fingerprints with their smallest doc_id, and the component id of those that are linked.
 
     What later joins read is stored first: a join of two plain scans can be split where a key is hot.
     """
-    sketch = [F.min_by("sketch", "doc_id").alias("sketch")] if similarity is not None else []
-    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first"), *sketch), "nodes")
-    pairs = links(nodes.select("print"), radius)
-    moved = components(pairs if similarity is None else confirmed(pairs, nodes, similarity))
+    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
+    moved = components(confirm(links(nodes.select("print"), radius)))
     linked = moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct())
     named = stored(linked.join(nodes, F.col("node") == F.col("print")).select("node", "root", "first"), "linked")
     ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
@@ -301,22 +301,31 @@ def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 12, similarity: float | None = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, with all columns of the input: the one with the smallest doc_id.
 
     Links need a fingerprint distance within the radius and, unless `similarity` is None, that Jaccard similarity of shingle
     sets. Rows are told apart by doc_id and a hash of the text; of rows equal in both, one stays.
     """
-    prints = F.struct(fingerprints(F.col("text"), shingle).alias("print")) if similarity is None else sketched(F.col("text"), shingle)
-    keys = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), prints.alias("p")).select("doc_id", "h", "p.*"), "prints")
-    nodes, linked = _grouped(keys, radius, similarity)
-    root = linked.withColumnRenamed("component_id", "group")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    keys = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprints(F.col("text"), shingle).alias("print")), "prints")
+    confirm = (lambda pairs: pairs) if similarity is None else lambda pairs: confirmed(pairs, docs, keys, shingle, similarity)
+    nodes, linked = _grouped(keys, radius, confirm)
     # Copies of one fingerprint merge before components meet.
-    best = keys.groupBy("print").agg(F.min(rank).alias("rank")).join(root, "print", "left")
-    alone = best.filter("group is null").select("rank.*")
-    together = best.filter("group is not null").groupBy("group").agg(F.min("rank").alias("rank")).select("rank.*")
-    stay = alone.unionByName(together).select(F.col("doc_id").alias("keep_id"), F.col("h").alias("keep_h"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    groups = keys.groupBy("print").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n")).join(linked, "print", "left")
+    groups = stored(groups.select("print", "rank", "n", F.col("component_id").isNotNull().alias("linked"), "component_id"), "groups")
+    best = groups.filter("linked").groupBy(F.col("component_id").alias("c")).agg(F.min("rank").alias("best"))
+    several = groups.filter("linked").join(best, F.col("component_id").eqNullSafe(F.col("c"))).select("print", "best")
+    several = stored(several.unionByName(groups.filter("not linked and n > 1").select("print", F.col("rank").alias("best"))), "several")
+    # Rows of groups of two and more, without the one that stays; a row that repeats it is told below.
+    members = keys.join(several, "print").select("doc_id", "h", rank.alias("rank"), "best")
+    gone = stored(members.filter("rank <> best").select(F.col("doc_id").alias("d"), F.col("h").alias("k")).distinct(), "gone")
+    again = members.filter("rank = best").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("k"))
+    again = stored(again, "again")
     rows = packed(docs, ("doc_id", F.col("doc_id")), ("h", F.xxhash64("text")))
-    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi")
-    return unpacked(kept.dropDuplicates(["doc_id", "h"]))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
+    out = gone.unionByName(again)
+    kept = rows.join(broadcast_if(is_small(out), out), same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(broadcast_if(is_small(again), again), same, "left_semi").dropDuplicates(["doc_id", "h"]))
+    return unpacked(kept)

@@ -62,9 +62,9 @@ def templates(rows, min_docs=3, similarity=0.5, depth=3):
     return sorted(out, key=repr)
 
 
-LINES = [(1, "Posted by anna on monday at noon\nReal words here\nPage 1 of 9"), (2, "Posted by bert on monday at noon\nOther words\nPage 2 of 10"), (3, "Posted by cleo on monday at noon\n\nPage 17 of 17"),
-         (4, "Posted by dora on friday at noon\nPosted by x y z\n  Page\t4  of 5 "), (5, None), (6, ""), (7, "\n\n"), (8, "Subscribe now\nReal words here"), (9, "Subscribe now"), (None, "Subscribe now\nnull id"),
-         (10, "same row\nSubscribe now"), (10, "same row\nSubscribe now"), (11, "a1b " * 3000 + "\nend"), (12, "Real words there"), (13, "Posted by eve on monday at noon\nPosted by eve on monday at noon")]
+LINES = [(1, "Posted here by anna on monday at noon\nReal words here\nPage 1 of 9"), (2, "Posted here by bert on monday at noon\nOther words\nPage 2 of 10"), (3, "Posted here by cleo on monday at noon\n\nPage 17 of 17"),
+         (4, "Posted here by dora on friday at noon\nPosted here by x y z\n  Page\t4  of 5 "), (5, None), (6, ""), (7, "\n\n"), (8, "Subscribe now\nReal words here"), (9, "Subscribe now"), (None, "Subscribe now\nnull id"),
+         (10, "same row\nSubscribe now"), (10, "same row\nSubscribe now"), (11, "a1b " * 3000 + "\nend"), (12, "Real words there"), (13, "Posted here by eve on monday at noon\nPosted here by eve on monday at noon")]
 
 
 def test_lines_against_plain_version(documents, clash):
@@ -77,7 +77,7 @@ def test_line_dedup_text_and_empty(documents, clash):
     out = line_dedup.deduplicate(df, min_docs=3)
     assert out.columns == df.columns
     text = {r.doc_id: r.text for r in out.collect()}
-    assert text[1] == "Real words here" and text[4] == "Posted by x y z" and text[5] is None and text[None] == "null id"
+    assert text[1] == "Real words here" and text[4] == "Posted here by dora on friday at noon\nPosted here by x y z" and text[5] is None and text[None] == "null id"
     assert line_dedup.annotate(documents([])).count() == line_dedup.deduplicate(documents([])).count() == 0
 
 
