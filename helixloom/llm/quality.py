@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,27 +79,29 @@ def _sure(odds: np.ndarray, good_share: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(bad + good, int), np.array([0.0] * len(bad) + [1.0] * len(good))
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS) -> dict:
-    """Weights of both views, of their calibration and of their combination; rows are in a random but fixed order."""
-    held = np.arange(len(y)) % 4 == 0
-    if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    train = [v[~held] for v in views]
-    label = [y[~held], y[~held]]
-    left = np.arange(len(pools[0]))
+def cotrain(views: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> dict:
+    """Weights of both views, of their calibration and of their combination.
+
+    Rows are in a random but fixed order; y is NaN for unlabelled ones. Every fourth labelled row is held out.
+    """
+    known, left = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
+    good_share = y[known].mean()
+    test = known[::4]
+    train = np.setdiff1d(known, test)
+    if len(np.unique(y[test])) < 2 or len(np.unique(y[train])) < 2:
+        train = test = known
+    rows, label = [train, train], [y[train], y[train]]
     for turn in range(rounds + 1):
-        w = [fit_logistic(train[v], label[v]) for v in (0, 1)]
+        w = [fit_logistic(views[v][rows[v]], label[v]) for v in (0, 1)]
         if turn == rounds or not len(left):
             break
         taken = []
         for v in (0, 1):
-            at, guess = _sure(_score(pools[v][left], w[v]), y.mean())
+            at, guess = _sure(_score(views[v][left], w[v]), good_share)
             other = 1 - v
-            train[other] = np.vstack([train[other], pools[other][left[at]]])
-            label[other] = np.append(label[other], guess)
+            rows[other], label[other] = np.append(rows[other], left[at]), np.append(label[other], guess)
             taken.append(at)
         left = np.delete(left, np.unique(np.concatenate(taken)))
-    test = held if held.any() else ~held
     odds = np.stack([_score(views[v][test], w[v]) for v in (0, 1)], axis=1)
     scale = [fit_logistic(odds[:, [v]], y[test], 1e-3) for v in (0, 1)]
     calibrated = np.stack([odds[:, v] * scale[v][0] + scale[v][1] for v in (0, 1)], axis=1)
@@ -112,12 +115,13 @@ def judge(model: dict, x: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.stack([*odds, both], axis=1), -30, 30)))
 
 
-@F.arrow_udf(T.StructType().add("x", T.ArrayType(T.FloatType())).add("m", T.ArrayType(T.FloatType())))
+@F.arrow_udf(T.StructType().add("x", T.BinaryType()).add("m", T.BinaryType()))
 def _features(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+    """Both views as half-precision numbers, to keep the sample small."""
     rows = list(zip(texts(text), lang.to_pylist(), source.to_pylist()))
-    x = [text_view(t) for t, _, _ in rows]
-    m = [meta_view(t, a, b) for t, a, b in rows]
-    return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(m, pa.list_(pa.float32()))], ["x", "m"])
+    x = [text_view(t).astype(np.float16).tobytes() for t, _, _ in rows]
+    m = [meta_view(t, a, b).astype(np.float16).tobytes() for t, a, b in rows]
+    return pa.StructArray.from_arrays([pa.array(x, pa.binary()), pa.array(m, pa.binary())], ["x", "m"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict | None:
@@ -131,14 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     # Both samples are bounded, so the ids are broadcast and the documents stay where they are.
     rows = named.join(F.broadcast(wanted), "doc_id").limit(2 * (labelled + pool)).select(
         *[c.alias(n) for n, c in zip(("h", "doc_id"), turn())], "y", _features("text", "lang", "source").alias("f")).toArrow()
-    frame = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("y", "ascending")])
-    y = np.array([np.nan if v is None else v for v in frame["y"].to_pylist()])
-    views = [frame["f"].combine_chunks().field(k).flatten().to_numpy(False).reshape(len(y), -1) for k in ("x", "m")]
-    del rows, frame
-    known = ~np.isnan(y)
-    if len(np.unique(y[known])) < 2:
+    if not len(rows):
+        return None
+    order = pc.sort_indices(rows, [("h", "ascending"), ("doc_id", "ascending"), ("y", "ascending")]).to_numpy()
+    y = np.array([np.nan if v is None else v for v in rows["y"].to_pylist()])[order]
+    if len(np.unique(y[~np.isnan(y)])) < 2:
         return None
-    return cotrain([v[known] for v in views], y[known], [v[~known] for v in views], rounds)
+    features = rows["f"].combine_chunks()
+    views = [np.stack([np.frombuffer(features.field(k)[int(i)].as_buffer(), np.float16) for i in order]).astype(np.float32) for k in ("x", "m")]
+    del rows, features
+    return cotrain(views, y, rounds)
 
 
 def scores(docs: DataFrame, model: dict | None):
