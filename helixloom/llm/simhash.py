@@ -35,8 +35,8 @@ from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
 EXACT = 3
-TABLES = 56
-MASK = 18
+TABLES = 24
+MASK = 14
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
