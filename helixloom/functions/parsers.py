@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from helixloom.functions.scalars import column
 
-# A dictionary up to this size becomes a literal map; a longer one is joined as a table.
-LITERAL_MAP_ENTRIES = 500
-
 _PARSERS: dict[str, Callable[..., Column]] = {}
 
 
@@ -31,10 +28,9 @@ def map_values(c: Column | str, values: Mapping[str, str]) -> Column:
     c = column(c)
     if not values:
         return c
-    if len(values) > LITERAL_MAP_ENTRIES:
-        raise ValueError("long dictionary: use map_values_table")
-    pairs = [F.lit(x) for kv in values.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
+    # Two literal arrays make one map constant, however long the dictionary is.
+    table = F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values())))
+    return F.coalesce(F.try_element_at(table, c), c)
 
 
 def map_values_table(df: DataFrame, field: str, table: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -185,3 +187,8 @@ def region_string(variant: Column | str, flank: int = V.REGION_FLANK, kind: str
     bare = F.replace(chrom, F.lit("chr"), F.lit(""))
     point = F.concat(bare, F.lit(":"), pos.cast("string"), F.lit("-"), pos.cast("string"))
     return F.concat(bare, F.lit(":"), window, F.lit("/location/"), point)
+
+
+def constant(value: list, kind: str) -> Column:
+    """A list of any length as one literal; a literal per element would make the plan as long as the list."""
+    return F.from_json(F.lit(json.dumps(value)), kind)

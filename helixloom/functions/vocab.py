@@ -61,8 +61,6 @@ RUN_FIELDS = [
     "BaseQRankSum", "ClippingRankSum", "DP", "InbreedingCoeff", "MLEAC", "MLEAF", "MQ", "MQ0",
     "MQRankSum", "QD", "ReadPosRankSum", "SOR", "VQSLOD", "culprit",
 ]
-MISSING_INT = -999
-MISSING_FLOAT = -999.99
 INFINITE_FLOAT = 999.99
 DEFAULT_QUAL = 100.0
 
@@ -93,5 +91,4 @@ EFFECT_INTEGERS = ["Number_of_transcripts_in_gene"]
 # Limits that shape results.
 RESULT_ROWS = 400
 FACET_VALUES = 30000
-MATCHING_ELEMENTS = 100
 REGION_FLANK = 25

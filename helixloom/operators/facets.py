@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.functions import vocab as V
 from helixloom.functions.scalars import natural_key
 
 # Slices in which the best values of one field are picked before they meet in one place.
@@ -39,19 +38,31 @@ def _field_values(df: DataFrame, field: str) -> tuple[DataFrame, T.DataType]:
     return df.select(F.explode(path).alias("e")).select(F.col(f"e.{member}").alias("value")), kind
 
 
-def facet(df: DataFrame, field: str, top: int = V.FACET_VALUES) -> DataFrame:
-    """The ``top`` most frequent values of a flat field or ``path.field``: value, n, position.
+def facet(df: DataFrame, field: str, top: int | None = None) -> DataFrame:
+    """The values of a flat field or ``path.field``, or the ``top`` most frequent: value, n, position.
 
     Counting combines map-side; ties go to the smaller value, so the choice is stable. Only the
     chosen values, at most ``top``, are put into natural order.
     """
     rows, kind = _field_values(df, field)
     counts = rows.filter(_kept(kind, F.col("value"))).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.orderBy(F.desc("n"), F.asc("value")).limit(top)
-    order = Window.orderBy(natural_key("value"), F.col("value"))
+    best = _best(counts.withColumn("field", F.lit(field)), top)
+    order = Window.partitionBy("field").orderBy(natural_key("value"), F.col("value"))
     return best.select("value", "n", F.row_number().over(order).alias("position"))
 
 
+def _best(counts: DataFrame, top: int | None) -> DataFrame:
+    """The ``top`` most frequent of (field, value, n), picked inside hashed slices before the slices' winners meet."""
+    if top is None:
+        return counts
+    best_first = [F.desc("n"), F.asc("value")]
+    sliced = counts.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(TOP_SLICES)))
+    near = (sliced.withColumn("r", F.row_number().over(Window.partitionBy("field", "slice").orderBy(*best_first)))
+            .filter(F.col("r") <= top))
+    return (near.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(*best_first)))
+            .filter(F.col("r") <= top))
+
+
 # Fields counted by one pass of grouping sets.
 FIELDS_PER_PASS = 30
 
@@ -90,7 +101,7 @@ def _array_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return exploded.groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> DataFrame:
+def facets(df: DataFrame, fields: Sequence[str], top: int | None = None) -> DataFrame:
     """All facets at once: field, value (text), n, position.
 
     The best values are first picked inside hashed slices of each field and then among the
@@ -103,17 +114,12 @@ def facets(df: DataFrame, fields: Sequence[str], top: int = V.FACET_VALUES) -> D
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
-    best_first = [F.desc("n"), F.asc("value")]
-    sliced = counts.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(TOP_SLICES)))
-    near = (sliced.withColumn("r", F.row_number().over(Window.partitionBy("field", "slice").orderBy(*best_first)))
-            .filter(F.col("r") <= top))
-    best = (near.withColumn("r", F.row_number().over(Window.partitionBy("field").orderBy(*best_first)))
-            .filter(F.col("r") <= top))
+    best = _best(counts, top)
     order = Window.partitionBy("field").orderBy(natural_key("value"), F.col("value"))
     return best.select("field", "value", "n", F.row_number().over(order).alias("position"))
 
 
-def long_facets(tables: Mapping[str, DataFrame], fields: Sequence[str], top: int = V.FACET_VALUES) -> DataFrame:
+def long_facets(tables: Mapping[str, DataFrame], fields: Sequence[str], top: int | None = None) -> DataFrame:
     """The same for the long layout: each field is counted in the table that holds it."""
     parts = []
     for name, table in tables.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
-from helixloom.functions.scalars import clean_number, column, parse_float, parse_int
+from helixloom.functions.scalars import clean_number, column, constant, parse_float, parse_int
 from helixloom.operators.sizing import broadcast_if, is_small
 
 
@@ -39,9 +39,10 @@ def unpivot_genotypes(df: DataFrame, samples: Sequence[str], keys: Sequence[str]
     dropped, PL and the genotype texts stay text. ``nocall``: ``drop`` them, ``keep`` them (for
     parent lookups, then ``drop_uncalled``) or read them as ``homref``.
     """
-    named = F.arrays_zip(F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("call"))
+    named = F.arrays_zip(constant(list(samples), "array<string>").alias("Sample_ID"), F.col("calls").alias("call"))
     rows = df.select(*keys, "format", F.explode(named).alias("_s"))
-    rows = rows.select(*keys, "format", "_s.Sample_ID", F.col("_s.call").alias("_call"))
+    # A sample that the line's file does not have has no call there.
+    rows = rows.select(*keys, "format", "_s.Sample_ID", F.col("_s.call").alias("_call")).filter(F.col("_call").isNotNull())
     return _typed_calls(rows, [*keys, "Sample_ID"], types, keep_homref, nocall, group)
 
 
@@ -175,7 +176,7 @@ def sample_arrays(genotypes: DataFrame, keys: Sequence[str], path: str = "sample
     """
     from helixloom.operators.nesting import nest
 
-    return nest(genotypes, keys, path, [c for c in genotypes.columns if c not in keys], parts=1)
+    return nest(genotypes, keys, path, [c for c in genotypes.columns if c not in keys])
 
 
 def family_elements(df: DataFrame, path: str, family: str, field: str = "Family_ID") -> DataFrame:
@@ -197,11 +198,11 @@ def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[
     relatives = {r["sample"]: r for r in wanted.collect()}
 
     def parent(role: str) -> Column:
-        return F.lit([place.get(relatives[s][role], 0) if s in relatives else 0 for s in samples])
+        return constant([place.get(relatives[s][role], 0) if s in relatives else 0 for s in samples], "array<int>")
 
     def listed(role: str) -> Column:
         ids = [(relatives[s][role] if s in relatives else None) or [] for s in samples]
-        return F.array(*[F.lit([place[x] for x in one if x in place] or [0]) for one in ids])
+        return constant([[place[x] for x in one if x in place] or [0] for one in ids], "array<array<int>>")
 
     cut = df.select(*keys, "format", "calls", F.transform("calls", lambda c: F.split_part(c, F.lit(":"), F.lit(1))).alias("_gts"))
 
@@ -215,7 +216,7 @@ def unpivot_with_pedigree(df: DataFrame, samples: Sequence[str], keys: Sequence[
     if siblings:
         found["Affected_Siblings_Genotypes"] = F.transform(listed("affected"), joined)
         found["Unaffected_Siblings_Genotypes"] = F.transform(listed("unaffected"), joined)
-    zipped = F.arrays_zip(F.lit(list(samples)).alias("Sample_ID"), F.col("calls").alias("_call"), *[c.alias(n) for n, c in found.items()])
+    zipped = F.arrays_zip(constant(list(samples), "array<string>").alias("Sample_ID"), F.col("calls").alias("_call"), *[c.alias(n) for n, c in found.items()])
     rows = cut.select(*keys, "format", F.explode(zipped).alias("_s")).select(*keys, "format", "_s.*")
     typed = _typed_calls(rows, [*keys, "Sample_ID", *found], types, keep_homref)
     return typed.join(broadcast_if(is_small(ped), enrich_pedigree(ped)), "Sample_ID", "left")

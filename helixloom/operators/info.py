@@ -31,13 +31,30 @@ def info_value(name: str) -> Column:
 
 
 def cut_info(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add the text of each field as ``_info_<name>``, cut out once for all later uses."""
-    return df.withColumns({f"_info_{n}": info_value(n) for n in dict.fromkeys(names)})
+    """Add the text of each field as a column of its own, cut out once for all later uses."""
+    return df.withColumns({_cut_name(n): info_value(n) for n in dict.fromkeys(names)})
+
+
+def _cut_name(name: str) -> str:
+    # Spark names ignore case and field names do not: their bytes tell CADD_phred and CADD_PHRED apart.
+    return f"_info_{name.encode().hex()}"
+
+
+def distinct_names(names: Sequence[str], taken: Sequence[str] = ()) -> dict[str, str]:
+    """Column name of each field: its own, or with a number where that would meet another one but for case."""
+    used, out = {t.lower() for t in taken}, {}
+    for n in names:
+        name, k = n, 2
+        while name.lower() in used:
+            name, k = f"{n}_{k}", k + 1
+        used.add(name.lower())
+        out[n] = name
+    return out
 
 
 def info_text(name: str) -> Column:
     """A field that ``cut_info`` has cut out."""
-    return F.col(f"`_info_{name}`")
+    return F.col(_cut_name(name))
 
 
 def drop_cut(df: DataFrame) -> DataFrame:
@@ -111,7 +128,10 @@ def parse_info(df: DataFrame, types: Mapping[str, str], group: str | None = None
         fields["dbSNP_ID"] = F.coalesce("dbSNP_ID", listed) if "dbSNP_ID" in present else listed
     if "VariantType" in fields and "VariantType" in present:
         fields["VariantType"] = F.coalesce(fields["VariantType"], F.col("VariantType"))
-    return drop_cut(df.withColumns(fields))
+    # A field named like a core column, or like another field but for case, gets a number and overwrites nothing.
+    meant = [n for n in ("dbSNP_ID", "VariantType") if n in fields]
+    names = distinct_names([n for n in fields if n not in meant], [*[c for c in present if c not in meant], *meant])
+    return drop_cut(df.withColumns({names.get(n, n): c for n, c in fields.items()}))
 
 
 # --- profiling ---------------------------------------------------------------------------

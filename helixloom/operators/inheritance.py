@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
 from helixloom.operators.predicates import Nested, nested_term, nested_terms, not_terms, outside
-from helixloom.operators.sizing import is_small
 
 
 def _is(name: str, values: Sequence[str] | str) -> Column:
@@ -52,9 +51,9 @@ def lof_condition(consequences: Column | None = None, columns: Sequence[str] = (
     return F.coalesce(reduce(or_, [F.coalesce(t, F.lit(False)) for t in tests]), F.lit(False))
 
 
-def autosomal_recessive() -> Column:
+def autosomal_recessive(lof: str = "lof") -> Column:
     return (_autosomal() & _is("GT", V.HOM_ALT) & _is("Phenotype", V.AFFECTED) & _parents(V.UNAFFECTED)
-            & _is("Father_Genotype", V.HET) & _is("Mother_Genotype", V.HET) & F.col("lof"))
+            & _is("Father_Genotype", V.HET) & _is("Mother_Genotype", V.HET) & F.col(lof))
 
 
 def denovo(strict: bool = False) -> Column:
@@ -85,12 +84,12 @@ def x_linked_dominant(assembly: str = "hg19") -> Column:
     return outside_par(assembly) & _is("Phenotype", V.AFFECTED) & (male | female)
 
 
-def x_linked_recessive(assembly: str = "hg19") -> Column:
+def x_linked_recessive(assembly: str = "hg19", lof: str = "lof") -> Column:
     mother_carries = _is("Mother_Genotype", V.HET) & _is("Mother_Phenotype", V.UNAFFECTED)
     male = _is("Sex", V.MALE) & not_terms("GT", V.X_REF)
     female = (_is("Sex", V.FEMALE) & _is("GT", V.HOM_ALT)
               & _is("Father_Genotype", V.X_FATHER_CARRIER) & _is("Father_Phenotype", V.AFFECTED))
-    return (outside_par(assembly) & _is("Phenotype", V.AFFECTED) & F.col("lof") & mother_carries & (male | female))
+    return (outside_par(assembly) & _is("Phenotype", V.AFFECTED) & F.col(lof) & mother_carries & (male | female))
 
 
 def x_linked_denovo(assembly: str = "hg19") -> Column:
@@ -99,14 +98,14 @@ def x_linked_denovo(assembly: str = "hg19") -> Column:
             & _is("Father_Genotype", V.X_REF) & _is("Mother_Genotype", V.X_REF) & carrier)
 
 
-def row_modes(assembly: str = "hg19", strict: bool = False) -> dict[str, Column]:
+def row_modes(assembly: str = "hg19", strict: bool = False, lof: str = "lof") -> dict[str, Column]:
     """The six modes decided by one row, as never-NULL conditions."""
     found = {
-        "autosomal_recessive": autosomal_recessive(),
+        "autosomal_recessive": autosomal_recessive(lof),
         "denovo": denovo(strict),
         "autosomal_dominant": autosomal_dominant(),
         "x_linked_dominant": x_linked_dominant(assembly),
-        "x_linked_recessive": x_linked_recessive(assembly),
+        "x_linked_recessive": x_linked_recessive(assembly, lof),
         "x_linked_denovo": x_linked_denovo(assembly),
     }
     return {m: F.coalesce(c, F.lit(False)) for m, c in found.items()}
@@ -167,34 +166,35 @@ def candidate_genes(g: DataFrame, genes: DataFrame, variant: str = "variant_key"
 
 # --- tagging and reading tags ------------------------------------------------------------
 
-# Qualifying (child, gene) pairs up to this number, some 50 MB, may be sent to every executor.
-PAIR_ROWS = 1_000_000
-
-
 def _mark_compound(g: DataFrame, genes: DataFrame | str, variant: str, child: str) -> DataFrame:
-    """Add ``_compound``. Only candidate rows are ever shuffled, never the whole genotype table."""
+    """Add ``_compound``: a candidate row one of whose genes qualifies in its child.
+
+    Only candidate rows are joined, never the whole genotype table. The other side has a row per
+    child with its qualifying genes, at most as many as there are gene symbols.
+    """
     candidate = F.coalesce(compound_candidate(), F.lit(False))
+    pairs = compound_pairs(_gene_rows(g, genes, variant), child)
+    sets = pairs.groupBy(F.col(child).alias("_child")).agg(F.collect_set("gene").alias("_pairs"))
+    mine = g.filter(candidate)
     if isinstance(genes, str):
-        pairs = compound_pairs(_gene_rows(g, genes, variant), child).persist()
-        if is_small(pairs, PAIR_ROWS):
-            sets = pairs.groupBy(child).agg(F.collect_list("gene").alias("_pairs"))
-            marked = g.join(F.broadcast(sets), child, "left")
-            overlap = F.coalesce(F.arrays_overlap(genes, "_pairs"), F.lit(False))
-            return marked.withColumn("_compound", candidate & overlap).drop("_pairs")
-        pairs.unpersist()
-    hits = compound_het(g, genes, variant, child).select(variant, child).distinct().withColumn("_compound", F.lit(True))
-    mine = g.filter(candidate).join(hits, [variant, child], "left").withColumn("_compound", F.coalesce("_compound", F.lit(False)))
-    return g.filter(~candidate).withColumn("_compound", F.lit(False)).unionByName(mine)
+        mine = mine.withColumn("_lof_genes", F.col(genes))
+    else:
+        of_variant = genes.groupBy(F.col(variant).alias("_variant")).agg(F.collect_set("gene").alias("_lof_genes"))
+        mine = mine.join(of_variant, F.col(variant) == F.col("_variant"), "left").drop("_variant")
+    hit = F.coalesce(F.arrays_overlap("_lof_genes", "_pairs"), F.lit(False))
+    marked = mine.join(sets, F.col(child) == F.col("_child"), "left").withColumn("_compound", hit).drop("_child", "_pairs", "_lof_genes")
+    return g.filter(~candidate).withColumn("_compound", F.lit(False)).unionByName(marked)
 
 
 def tag_modes(g: DataFrame, genes: DataFrame | str | None = None, assembly: str = "hg19", strict: bool = False,
-              variant: str = "variant_key", child: str = "Sample_ID") -> DataFrame:
+              variant: str = "variant_key", child: str = "Sample_ID", lof: str = "lof") -> DataFrame:
     """Add ``mendelian_diseases``: all modes of each row in one pass; tagging twice changes nothing.
 
-    With ``genes`` as an array column, compound heterozygosity costs one extra scan of the
-    candidates and a broadcast of the qualifying pairs, whose number is checked first.
+    Compound heterozygosity is decided per row: one of the row's genes must qualify in its child,
+    whether the genes come as an array column or as a table (variant, gene). ``lof`` names the
+    boolean column that says whether the row's variant is loss-of-function.
     """
-    columns, tests = g.columns, row_modes(assembly, strict)
+    columns, tests = g.columns, row_modes(assembly, strict, lof)
     if genes is not None:
         g = _mark_compound(g, genes, variant, child)
         tests["compound_heterozygous"] = F.col("_compound")
@@ -210,12 +210,14 @@ def mode_counts(tagged: DataFrame, variant: str = "variant_key", child: str = "S
     return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("samples"))
 
 
-def mode_predicates(mode: str, vep: bool, path: str = "sample") -> list[Nested]:
-    """Nested filters of a search by mode; with VEP, three modes also ask for a LoF consequence."""
-    preds = [nested_term(path, "mendelian_diseases", mode, array=True)]
-    if vep and mode in V.LOF_MODES:
-        preds.append(nested_terms("CSQ_nested", "Consequence", V.LOF_CONSEQUENCES, array=True))
-    return preds
+def mode_predicates(mode: str, path: str = "sample") -> list[Nested]:
+    """The nested filter of a search by mode, on the genotype that carries the tag."""
+    return [nested_term(path, "mendelian_diseases", mode, array=True)]
+
+
+def mode_consequences(mode: str) -> list[Nested]:
+    """With VEP, three modes also ask for a loss-of-function consequence, on any transcript of the document."""
+    return [nested_terms("CSQ_nested", "Consequence", V.LOF_CONSEQUENCES, array=True)] if mode in V.LOF_MODES else []
 
 
 def kindred(df: DataFrame, n: int, variant: str = "variant_key", family: str = "Family_ID") -> DataFrame:

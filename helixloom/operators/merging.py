@@ -49,15 +49,24 @@ def concat_arrays(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.concat(a, b))
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key. Of repeated lines the one with the highest QUAL stays, then the one whose content is last in
+    text order, whatever the order of reading. Rows meet by the key and keep that partitioning for a join on it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rank = F.struct(*[F.col(c) for c in ("QUAL",) if c in df.columns], F.to_json(row).alias("text"))
+    return df.select(*keys, row.alias("_row"), rank.alias("_rank")).groupBy(*keys).agg(F.max_by("_row", "_rank").alias("_row")).select("_row.*")
+
+
 def merge_case_control(case: DataFrame, control: DataFrame, keys: Sequence[str] = KEYS,
                        arrays: Sequence[str] = (), fields: Sequence[str] | None = None) -> DataFrame:
     """One row per variant of either cohort, matched on the full key.
 
     Cohort metrics come from their side under a suffix, ``arrays`` are joined case first, every
     other shared field takes the control's value where it has one. The genotypes themselves are
-    better kept long (``concat_cohorts``); then nothing but narrow rows is shuffled here.
+    better kept long (``concat_cohorts``); then nothing but narrow rows is shuffled here. Lines that
+    repeat a key count once on each side (``unique_rows``).
     """
-    a, b = suffix_cohort(case, "case", fields), suffix_cohort(control, "control", fields)
+    a, b = (suffix_cohort(unique_rows(df, keys), group, fields) for df, group in ((case, "case"), (control, "control")))
     left = a.select(*keys, F.struct(*[F.col(f"`{c}`") for c in a.columns]).alias("_a"))
     right = b.select(*keys, F.struct(*[F.col(f"`{c}`") for c in b.columns]).alias("_b"))
     both = left.join(right, list(keys), "full_outer")
@@ -81,7 +90,8 @@ def upsert_variants(target: DataFrame, batch: DataFrame, key: str = "variant_key
                     append: Sequence[str] = ("sample",), labelled: Sequence[str] = (), fresh: Sequence[str] = ()) -> DataFrame:
     """New version of the target: stored documents gain the batch's samples and labelled entries,
     unknown ones are added whole. ``fresh`` fields (the label's own counts) are taken from the
-    batch; all other fields of a stored document stay."""
+    batch; all other fields of a stored document stay. A key that the batch repeats counts once."""
+    batch = unique_rows(batch, [key])
     lists = [*append, *labelled]
     left = target.select(key, F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("_t"))
     right = batch.select(key, F.struct(*[F.col(f"`{c}`") for c in batch.columns]).alias("_n"))

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Most elements one array may hold. A larger document is written as several parts.
-PART_ELEMENTS = 100_000
+
+def _element(fields: Sequence[str] | Mapping[str, str]) -> Column:
+    names = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
+    return F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
 
 
-def nest(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] | Mapping[str, str],
-         parts: int | None = None) -> DataFrame:
+def nest(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] | Mapping[str, str]) -> DataFrame:
     """One document per key with ``path`` as an array of structs, elements in a stable order.
 
-    ``fields`` are the element members, or source column -> member name. A document with very many
-    elements takes several rows, over which its elements are dealt out, so that no task gathers
-    all of them; flattening, element tests and element counts mean the same on such rows. How
-    many rows is counted first, unless ``parts`` states it (1 where a group is bounded anyway).
+    ``fields`` are the element members, or source column -> member name. The array of a key is
+    gathered in one place, so this is for groups of bounded size; documents beyond that stay in
+    the long layout (``Tables``), which every search and facet reads as well.
     """
-    parts = parts_for(df, keys) if parts is None else parts
-    names = dict(fields) if isinstance(fields, Mapping) else {f: f for f in fields}
-    element = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    if parts <= 1:
-        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias(path))
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(_element(fields))).alias(path))
+
+
+def nest_in_parts(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] | Mapping[str, str], parts: int) -> DataFrame:
+    """Rows (keys, part, path): a key's elements dealt out over up to ``parts`` rows.
+
+    For sinks that cap the size of an array. These rows are not documents: what counts or limits
+    elements per document does not apply to them.
+    """
+    element = _element(fields)
     # Copies of one element are counted before they travel, then dealt out over the parts.
     counted = df.groupBy(*keys, element.alias("_e")).agg(F.count(F.lit(1)).alias("_n"))
     share = F.ceil(F.col("_n") / parts)
@@ -34,14 +39,7 @@ def nest(df: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str] |
     part = F.pmod(F.xxhash64("_e") + F.col("_i"), F.lit(parts)).cast("int")
     grouped = (dealt.select(*keys, part.alias("part"), F.struct("_e", copies.alias("_n")).alias("_s"))
                .groupBy(*keys, "part").agg(F.sort_array(F.collect_list("_s")).alias("_es")))
-    return grouped.select(*keys, F.flatten(F.transform(
-        "_es", lambda x: F.array_repeat(x["_e"], x["_n"]))).alias(path))
-
-
-def parts_for(df: DataFrame, keys: Sequence[str], elements: int = PART_ELEMENTS) -> int:
-    """Parts needed so that no array of ``nest`` much exceeds ``elements``: one counting job."""
-    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-most // elements))
+    return grouped.select(*keys, "part", F.flatten(F.transform("_es", lambda x: F.array_repeat(x["_e"], x["_n"]))).alias(path))
 
 
 def unnest(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:

@@ -24,8 +24,10 @@ def sample_ids(df: DataFrame, sample: str) -> list[str]:
 def _cell(value: str, order: str | Column | None, agg: str) -> Column:
     if agg == "sum":
         return F.sum(value)
+    if agg != "last":
+        raise ValueError(f"agg is 'last' or 'sum', not {agg!r}")
     if order is None:
-        return F.max(value)
+        raise ValueError("the last value needs an order")
     return F.max_by(value, order)
 
 
@@ -33,11 +35,15 @@ def otu_table(df: DataFrame, samples: Sequence[str], tax: str = "taxonomy", samp
               value: str = "value", order: str | Column | None = None, agg: str = "last") -> DataFrame:
     """Rows are taxa, columns are sample ids, missing cells are 0, ids follow taxon order.
 
-    Several values for one cell: the last by ``order`` wins, or ``agg='sum'`` adds them.
+    Several values for one cell: the last by ``order`` wins, or ``agg='sum'`` adds them. ``samples``
+    are all samples of the data (``sample_ids``); a row of another one fails, it is not dropped.
     """
+    known = F.col(sample).isNull() | F.col(sample).isin(list(samples))
+    df = df.withColumn(sample, F.when(known, F.col(sample)).otherwise(F.raise_error(F.concat(F.lit("sample without a column: "), F.col(sample)))))
     cells = df.groupBy(tax).pivot(sample, list(samples)).agg(_cell(value, order, agg)).fillna(0, subset=list(samples))
-    # Numbering reads its input several times, so the finished cells are stored first.
-    numbered = global_index(written(cells, "otu"), tax, "_i")
+    # Numbering reads the taxa several times; they and the finished cells are stored first.
+    cells = written(cells, "otu")
+    numbered = cells.join(global_index(cells.select(tax).distinct(), tax, "_i"), tax)
     return numbered.select(F.concat(F.lit("OTU_"), F.col("_i").cast("string")).alias("OTU_ID"),
                            *[F.col(f"`{s}`") for s in samples], tax)
 

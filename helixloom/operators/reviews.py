@@ -26,9 +26,14 @@ def reviews_for(reviews: DataFrame, groups: Sequence[str]) -> DataFrame:
     return reviews.filter(F.col("group").isin(list(groups)))
 
 
-def exclude_rejected(df: DataFrame, reviews: DataFrame, group: str | None, key: str = "variant_key") -> DataFrame:
-    """Drop documents the reviewer's group rejected. Without one group results stay as they are."""
+def exclude_rejected(df: DataFrame, reviews: DataFrame, group: str | None, key: str = "variant_key", dataset: str | None = None) -> DataFrame:
+    """Drop documents the reviewer's group rejected in this dataset. Without one group results stay as they are.
+
+    The same document may stand in several datasets, so the dataset has to be named.
+    """
     if group is None:
         return df
-    rejected = reviews.filter((F.col("group") == group) & (F.col("status") == "Rejected"))
+    if dataset is None:
+        raise ValueError("name the dataset whose reviews count")
+    rejected = reviews.filter((F.col("group") == group) & (F.col("dataset") == dataset) & (F.col("status") == "Rejected"))
     return df.join(rejected.select(F.col("document").alias(key)).distinct(), key, "left_anti")

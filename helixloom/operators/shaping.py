@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.functions import vocab as V
 from helixloom.functions.scalars import safe_name
 from helixloom.operators.predicates import Nested, by_path, element_condition, row_condition
 
@@ -103,7 +102,7 @@ def _first_value(candidates: Sequence[Column]) -> Column:
     return candidates[0] if len(candidates) == 1 else F.coalesce(*candidates)
 
 
-def flatten_long(base: DataFrame, key: str | Sequence[str], elements: Mapping[str, DataFrame],
+def flatten_long(base: DataFrame, key: str | Sequence[str], elements: Mapping[str, DataFrame | tuple[DataFrame, Sequence[str]]],
                  fields: Mapping[str, Sequence[str]], keep: Sequence[str] = (),
                  preds: Iterable[Nested] = (), unique: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """The same rows from long tables, one row per element, without building any array.
@@ -112,33 +111,36 @@ def flatten_long(base: DataFrame, key: str | Sequence[str], elements: Mapping[st
     spreads one huge document over many tasks and merges its copies before they travel. The
     joins on the key then produce distinct rows by construction, so no wide row is ever
     de-duplicated, and adaptive execution may still split a hot key. A path with filters must
-    have a match, a path without keeps documents that have no element there.
+    have a match, a path without keeps documents that have no element there. An element table may
+    come with the columns it is joined on, which then have to be in ``keep`` or the key; further
+    columns beside the key (chromosome, position) let stored tables prune each other.
     """
     keys = [key] if isinstance(key, str) else list(key)
     grouped = by_path(preds)
     flat = [c for c in keep if c not in keys]
     out = base.select(*keys, *[quoted(c) for c in flat])
     shown = {}
-    for i, (p, rows) in enumerate(elements.items()):
+    for i, (p, given) in enumerate(elements.items()):
+        rows, on = (given[0], list(given[1])) if isinstance(given, tuple) else (given, keys)
         kept = rows.filter(row_condition(grouped[p])) if p in grouped else rows
         members = list(fields.get(p, ()))
         if members:
             names = {f: f"_{i}_{f}" for f in members}
-            side = kept.select(*keys, *[quoted(f).alias(n) for f, n in names.items()])
+            side = kept.select(*on, *[quoted(f).alias(n) for f, n in names.items()])
             identity = (unique or {}).get(p)
             if not identity or not set(identity) <= set(members):
                 side = side.distinct()
-            out = out.join(side, keys, "inner" if p in grouped else "left")
+            out = out.join(side, on, "inner" if p in grouped else "left")
             shown[p] = (members, lambda f, names=names: quoted(names[f]))
         elif p in grouped:
-            out = out.join(kept.select(*keys).distinct(), keys, "left_semi")
+            out = out.join(kept.select(*on).distinct(), on, "left_semi")
     sources = _sources(flat, shown)
     result = out.select(*keys, *[_first_value(c).alias(f) for f, c in sources.items()])
     # Only where two sources share a field name can two combinations look the same.
     return result.dropDuplicates() if any(len(c) > 1 for c in sources.values()) else result
 
 
-def limit_rows(df: DataFrame, n: int | None = V.RESULT_ROWS, order: Sequence[Column | str] = ()) -> DataFrame:
+def limit_rows(df: DataFrame, n: int | None = None, order: Sequence[Column | str] = ()) -> DataFrame:
     """The first ``n`` rows of a stated order; ``None`` gives all rows, unsorted."""
     return df if n is None else df.orderBy(*order).limit(n)
 

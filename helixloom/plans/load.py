@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixloom.functions import vocab as V
 from helixloom.functions.scalars import normalize_chrom
 from helixloom.operators.annotations import annotate
 from helixloom.operators.genotypes import unpivot_genotypes, unpivot_with_pedigree
 from helixloom.operators.inheritance import lof_condition, tag_modes
+from helixloom.operators.merging import concat_cohorts, label_metrics, merge_case_control, upsert_rows, upsert_variants
 from helixloom.operators.info import csq_types, parse_info, profile_fields, refine_catalog, with_info
 from helixloom.operators.sizing import written
 from helixloom.sources.vcf import Catalog, normalize_variants, read_catalog, read_vcf, split_rejects
-from helixloom.sources.warehouse import Tables
+from helixloom.sources.warehouse import SHARED, UNIQUE, Tables, read_tables, write_tables
 
 KEYS = ["variant_key", "CHROM", "POS"]
+# Spark names ignore case, so the flag must not be called like the annotation field LOF.
+LOF = "loss_of_function"
 
 
 def lof_genes(variants: DataFrame) -> Column:
@@ -38,9 +42,9 @@ def with_lof(variants: DataFrame) -> DataFrame:
     """The variant-level loss-of-function flag of either annotation."""
     if "CSQ_nested" in variants.columns:
         terms = F.flatten(F.transform("CSQ_nested", lambda e: F.coalesce(e["Consequence"], F.array().cast("array<string>"))))
-        return variants.withColumn("lof", lof_condition(terms))
+        return variants.withColumn(LOF, lof_condition(terms))
     flags = [c for c in variants.columns if c.startswith(("ExonicFunc_", "Func_"))]
-    return variants.withColumn("lof", lof_condition(columns=flags) if flags else F.lit(False))
+    return variants.withColumn(LOF, lof_condition(columns=flags) if flags else F.lit(False))
 
 
 def parse_variants(raw: DataFrame, catalog: Catalog, types: dict[str, str] | None = None) -> DataFrame:
@@ -63,17 +67,18 @@ def long_tables(variants: DataFrame, genotypes: DataFrame | None = None) -> Tabl
         paths[p] = e.select(*KEYS, *[F.col("_e")[m[3:]].alias(m[3:]) for m in members])
     if genotypes is not None:
         paths["sample"] = genotypes
-    return Tables(base, paths)
+    return Tables(base, paths, unique=UNIQUE, shared=SHARED)
 
 
 def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assembly: str = "hg19",
-             partitions: int | None = None, profile: bool = True, stage: bool = True, plain_chrom: bool = False) -> tuple[Tables, DataFrame]:
+             partitions: int | None = None, profile: bool = True, stage: bool = True, plain_chrom: bool = True) -> tuple[Tables, DataFrame]:
     """Warehouse tables of a VCF and its rejected lines.
 
     With a pedigree all calls are kept, enriched and tagged; without one reference calls are
     dropped. ``profile`` corrects the declared types by a pass over all lines. The parsed lines
     are written once to the shared folder (``stage``), since every table is made from them.
-    ``plain_chrom`` turns ``chrX`` into ``X``, as the rules for X and Y need.
+    ``plain_chrom`` turns ``chrX`` into ``X``, as the rules for X and Y need. A file without a heading is an error; a
+    line whose number of calls differs from its file's heading is rejected.
     """
     catalog = read_catalog(spark, path)
     good, bad = split_rejects(read_vcf(spark, path, partitions))
@@ -89,7 +94,74 @@ def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assem
     if ped is None:
         samples = unpivot_genotypes(variants, catalog.samples, KEYS, catalog.format, keep_homref=False)
     else:
-        carried = [*KEYS, "lof", "_genes"]
+        carried = [*KEYS, LOF, "_genes"]
         calls = unpivot_with_pedigree(variants.withColumn("_genes", lof_genes(variants)), catalog.samples, carried, ped, catalog.format, siblings=True)
-        samples = tag_modes(calls, "_genes", assembly).drop("_genes")
+        samples = tag_modes(calls, "_genes", assembly, lof=LOF).drop("_genes")
     return long_tables(variants, samples), bad
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """Union by name; a column that one part has as a whole and another as a decimal number or text takes the wider type."""
+    ranks = {"tinyint": 0, "smallint": 0, "int": 1, "bigint": 2, "float": 3, "double": 3, "string": 4}
+    kinds: dict[str, str] = {}
+    for df in parts:
+        for name, kind in df.dtypes:
+            if name not in kinds or ranks.get(kind, -1) > ranks.get(kinds[name], 9):
+                kinds[name] = kind
+    cast = [df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if k in ranks else F.col(f"`{c}`") for c, k in df.dtypes]) for df in parts]
+    out = cast[0]
+    for df in cast[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def load_case_control(spark: SparkSession, case: str, control: str, ped: DataFrame | None = None, **options) -> tuple[Tables, DataFrame]:
+    """Warehouse tables of two VCFs: one document per variant of either, and the rejects of both.
+
+    Cohort metrics, QUAL and FILTER carry ``_case`` or ``_control``; other fields take the control's
+    value where it has one. Genotypes of both cohorts stay long and carry their ``group``;
+    annotations of a variant that both have are kept once. ``options`` are those of ``load_vcf``.
+    """
+    sides = {group: load_vcf(spark, path, ped, **options) for group, path in (("case", case), ("control", control))}
+    (a, bad_a), (b, bad_b) = sides["case"], sides["control"]
+    base = merge_case_control(a.base, b.base, ["variant_key", "CHROM", "POS", "REF", "ALT"])
+    paths = {}
+    for p in dict.fromkeys([*a.paths, *b.paths]):
+        if p == "sample":
+            paths[p] = concat_cohorts(a.paths[p], b.paths[p]).dropDuplicates(["variant_key", "Sample_ID", "group"])
+        else:
+            paths[p] = _together([t.paths[p] for t in (a, b) if p in t.paths]).dropDuplicates()
+    rejects = bad_a.withColumn("group", F.lit("case")).unionByName(bad_b.withColumn("group", F.lit("control")))
+    return Tables(base, paths, unique={"sample": ["Sample_ID", "group"]}, shared=SHARED), rejects
+
+
+def labelled_run(tables: Tables, label: str | None, run_fields: list[str] | None = None) -> Tables:
+    """The tables of one run with its metrics under its label."""
+    return Tables(label_metrics(tables.base, label, run_fields=_run_fields(tables.base, run_fields)), tables.paths, tables.key, tables.unique, tables.shared)
+
+
+def _run_fields(base: DataFrame, run_fields: list[str] | None) -> list[str]:
+    known = ["FILTER", "QUAL", *(V.RUN_FIELDS if run_fields is None else run_fields)]
+    return [f for f in dict.fromkeys(known) if f in base.columns]
+
+
+def add_run(spark: SparkSession, stored: str, published: str, run: Tables, label: str | None, run_fields: list[str] | None = None) -> Tables:
+    """Add a labelled run to a stored warehouse and write the result beside it as a new version.
+
+    Stored documents gain the run's labelled entries and counts, unknown ones are added whole. A
+    genotype of a sample that the run has again replaces the stored one. Element rows are added once.
+    The stored version stays as it is until the caller drops it, so readers and retries see whole versions.
+    """
+    if stored.rstrip("/") == published.rstrip("/"):
+        raise ValueError("a new version needs a folder of its own")
+    old, new = read_tables(spark, stored, list(run.paths)), labelled_run(run, label, run_fields)
+    counts = [f"{c}_{label}" for c in ("AC", "AF", "AN") if label]
+    base = upsert_variants(old.base, new.base, append=(), labelled=_run_fields(run.base, run_fields), fresh=counts)
+    paths = {}
+    for p, rows in new.paths.items():
+        if p == "sample":
+            paths[p] = upsert_rows(old.paths[p], rows, ["variant_key", "Sample_ID"])
+        else:
+            paths[p] = _together([old.paths[p], rows.select(*old.paths[p].columns)]).dropDuplicates()
+    write_tables(Tables(base, paths), published)
+    return read_tables(spark, published, list(paths))

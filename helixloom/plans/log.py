@@ -25,16 +25,18 @@ def log_spec(row: DataFrame, path: str) -> None:
     row.write.mode("append").parquet(path)
 
 
-def logged(log: DataFrame, id: str) -> QuerySpec:
-    found = log.filter(F.col("id") == id).select("spec").first()
+def logged(log: DataFrame, id: str) -> tuple[QuerySpec, str]:
+    """A logged search and its dataset."""
+    found = log.filter(F.col("id") == id).select("spec", "dataset").first()
     if found is None:
         raise KeyError(f"no logged search {id!r}")
-    return QuerySpec.from_json(found["spec"])
+    return QuerySpec.from_json(found["spec"]), found["dataset"]
 
 
 def replay(log: DataFrame, id: str, tables: Tables, reviews: DataFrame | None = None, group: str | None = None) -> DataFrame:
-    """Run a logged search again without its row limit."""
-    return run_spec(tables, logged(log, id), reviews, group, limit=None)
+    """Run a logged search again without its row limit; reviews of its own dataset count."""
+    spec, dataset = logged(log, id)
+    return run_spec(tables, spec, reviews, group, limit=None, dataset=dataset)
 
 
 def export_logged(log: DataFrame, id: str, tables: Tables, path: str, labels: Mapping[str, str] | None = None,
@@ -44,9 +46,9 @@ def export_logged(log: DataFrame, id: str, tables: Tables, path: str, labels: Ma
 
 
 def export_mode_csv(tables: Tables, mode: str, spec: QuerySpec, path: str, labels: Mapping[str, str] | None = None,
-                    reviews: DataFrame | None = None, group: str | None = None) -> None:
+                    reviews: DataFrame | None = None, group: str | None = None, dataset: str | None = None) -> None:
     """The whole result of a search by inheritance mode as CSV."""
-    export_csv(search_mode(tables, mode, spec, reviews=reviews, group=group, limit=None), path, labels)
+    export_csv(search_mode(tables, mode, spec, reviews=reviews, group=group, limit=None, dataset=dataset), path, labels)
 
 
 def saved_specs(log: DataFrame, user: str, catalog: DataFrame) -> DataFrame:

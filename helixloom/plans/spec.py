@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.functions import vocab as V
 from helixloom.operators import predicates as P
 from helixloom.operators import shaping as S
 from helixloom.operators.reviews import exclude_rejected
@@ -51,7 +50,7 @@ class QuerySpec:
     attributes: list[Attribute]
     filters: list[FieldFilter] = field(default_factory=list)
     exclude_rejected: bool = False
-    limit: int | None = V.RESULT_ROWS
+    limit: int | None = None
     mode: str | None = None
     kindred: int | None = None
 
@@ -144,7 +143,7 @@ def nested_predicate(f: FieldFilter, kind: T.DataType) -> P.Nested:
         return P.nested_terms(f.path, f.field, [v if f.analyzer else _typed(kind, v) for v in _lines(f.value)], array, False, f.analyzer)
     if f.kind.startswith("nested_filter_range_"):
         op = f.kind.rsplit("_", 1)[1]
-        return P.Nested(f.path, lambda get: _range(get(f.field), kind, op, f.value, "drop"))
+        return P.Nested(f.path, lambda get: _range(get(f.field), kind, op, f.value, f.missing))
     if f.kind == "nested_filter_exists":
         return P.nested_exists(f.path, f.field, f.value, array)
     if f.kind == "nested_must_wildcard":
@@ -152,24 +151,34 @@ def nested_predicate(f: FieldFilter, kind: T.DataType) -> P.Nested:
     raise ValueError(f"unknown filter kind {f.kind!r}")
 
 
-def _mode_filters(spec: QuerySpec, vep: bool) -> list[P.Nested]:
+def _mode_filters(spec: QuerySpec) -> list[P.Nested]:
     from helixloom.operators.inheritance import mode_predicates
 
-    return mode_predicates(spec.mode, vep) if spec.mode else []
+    return mode_predicates(spec.mode) if spec.mode else []
+
+
+def _mode_consequences(spec: QuerySpec, vep: bool) -> list[P.Nested]:
+    """A condition on the document beside the user's own filters: it need not hold on the transcript those match."""
+    from helixloom.operators.inheritance import mode_consequences
+
+    return mode_consequences(spec.mode) if spec.mode and vep else []
 
 
 def _finish(df: DataFrame, spec: QuerySpec, key: str, limit: int | None, order: Sequence[str] | None) -> DataFrame:
     """Attributes in the order asked for, key first; a limit takes the first rows of a total order."""
-    out = df.select(key, *[S.quoted(a.field) for a in spec.attributes if a.field != key])
+    shown = [a for a in spec.attributes if a.field != key]
+    # Two attributes of one name are one column: the nested value, under the label of the last of them that has one.
+    labels = {a.field: a.label for a in spec.attributes if a.label}
+    out = df.select(key, *[S.quoted(c) for c in dict.fromkeys(a.field for a in shown)])
     if limit is not None:
         by = list(order or [key]) + [c for c in out.columns if c != key]
         sortable = [c for c in dict.fromkeys(by) if not isinstance(out.schema[c].dataType, T.MapType)]
         out = S.limit_rows(out, limit, sortable)
-    return S.label_columns(out, {a.field: a.label for a in spec.attributes if a.label})
+    return S.label_columns(out, labels)
 
 
 def run_spec(tables: Tables, spec: QuerySpec, reviews: DataFrame | None = None, group: str | None = None,
-             limit: int | str | None = "spec", order: Sequence[str] | None = None) -> DataFrame:
+             limit: int | str | None = "spec", order: Sequence[str] | None = None, dataset: str | None = None) -> DataFrame:
     """Run a search on the long layout.
 
     Flat filters and the filters of each path are plain conditions on their own table and reach
@@ -180,31 +189,43 @@ def run_spec(tables: Tables, spec: QuerySpec, reviews: DataFrame | None = None,
     used = spec.used_filters()
     flat = [flat_predicate(f, base.schema[f.field].dataType) for f in used if not f.path]
     nested = [nested_predicate(f, tables.paths[f.path].schema[f.field].dataType) for f in used if f.path]
-    nested += _mode_filters(spec, "CSQ_nested" in tables.paths)
+    nested += _mode_filters(spec)
     rows = base.filter(P.all_of(*flat)) if flat else base
     if spec.exclude_rejected and reviews is not None:
-        rows = exclude_rejected(rows, reviews, group, key)
+        rows = exclude_rejected(rows, reviews, group, key, dataset)
+    # Conditions on columns that say the same of a document and its elements are given to both scans.
+    both = {c: [flat_predicate(f, base.schema[c].dataType) for f in used if not f.path and f.field == c] for c in tables.shared}
+
+    def elements(path: str) -> tuple[DataFrame, list[str]]:
+        table = tables.paths[path]
+        held = [c for c in tables.shared if c in table.columns and c in base.columns]
+        tests = [t for c in held for t in both[c]]
+        return (table.filter(P.all_of(*tests)) if tests else table), [*held, key]
+
+    for p, preds in P.by_path(_mode_consequences(spec, "CSQ_nested" in tables.paths)).items():
+        table, on = elements(p)
+        rows = rows.join(table.filter(P.row_condition(preds)).select(*on).distinct(), on, "left_semi")
     if spec.kindred is not None:
-        rows = _kindred_long(rows, tables, nested, spec.kindred)
+        rows = _kindred_long(rows, *elements("sample"), nested, spec.kindred)
     wanted = spec.nested_attributes()
-    involved = {p: tables.paths[p] for p in dict.fromkeys([*P.by_path(nested), *wanted])}
-    out = S.flatten_long(rows, key, involved, wanted, spec.flat_attributes(), nested, tables.unique)
+    involved = {p: elements(p) for p in dict.fromkeys([*P.by_path(nested), *wanted])}
+    keep = [c for c in dict.fromkeys([*tables.shared, *spec.flat_attributes()]) if c in base.columns]
+    out = S.flatten_long(rows, key, involved, wanted, keep, nested, tables.unique)
     return _finish(out, spec, key, spec.limit if limit == "spec" else limit, order)
 
 
-def _kindred_long(rows: DataFrame, tables: Tables, nested: Sequence[P.Nested], n: int) -> DataFrame:
+def _kindred_long(rows: DataFrame, samples: DataFrame, on: list[str], nested: Sequence[P.Nested], n: int) -> DataFrame:
     from helixloom.operators.inheritance import kindred
 
     grouped = P.by_path(nested).get("sample", [])
-    samples = tables.paths["sample"]
     matched = samples.filter(P.row_condition(grouped)) if grouped else samples
-    shared = kindred(matched.select(tables.key, "Family_ID"), n, tables.key).select(tables.key).distinct()
-    return rows.join(shared, tables.key, "left_semi")
+    shared = kindred(matched.select(*on, "Family_ID"), n, on[-1]).select(*on).distinct()
+    return rows.join(shared, on, "left_semi")
 
 
 def run_spec_nested(df: DataFrame, spec: QuerySpec, key: str = "variant_key", skip: Sequence[str] = (),
                     cap: int | None = None, reviews: DataFrame | None = None, group: str | None = None,
-                    limit: int | str | None = "spec", order: Sequence[str] | None = None) -> DataFrame:
+                    limit: int | str | None = "spec", order: Sequence[str] | None = None, dataset: str | None = None) -> DataFrame:
     """The same search on documents that hold their elements as arrays, for modest array sizes."""
     used = spec.used_filters()
 
@@ -212,13 +233,13 @@ def run_spec_nested(df: DataFrame, spec: QuerySpec, key: str = "variant_key", sk
         return df.schema[path].dataType.elementType[f].dataType
 
     nested = [nested_predicate(f, member(f.path, f.field)) for f in used if f.path]
-    nested += _mode_filters(spec, "CSQ_nested" in df.columns)
+    nested += _mode_filters(spec)
     grouped = P.by_path(nested)
     tests = [flat_predicate(f, df.schema[f.field].dataType) for f in used if not f.path]
-    tests += [P.same_element(ps) for ps in grouped.values()]
+    tests += [P.same_element(ps) for ps in [*grouped.values(), *P.by_path(_mode_consequences(spec, "CSQ_nested" in df.columns)).values()]]
     rows = df.filter(P.all_of(*tests)) if tests else df
     if spec.exclude_rejected and reviews is not None:
-        rows = exclude_rejected(rows, reviews, group, key)
+        rows = exclude_rejected(rows, reviews, group, key, dataset)
     if spec.kindred is not None:
         families = F.array_distinct(F.transform(
             F.filter("sample", P.element_condition(grouped["sample"])) if "sample" in grouped else F.col("sample"),

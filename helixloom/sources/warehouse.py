@@ -14,31 +14,38 @@ from helixloom.sources.vcf import Catalog
 
 RECORDS_PER_FILE = 20_000_000
 
+# What a load guarantees: one genotype per sample, and the document's place in every element row.
+UNIQUE = {"sample": ["Sample_ID"]}
+SHARED = ["CHROM", "POS"]
+
 
 @dataclass
 class Tables:
     """A warehouse in the long layout: ``base`` has one row per document, each path one per element.
 
     ``unique`` names, per path, the fields that tell a document's elements apart (such as the
-    sample id); a search that shows them needs no de-duplication there.
+    sample id); a search that shows them needs no de-duplication there. ``shared`` are columns that
+    hold the same value in a document and in all its elements: filters on them reach every scan.
     """
 
     base: DataFrame
     paths: dict[str, DataFrame] = field(default_factory=dict)
     key: str = "variant_key"
     unique: dict[str, list[str]] = field(default_factory=dict)
+    shared: list[str] = field(default_factory=list)
 
 
 def write_warehouse(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
     """Parquet by chromosome, sorted by position, so that region and point filters skip files.
 
     The range shuffle splits a large chromosome over many tasks; without ``partitions`` the
-    session's shuffle setting and adaptive coalescing decide.
+    session's shuffle setting and adaptive coalescing decide. The key is a hash, which no sorting by
+    position helps to find: Bloom filters on it let a lookup skip files.
     """
     order = [c for c in ("CHROM", "POS", "variant_key") if c in df.columns]
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     (ranged.sortWithinPartitions(*order).write.mode(mode).option("maxRecordsPerFile", RECORDS_PER_FILE)
-     .partitionBy("CHROM").parquet(path))
+     .option("parquet.bloom.filter.enabled#variant_key", "true").partitionBy("CHROM").parquet(path))
 
 
 def write_tables(tables: Tables, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
@@ -48,12 +55,12 @@ def write_tables(tables: Tables, path: str, mode: str = "overwrite", partitions:
 
 
 def read_tables(spark: SparkSession, path: str, paths: Iterable[str]) -> Tables:
-    # CHROM is a directory name: without this setting 1 and X would be guessed as numbers and text.
     def read(name: str) -> DataFrame:
-        found = spark.read.parquet(f"{path}/{name}")
-        return found.withColumn("CHROM", F.col("CHROM").cast("string"))
+        # CHROM is a directory name and would be guessed as a number: the schema says that it is text.
+        found = spark.read.parquet(f"{path}/{name}").drop("CHROM").schema.add("CHROM", T.StringType())
+        return spark.read.schema(found).parquet(f"{path}/{name}")
 
-    return Tables(read("variants"), {p: read(p) for p in paths})
+    return Tables(read("variants"), {p: read(p) for p in paths}, unique=UNIQUE, shared=SHARED)
 
 
 def save_bucketed(tables: Tables, database: str, buckets: int, mode: str = "overwrite") -> None:
@@ -65,11 +72,11 @@ def save_bucketed(tables: Tables, database: str, buckets: int, mode: str = "over
 
 
 def load_bucketed(spark: SparkSession, database: str, paths: Iterable[str], key: str = "variant_key") -> Tables:
-    return Tables(spark.table(f"{database}.variants"), {p: spark.table(f"{database}.{p}") for p in paths}, key)
+    return Tables(spark.table(f"{database}.variants"), {p: spark.table(f"{database}.{p}") for p in paths}, key, UNIQUE)
 
 
 def get_variant(df: DataFrame, key: str, column: str = "variant_key") -> DataFrame:
-    """The document of one key, a filter that reaches the scan."""
+    """The document of one key, a filter that reaches the scan and its Bloom filters."""
     return df.filter(F.col(column) == key)
 
 

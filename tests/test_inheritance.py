@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 """Rule tables enumerated over genotypes, phenotypes and sex, against a plain reading of the rules."""
 
 import itertools
@@ -94,11 +95,12 @@ def test_kindred(spark, n, want):
     assert I.kindred(df, n).count() == want
 
 
-def test_marking_agrees_with_and_without_broadcast(spark, sf, monkeypatch):
-    from workloads import derive as D
-
-    g = D.trio_rows(spark, sf.replace("sf0.001", "sf0.01"))
-    small = sorted(map(str, I.tag_modes(g, "genes").select("variant_key", "Sample_ID", "mendelian_diseases").collect()))
-    monkeypatch.setattr(I, "PAIR_ROWS", 0)
-    assert sorted(map(str, I.tag_modes(g, "genes").select("variant_key", "Sample_ID", "mendelian_diseases").collect())) == small
-    assert sum("compound" in r for r in small) > 100
+def test_compound_tag_is_decided_by_the_rows_own_genes(spark):
+    """Two rows of one variant and child with different genes: only the row whose gene qualifies is tagged."""
+    row = lambda v, pos, mother, father, genes: (v, "1", pos, "kid", "0/1", father, mother, "1", "1", "2", True, genes)
+    names = "variant_key int, CHROM string, POS int, Sample_ID string, GT string, Father_Genotype string, Mother_Genotype string, Father_Phenotype string, Mother_Phenotype string, Phenotype string, lof boolean, genes array<string>"
+    g = spark.createDataFrame([row(1, 10, "0/1", "0/0", ["A"]), row(1, 10, "0/1", "0/0", ["B"]), row(2, 20, "0/0", "0/1", ["A"])], names).withColumn("Sex", F.lit("1"))
+    tagged = [(r["variant_key"], r["genes"]) for r in I.tag_modes(g, "genes").collect() if "compound_heterozygous" in r["mendelian_diseases"]]
+    assert sorted(tagged) == [(1, ["A"]), (2, ["A"])]
+    table = spark.createDataFrame([(1, "A"), (2, "A")], "variant_key int, gene string")
+    assert sum("compound_heterozygous" in r["mendelian_diseases"] for r in I.tag_modes(g, table).collect()) == 3

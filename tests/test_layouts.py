@@ -10,7 +10,8 @@ from helixloom.operators import otu as O
 from helixloom.operators import predicates as P
 from helixloom.operators import shaping as S
 from helixloom.operators.indexing import global_index
-from helixloom.operators.nesting import nest, parts_for, unnest
+from helixloom.functions.parsers import map_values
+from helixloom.operators.nesting import nest, nest_in_parts, unnest
 from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec, run_spec_nested
 from helixloom.sources.warehouse import Tables, load_bucketed, save_bucketed
 from workloads.derive import order_tables
@@ -46,20 +47,11 @@ def test_layouts_agree(skewed, i):
     assert a == sorted(map(str, run_spec_nested(docs, SPECS[i]).collect())) and a
 
 
-def base_of(skewed):
-    return skewed[0]
-
-
 def test_nest_in_parts_keeps_every_copy(skewed):
     _, rows = skewed
-    parts = parts_for(rows, ["variant_key"], 50)
-    assert parts == 20
-    docs = nest(rows, ["variant_key"], "e", ["flag", "n", "tag"], parts=parts)
+    docs = nest_in_parts(rows, ["variant_key"], "e", ["flag", "n", "tag"], 20)
+    assert docs.columns == ["variant_key", "part", "e"]
     assert docs.agg(F.max(F.size("e"))).first()[0] < 250 and docs.count() > docs.select("variant_key").distinct().count()
-    # A split document still answers searches as a whole one does.
-    split = base_of(skewed).join(docs, "variant_key", "left")
-    for spec in SPECS[:3]:
-        assert sorted(map(str, run_spec_nested(split, spec).collect())) == sorted(map(str, run_spec(Tables(base_of(skewed), {"e": rows}), spec).collect()))
     assert sorted(map(str, unnest(docs, ["variant_key"], "e").collect())) == sorted(map(str, rows.collect()))
 
 
@@ -142,4 +134,40 @@ def test_otu_rules(spark):
     assert O.sample_ids(df, "BMlabid") == ["s1", "s2"]
     got = [tuple(r) for r in O.otu_table(df, ["s1", "s2"], order="seq").orderBy("OTU_ID").collect()]
     assert got == [("OTU_0", 1.0, 0.0, "t0"), ("OTU_1", 0.0, 7.0, "t1")]
-    assert O.otu_table(df, ["s2"], agg="sum").filter("taxonomy = 't1'").first()["s2"] == 12.0
+    assert O.otu_table(df, ["s1", "s2"], agg="sum").filter("taxonomy = 't1'").first()["s2"] == 12.0
+    with pytest.raises(Exception, match="sample without a column: s1"):
+        O.otu_table(df, ["s2"], agg="sum").collect()
+    for wrong in ({"agg": "last"}, {"agg": "mean"}):
+        with pytest.raises(ValueError):
+            O.otu_table(df, ["s1", "s2"], **wrong)
+
+
+def test_nest_keeps_one_row_per_key(spark):
+    """Searches by kindred, facets and caps count documents, so a document is one row whatever its size."""
+    rows = spark.range(4).select(F.lit(1).alias("variant_key"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("Family_ID"))
+    docs = nest(rows, ["variant_key"], "sample", ["Family_ID"]).withColumn("kind", F.lit("SNV"))
+    assert docs.count() == 1
+    assert run_spec_nested(docs, QuerySpec([Attribute("kind")], kindred=3)).count() == 1
+    assert [r["n"] for r in G.facet(docs, "kind").collect()] == [1]
+
+
+def test_no_silent_limits(spark):
+    df = spark.range(40_000).select((F.col("id") + 1).alias("v"))
+    assert G.facet(df, "v").count() == 40_000 and QuerySpec([]).limit is None
+    table = {f"k{i}": f"v{i}" for i in range(2000)}
+    got = spark.createDataFrame([("k1999",), ("other",)], "c string").select(map_values("c", table).alias("c")).collect()
+    assert [r["c"] for r in got] == ["v1999", "other"]
+
+
+def test_nested_range_keeps_missing_where_asked(spark):
+    base = spark.createDataFrame([(1,), (2,)], "variant_key int")
+    rows = spark.createDataFrame([(1, None), (2, 50)], "variant_key int, DP int")
+    keep = FieldFilter("nested_filter_range_lte", "DP", "20", path="e", missing="keep")
+    assert [r["variant_key"] for r in run_spec(Tables(base, {"e": rows}), QuerySpec([Attribute("DP", "e")], [keep])).collect()] == [1]
+
+
+def test_attributes_of_one_name_give_one_column(spark):
+    base = spark.createDataFrame([(1, 9)], "variant_key int, DP int")
+    rows = spark.createDataFrame([(1, 50)], "variant_key int, DP int")
+    out = run_spec(Tables(base, {"e": rows}), QuerySpec([Attribute("DP"), Attribute("DP", "e", "Depth")]))
+    assert out.columns == ["variant_key", "Depth"] and out.first()["Depth"] == 50

@@ -94,7 +94,7 @@ def test_variants(loaded):
     assert set(v) == {100, 200, 3000000}
     a = v[100]
     assert a["QUAL"] == 100.0 and a["AC"] == 2 and a["AF"] is None and a["NEW"] == "Yes" and a["Note"] == "a=b;c=d" and a["dbSNP_ID"] == ["rs7"]
-    assert a["MQ"] == 5.0 and a["gnomAD_all"] == 0.1 and a["gnomAD_AF"] == [0.01] and a["lof"]
+    assert a["MQ"] == 5.0 and a["gnomAD_all"] == 0.1 and a["gnomAD_AF"] == [0.01] and a["loss_of_function"]
     assert v[200]["Variant"] == "1_200_A_ACGTACGTAC" and v[200]["FILTER"] == ["q10", "s50"] and v[200]["VariantType"] == "INDEL" and v[200]["NEW"] == "No"
     assert v[3000000]["AF"] == 999.99 and v[3000000]["AC"] is None and v[3000000]["ID"] == "id3" and v[3000000]["dbSNP_ID"] is None
     assert sorted(r["reason"] for r in rejects.collect()) == ["POS is not a number", "QUAL is not a number", "fewer than 8 columns"]

@@ -66,8 +66,11 @@ def test_log_replay_export(spark, tables, tmp_path):
 
 
 def test_reviews_only_hide_for_their_group(spark, tables):
-    reviews = spark.sql("SELECT * FROM VALUES ('lab', 1, 'Rejected'), ('lab', 2, 'Approved'), ('clinic', 3, 'Rejected') AS t(`group`, document, status)")
-    assert exclude_rejected(tables.base, reviews, "lab").count() == 599
+    reviews = spark.sql("SELECT * FROM VALUES ('lab', 1, 'Rejected'), ('lab', 2, 'Approved'), ('clinic', 3, 'Rejected') AS t(`group`, document, status)").selectExpr("*", "'ds' AS dataset")
+    assert exclude_rejected(tables.base, reviews, "lab", dataset="ds").count() == 599
+    assert exclude_rejected(tables.base, reviews, "lab", dataset="other").count() == 600
+    with pytest.raises(ValueError):
+        exclude_rejected(tables.base, reviews, "lab")
 
 
 def test_sample_rows_to_documents(spark, tmp_path):

@@ -119,7 +119,15 @@ def _reviews(spark, sf):
 @query("exclude_rejected", f"""WITH {_REVIEWS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT document FROM r WHERE "group" = 'lab' AND status = 'Rejected')""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
-    return R.exclude_rejected(docs, _reviews(spark, sf), "lab", "doc_id")
+    return R.exclude_rejected(docs, _reviews(spark, sf), "lab", "doc_id", "docs")
+
+
+@query("exclude_rejected_dataset", f"""WITH {_REVIEWS} SELECT doc_id, source FROM documents
+ WHERE doc_id NOT IN (SELECT document FROM r WHERE "group" = 'lab' AND status = 'Rejected' AND document % 4 = 0)""")
+def _(spark, sf):
+    # Half of the rejections are in another dataset and hide nothing here.
+    reviews = _reviews(spark, sf).withColumn("dataset", F.when(F.col("document") % 4 == 0, "docs").otherwise("other"))
+    return R.exclude_rejected(table(spark, sf, "documents").select("doc_id", "source"), reviews, "lab", "doc_id", "docs")
 
 
 # Afterwards the clinic approves what it had rejected, all toxic documents lose their review, and the lab reviews those again.
@@ -179,19 +187,19 @@ def _cells(spark, sf):
             .select("taxonomy", "BMlabid", F.col("l_quantity").alias("value"), "seq"))
 
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
+NATIONS = [f"NATION_{i}" for i in range(25)]  # for the SQL; the queries read the headings from the data
 
 
 @query("otu_table", f"WITH {_CELLS} SELECT \"OTU_ID\", ids.taxonomy, " + ", ".join(f"coalesce(max(CASE WHEN sample = '{n}' THEN value END), 0) AS \"{n}\"" for n in NATIONS)
        + " FROM last JOIN ids USING (taxonomy) GROUP BY ALL")
 def _(spark, sf):
-    return O.otu_table(_cells(spark, sf), NATIONS, order="seq")
+    return O.otu_table(_cells(spark, sf), O.sample_ids(table(spark, sf, "nation"), "n_name"), order="seq")
 
 
 @query("otu_table_sum", f"WITH {_CELLS} SELECT \"OTU_ID\", ids.taxonomy, " + ", ".join(f"coalesce(sum(CASE WHEN sample = '{n}' THEN value END), 0) AS \"{n}\"" for n in NATIONS)
        + " FROM c JOIN ids USING (taxonomy) GROUP BY ALL")
 def _(spark, sf):
-    return O.otu_table(_cells(spark, sf), NATIONS, agg="sum")
+    return O.otu_table(_cells(spark, sf), O.sample_ids(table(spark, sf, "nation"), "n_name"), agg="sum")
 
 
 @query("otu_long", f"WITH {_CELLS} SELECT \"OTU_ID\", taxonomy, sample AS \"BMlabid\", value FROM last JOIN ids USING (taxonomy)")

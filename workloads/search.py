@@ -9,7 +9,7 @@ from helixloom.functions.scalars import natural_key, tokens
 from helixloom.operators import facets as G
 from helixloom.operators import predicates as P
 from helixloom.operators import shaping as S
-from helixloom.operators.nesting import nest, unnest
+from helixloom.operators.nesting import nest, nest_in_parts, unnest
 from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec, run_spec_nested
 from helixloom.sources.warehouse import Tables, get_variant
 from workloads.derive import nested_orders, order_tables, table
@@ -214,7 +214,6 @@ def _(spark, sf):
 @query("nest", """SELECT conv_id, count(*)::INT AS turns, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS roles
  FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
-    # One row per conversation as long as none has more than nesting.PART_ELEMENTS turns.
     docs = nest(table(spark, sf, "conversations"), ["conv_id"], "turn", ["turn", "role"])
     text = F.array_join(F.transform("turn", lambda e: F.concat(e["turn"].cast("string"), F.lit(":"), e["role"])), ",")
     return docs.select("conv_id", F.size("turn").alias("turns"), text.alias("roles"))
@@ -222,7 +221,7 @@ def _(spark, sf):
 
 @query("nest_in_parts", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
 def _(spark, sf):
-    parts = nest(table(spark, sf, "orders"), ["o_custkey"], "order", ["o_orderkey", "o_totalprice"], parts=4)
+    parts = nest_in_parts(table(spark, sf, "orders"), ["o_custkey"], "order", ["o_orderkey", "o_totalprice"], 4)
     return unnest(parts, ["o_custkey"], "order")
 
 
@@ -428,6 +427,7 @@ SPEC = QuerySpec(
         FieldFilter("nested_filter_range_gte", "l_quantity", "30", path="line"),
         FieldFilter("filter_terms", "o_orderpriority", ""),
     ],
+    limit=400,
 )
 _SPEC_SQL = """SELECT DISTINCT o_orderkey, o_orderstatus, o_totalprice, l_linenumber, l_quantity, l_returnflag FROM orders
  JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_totalprice >= 100000

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.operators.sizing import shared_folder
 from helixloom.plans import log as L
 from helixloom.plans.field_plan import schema_catalog
-from helixloom.plans.load import load_vcf
+from helixloom.plans.load import add_run, labelled_run, load_case_control, load_vcf
+from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec
 from helixloom.sources.export import export_csv
 from helixloom.sources.vcf import collect_catalog, region
 from helixloom.sources.warehouse import Tables, get_variant, read_tables, warehouse_schema, write_tables
@@ -35,11 +36,18 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def vcf_files(spark: SparkSession, sf: str, broken: bool = False) -> str:
-    """The cohort as VCF text files, the header in the first of them."""
+    """The cohort as several VCF text files, each with its header."""
+    return write_vcf(spark, HEADER, T.lines(spark, sf, broken), 3)
+
+
+def write_vcf(spark: SparkSession, header: list[str], lines: DataFrame, files: int = 1) -> str:
+    """Lines dealt out over files of one folder, below the header in each."""
     root = folder(spark, "vcf")
-    spark.createDataFrame([("\n".join(HEADER),)], "value string").coalesce(1).write.text(f"{root}/a_header")
-    T.lines(spark, sf, broken).write.text(f"{root}/b_lines")
-    return f"{root}/*"
+    top = spark.createDataFrame([(p, i, x) for p in range(files) for i, x in enumerate(header)], "part int, place long, value string")
+    rows = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("part"), F.lit(len(header)).cast("long").alias("place"), "value")
+    every = top.unionByName(rows).repartition(files, "part").sortWithinPartitions("part", "place").select("part", "value")
+    every.write.partitionBy("part").text(root, compression="gzip" if files == 1 else "none")
+    return f"{root}/part=*"
 
 
 # In the text a variant is loss-of-function through its second transcript, whose gene has a suffix.
@@ -72,6 +80,89 @@ def _(spark, sf):
     return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Small cohorts of their own samples, derived from the part table.
+_TEXT = ["##fileformat=VCFv4.2", '##INFO=<ID=AC,Number=1,Type=Integer,Description="Derived">', '##INFO=<ID=DP,Number=1,Type=Integer,Description="Derived">',
+         '##INFO=<ID=Dp_Mean,Number=1,Type=Float,Description="Derived">', '##INFO=<ID=DP_MEAN,Number=1,Type=Float,Description="Derived">',
+         '##INFO=<ID=LOF,Number=.,Type=String,Description="Predicted loss of function. Format: \'Gene_Name | Gene_ID | Number_of_transcripts_in_gene | Percent_of_transcripts_affected\'">',
+         '##FORMAT=<ID=GT,Number=1,Type=String,Description="Derived">']
+
+
+def _heading(*samples: str) -> list[str]:
+    return [*_TEXT, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+
+
+def _cohort_lines(spark: SparkSession, sf: str, which: str, calls: list, chrom: str = "chr1", ac: str = "k % 9") -> DataFrame:
+    k = D.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k")).filter(which)
+    info = F.format_string("AC=%d;DP=%d;Dp_Mean=1.5;DP_MEAN=2.5;LOF=(G%d|E|3|0.5)", F.expr(ac), F.expr("k % 50"), F.expr("k % 7"))
+    return k.select(F.concat_ws("\t", F.lit(chrom), F.expr("k * 10").cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("50"), F.lit("PASS"), info, F.lit("GT"), *[F.expr(c) for c in calls]).alias("value"))
+
+
+_GT = "CASE k % 3 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' ELSE '0/0' END"
+
+
+@query("load_files_of_other_samples", """WITH v AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' ELSE '0/0' END AS g FROM part),
+ c AS (SELECT k, unnest(CASE WHEN k % 2 = 0 THEN ['S1', 'S2'] ELSE ['S9', 'S2', 'S7'] END) AS "Sample_ID",
+  unnest(CASE WHEN k % 2 = 0 THEN [g, '0/1'] ELSE ['1/1', g, '0/0'] END) AS "GT" FROM v) SELECT k, "Sample_ID", "GT" FROM c WHERE "GT" <> '0/0'""")
+def _(spark, sf):
+    # Two files with other samples in another order: every call stays with its own sample.
+    a = write_vcf(spark, _heading("S1", "S2"), _cohort_lines(spark, sf, "k % 2 = 0", [_GT, "'0/1'"]))
+    b = write_vcf(spark, _heading("S9", "S2", "S7"), _cohort_lines(spark, sf, "k % 2 = 1", ["'1/1'", _GT, "'0/0'"]))
+    root = a.rsplit("/", 2)[0]
+    tables, _ = load_vcf(spark, f"{root}/{{{a.split('/')[-2]},{b.split('/')[-2]}}}/part=*", profile=False)
+    return tables.paths["sample"].select((F.col("POS") / 10).cast("long").alias("k"), "Sample_ID", "GT")
+
+
+@query("load_ragged_lines", """SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 'number of calls differs from the heading' END AS reason FROM part""")
+def _(spark, sf):
+    path = write_vcf(spark, _heading("S1", "S2"), _cohort_lines(spark, sf, "k % 5 <> 0", [_GT, "'0/1'"]).union(_cohort_lines(spark, sf, "k % 5 = 0", [_GT])), 2)
+    tables, bad = load_vcf(spark, path, profile=False)
+    k = (F.split("line", "\t")[1].cast("long") / 10).cast("long").alias("k")
+    return tables.base.select((F.col("POS") / 10).cast("long").alias("k"), F.lit(None).cast("string").alias("reason")).unionByName(bad.select(k, "reason"))
+
+
+@query("load_names_that_differ_in_case", """SELECT p_partkey AS k, '1' AS "CHROM", 1.5::DOUBLE AS low, 2.5::DOUBLE AS high, 'G' || (p_partkey % 7) AS gene, 3 AS transcripts, false AS flag FROM part""")
+def _(spark, sf):
+    # LOF of one annotator beside the load's own flag, two fields alike but for case, chr1 read as 1.
+    tables, _ = load_vcf(spark, write_vcf(spark, _heading("S1"), _cohort_lines(spark, sf, "true", ["'0/1'"])), profile=False)
+    base = tables.base.select("variant_key", (F.col("POS") / 10).cast("long").alias("k"), "CHROM", F.col("Dp_Mean").alias("low"), F.col("DP_MEAN_2").alias("high"), F.col("loss_of_function").alias("flag"))
+    lof = tables.paths["LOF"].select("variant_key", F.col("LOF_Gene_Name").alias("gene"), F.col("LOF_Number_of_transcripts_in_gene").cast("int").alias("transcripts"))
+    return base.join(lof, "variant_key").drop("variant_key")
+
+
+_CASES = """v AS (SELECT p_partkey AS k, p_partkey % 2 = 0 OR p_partkey % 5 = 0 AS c, p_partkey % 2 = 1 AS o FROM part)"""
+
+
+@query("load_case_control", f"""WITH {_CASES} SELECT k, CASE WHEN c THEN k % 9 END AS "AC_case", CASE WHEN o THEN k % 4 END AS "AC_control",
+ (CASE WHEN c THEN 1 ELSE 0 END + CASE WHEN o THEN 1 ELSE 0 END) AS calls, concat_ws(',', CASE WHEN c THEN 'case' END, CASE WHEN o THEN 'control' END) AS groups FROM v WHERE c OR o""")
+def _(spark, sf):
+    # Shared and single variants, and cases whose lines stand twice in the file.
+    case = _cohort_lines(spark, sf, "k % 2 = 0 OR k % 5 = 0", ["'0/1'"])
+    tables, _ = load_case_control(spark, write_vcf(spark, _heading("C1"), case.union(case), 2),
+                                  write_vcf(spark, _heading("K1"), _cohort_lines(spark, sf, "k % 2 = 1", ["'1/1'"], "1", "k % 4")), profile=False)
+    called = tables.paths["sample"].groupBy("variant_key").agg(F.count(F.lit(1)).alias("calls"), F.array_join(F.array_sort(F.collect_set("group")), ",").alias("groups"))
+    return tables.base.join(called, "variant_key").select((F.col("POS") / 10).cast("long").alias("k"), "AC_case", "AC_control", "calls", "groups")
+
+
+@query("add_labelled_run", f"""WITH {_CASES} SELECT k, CASE WHEN c THEN k % 9 END AS "AC_r1", CASE WHEN o THEN k % 4 END AS "AC_r2",
+ concat_ws(',', CASE WHEN c THEN 'r1=' || (k % 50) END, CASE WHEN o THEN 'r2=' || (k % 50) END) AS depths, concat_ws(',', CASE WHEN c THEN 'C1' END, CASE WHEN o THEN 'K1' END) AS samples FROM v WHERE c OR o""")
+def _(spark, sf):
+    first, _ = load_vcf(spark, write_vcf(spark, _heading("C1"), _cohort_lines(spark, sf, "k % 2 = 0 OR k % 5 = 0", ["'0/1'"])), profile=False)
+    second, _ = load_vcf(spark, write_vcf(spark, _heading("K1"), _cohort_lines(spark, sf, "k % 2 = 1", ["'1/1'"], "1", "k % 4")), profile=False)
+    old, new = folder(spark, "version"), folder(spark, "version")
+    write_tables(labelled_run(first, "r1", ["DP"]), old)
+    tables = add_run(spark, old, new, second, "r2", ["DP"])
+    called = tables.paths["sample"].groupBy("variant_key").agg(F.array_join(F.array_sort(F.collect_set("Sample_ID")), ",").alias("samples"))
+    depths = F.array_join(F.array_sort(F.transform("DP", lambda e: F.concat(e["DP_label"], F.lit("="), e["DP_value"].cast("string")))), ",")
+    return tables.base.join(called, "variant_key").select((F.col("POS") / 10).cast("long").alias("k"), "AC_r1", "AC_r2", depths.alias("depths"), "samples")
+
+
+@query("search_stored_tables", f"""WITH {D.COHORT_SQL} SELECT variant_key, "POS", "Sample_ID", "GT" FROM trio WHERE "CHROM" = '7' AND "POS" >= 2000000 AND "GT" = '0/1'""")
+def _(spark, sf):
+    spec = QuerySpec([Attribute("POS"), Attribute("Sample_ID", "sample"), Attribute("GT", "sample")], [
+        FieldFilter("filter_term", "CHROM", "7"), FieldFilter("filter_range_gte", "POS", "2000000"), FieldFilter("nested_filter_term", "GT", "0/1", path="sample")])
+    return run_spec(_stored(spark, sf), spec)
+
+
 def _stored(spark: SparkSession, sf: str) -> Tables:
     """The derived cohort written as a warehouse and read back."""
     base = D.variants(spark, sf).select("variant_key", "CHROM", "POS", "gene", "p_size")
@@ -120,7 +211,6 @@ def _(spark, sf):
 
 @query("export_mode_csv", f"""WITH {D.COHORT_SQL} SELECT variant_key::VARCHAR AS variant_key, "CHROM", "Sample_ID" AS "Sample" FROM trio WHERE {RULES['autosomal_dominant']}""")
 def _(spark, sf):
-    from helixloom.plans.spec import Attribute, QuerySpec
     from workloads.family import tables_of
 
     out = folder(spark, "csv")
