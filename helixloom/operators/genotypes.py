@@ -118,41 +118,46 @@ def enrich_pedigree(ped: DataFrame) -> DataFrame:
     )
 
 
-def _gifts(genotypes: DataFrame, receivers: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Genotypes of the samples somebody asks for, addressed to who asks: narrow rows, no shuffle
-    while the pedigree is broadcast."""
-    own = genotypes.select(*keys, F.col("Sample_ID").alias("_giver"), F.col("GT").alias("_gt"))
-    return own.join(broadcast_if(small, receivers), "_giver")
+def _addresses(ped: DataFrame, siblings: bool) -> DataFrame:
+    """Who needs whose genotype: giver, receiver, role and place in a list of siblings."""
+    none = F.lit(None).cast("int")
+    parts = [ped.select(F.col(role).alias("_giver"), F.col("sample").alias("_receiver"), F.lit(role).alias("_role"), none.alias("_place"))
+             for role in ("father", "mother")]
+    if siblings:
+        parts += [ped.select(F.posexplode(F.split(f"{role}_sibs_id", ",")).alias("_place", "_giver"), F.col("sample").alias("_receiver"), F.lit(role).alias("_role"))
+                  .select("_giver", "_receiver", "_role", "_place") for role in ("affected", "unaffected")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.col("_giver").isNotNull())
 
 
 def join_pedigree(genotypes: DataFrame, ped: DataFrame, keys: Sequence[str], siblings: bool = False) -> DataFrame:
     """Family, sex, phenotypes and the parents' (and siblings') genotypes at the same variant.
 
-    Parents' rows are cut to the genotype and re-addressed to their children by the pedigree, which
-    is counted first and broadcast only while small. All joins then share one key, (variant,
-    sample), so the genotypes are shuffled and sorted once; no key is larger than a family. Beyond
-    the bound the pedigree is joined by shuffle, where adaptive execution splits the samples' rows.
-    ``keys`` identify a variant line. Give genotypes from before no-call filtering, since a
-    parent's missing call must still be seen.
+    Rows are cut to the genotype and sent to all who need them by one table of addresses, made from the
+    pedigree, which is counted first and broadcast only while small. What a child receives is put
+    together in one aggregation and met with its own row by (variant, sample): the genotypes are read
+    twice, and no key is larger than a family. Beyond the bound the addresses are joined by
+    shuffle, where adaptive execution splits the samples' rows. ``keys`` identify a variant line. Give genotypes
+    from before no-call filtering, since a parent's missing call must still be seen.
     """
     small = is_small(ped)
     known = enrich_pedigree(ped)
     attributes = [c for c in genotypes.columns if c not in keys and c != "Sample_ID"]
-    on, out = [*keys, "Sample_ID"], genotypes
-    found = []
-    for role in ("father", "mother"):
-        name = f"{role.capitalize()}_Genotype"
-        receivers = ped.filter(F.col(role).isNotNull()).select(F.col(role).alias("_giver"), F.col("sample").alias("Sample_ID"))
-        out = out.join(_gifts(genotypes, receivers, keys, small).select(*on, F.col("_gt").alias(name)), on, "left")
-        found.append(name)
+    gifts = (genotypes.select(*keys, F.col("Sample_ID").alias("_giver"), F.col("GT").alias("_gt"))
+             .join(broadcast_if(small, _addresses(ped, siblings)), "_giver"))
+
+    def listed(role: str) -> Column:
+        mine = F.sort_array(F.collect_list(F.when(F.col("_role") == role, F.struct("_place", "_gt"))))
+        return F.when(F.size(mine) > 0, F.array_join(F.transform(mine, lambda x: x["_gt"]), ","))
+
+    received = {f"{r.capitalize()}_Genotype": F.max(F.when(F.col("_role") == r, F.col("_gt"))) for r in ("father", "mother")}
     if siblings:
-        for role in ("affected", "unaffected"):
-            name = f"{role.capitalize()}_Siblings_Genotypes"
-            receivers = ped.select(F.col("sample").alias("Sample_ID"), F.posexplode(F.split(f"{role}_sibs_id", ",")).alias("_place", "_giver"))
-            listed = F.transform(F.sort_array(F.collect_list(F.struct("_place", "_gt"))), lambda x: x["_gt"])
-            gifts = _gifts(genotypes, receivers, keys, small).groupBy(*on).agg(F.array_join(listed, ",").alias(name))
-            out = out.join(gifts, on, "left")
-            found.append(name)
+        received |= {f"{r.capitalize()}_Siblings_Genotypes": listed(r) for r in ("affected", "unaffected")}
+    found = list(received)
+    given = gifts.groupBy(*keys, F.col("_receiver").alias("Sample_ID")).agg(*[c.alias(n) for n, c in received.items()])
+    out = genotypes.join(given, [*keys, "Sample_ID"], "left")
     return out.join(broadcast_if(small, known), "Sample_ID", "left").select(
         *keys, "Sample_ID", *attributes, *[c for c in known.columns if c != "Sample_ID"], *found)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixloom.functions import vocab as V
 from helixloom.functions.parsers import map_values, parser
@@ -231,6 +232,20 @@ def _mapped(m: FieldMapping) -> Column:
     return map_values(raw, m.values)
 
 
+def _same_members(df: DataFrame, first: Column, second: Column) -> tuple[Column, Column]:
+    """Two arrays of structs with the members of both: what an element does not have is NULL."""
+    kinds = [f.dataType for f in df.select(first.alias("a"), second.alias("b")).schema.fields]
+    if kinds[0] == kinds[1] or not all(isinstance(k, T.ArrayType) and isinstance(k.elementType, T.StructType) for k in kinds):
+        return first, second
+    own = [{f.name: f.dataType for f in k.elementType.fields} for k in kinds]
+    every = own[0] | {n: k for n, k in own[1].items() if n not in own[0]}
+
+    def widened(values: Column, has: dict) -> Column:
+        return F.transform(values, lambda e: F.struct(*[(e[n] if n in has else F.lit(None)).cast(k).alias(n) for n, k in every.items()]))
+
+    return widened(first, own[0]), widened(second, own[1])
+
+
 def apply_mapping(df: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
     """Store INFO fields as configured: constant defaults, dictionaries, renames, presence-only
     fields, named parsers (alone or over two fields), shared nested paths and overwritten targets.
@@ -246,7 +261,7 @@ def apply_mapping(df: DataFrame, mapping: Sequence[FieldMapping]) -> DataFrame:
         if m.default is not None:
             value = F.coalesce(value, F.array(F.lit(m.default)) if m.type in ("integer", "float") and not m.parse_function else F.lit(m.default))
         if target in out and m.nested_path:
-            first, second = out[target], value
+            first, second = _same_members(df, out[target], value)
             value = F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.concat(first, second))
         out[target] = value
     by_key = {m.key: (m.nested_path or m.target or m.key) for m in mapping}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,4 +26,9 @@ def local_session(cpus: str | int | None = None, app: str = "helixloom") -> Spar
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # One machine: a folder of its own, removed when the session's process ends.
+        folder = tempfile.mkdtemp(prefix="helixloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{folder}")
     return spark

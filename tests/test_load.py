@@ -3,6 +3,8 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
+
 from helixloom.functions import vocab as V
 from helixloom.operators import genotypes as N
 from helixloom.operators import info as Info
@@ -165,6 +167,72 @@ def test_search_on_loaded_tables(loaded):
     assert [(r["Variant"], r["Sample_ID"]) for r in found] == [("1_200_A_ACGTACGTAC", "KID")]
 
 
+def test_element_scans_are_pruned_by_shared_columns(spark, loaded, tmp_path):
+    tables, _ = loaded
+    warehouse.write_tables(tables, str(tmp_path / "w"))
+    back = warehouse.read_tables(spark, str(tmp_path / "w"), list(tables.paths))
+    spec = QuerySpec([Attribute("Variant"), Attribute("Sample_ID", "sample"), Attribute("GT", "sample")], [
+        FieldFilter("filter_term", "CHROM", "1"), FieldFilter("filter_range_gte", "POS", "150"), FieldFilter("nested_filter_terms", "GT", "1/1", path="sample")])
+    found = run_spec(back, spec)
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert len(scans) == 2 and all("CHROM" in x.split("PartitionFilters: [")[1].split("]")[0] and "GreaterThanOrEqual(POS,150)" in x for x in scans)
+    assert [(r["Variant"], r["Sample_ID"]) for r in found.collect()] == [("1_200_A_ACGTACGTAC", "KID")]
+
+
+def test_files_name_their_own_samples(spark, tmp_path):
+    top = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(top + "S1\tS2\n1\t10\t.\tA\tC\t1\tPASS\tAC=1\tGT\t0/1\t1/1\n1\t11\t.\tA\tC\t1\tPASS\tAC=1\tGT\t0/1\n")
+    (tmp_path / "b.vcf").write_text(top + "S9\tS2\tS7\n1\t20\t.\tA\tC\t1\tPASS\tAC=1\tGT\t0/1\t0|1\t1/1\n")
+    tables, bad = load_vcf(spark, f"{tmp_path}/*.vcf", profile=False)
+    got = sorted((r["POS"], r["Sample_ID"], r["GT"]) for r in tables.paths["sample"].collect())
+    assert got == [(10, "S1", "0/1"), (10, "S2", "1/1"), (20, "S2", "0|1"), (20, "S7", "1/1"), (20, "S9", "0/1")]
+    assert [r["reason"] for r in bad.collect()] == ["number of calls differs from the heading"]
+    (tmp_path / "c.vcf").write_text("1\t30\t.\tA\tC\t1\tPASS\tAC=1\tGT\t0/1\n")
+    for path in (f"{tmp_path}/*.vcf", f"{tmp_path}/c.vcf"):
+        with pytest.raises(ValueError, match="no #CHROM heading"):
+            load_vcf(spark, path, profile=False)
+
+
+def test_report_meets_stored_keys_of_the_load(spark):
+    raw = vcf.split_lines(spark.createDataFrame([("chrX\t5\t.\tA\tC\t1\tPASS\tAC=1\tGT\t0/1",)], "value string"))
+    keyed = raw.withColumn("CHROM", vcf.normalize_chrom("CHROM"))
+    for parts in ((), ("ds",)):
+        known = vcf.normalize_variants(keyed, key_parts=parts).select("variant_key")
+        assert vcf.ingest_report(raw, known, key_parts=parts).first()["updated"] == 1
+
+
+def test_mode_search_asks_for_loss_of_function_on_any_transcript(spark):
+    base = spark.createDataFrame([("v", "1", 5)], "variant_key string, CHROM string, POS int")
+    csq = spark.createDataFrame([("v", "G1", ["missense_variant"]), ("v", "G2", ["stop_gained"])], "variant_key string, SYMBOL string, Consequence array<string>")
+    rows = spark.createDataFrame([("v", "KID", ["autosomal_recessive"])], "variant_key string, Sample_ID string, mendelian_diseases array<string>")
+    spec = QuerySpec([Attribute("SYMBOL", "CSQ_nested"), Attribute("Sample_ID", "sample")], [FieldFilter("nested_filter_term", "SYMBOL", "G1", path="CSQ_nested")])
+    found = search_mode(warehouse.Tables(base, {"CSQ_nested": csq, "sample": rows}), "autosomal_recessive", spec)
+    assert [(r["SYMBOL"], r["Sample_ID"]) for r in found.collect()] == [("G1", "KID")]
+
+
+def test_pedigree_join_reads_the_genotypes_twice(spark, files):
+    g = spark.read.parquet(_stored_genotypes(spark, files))
+    joined = N.join_pedigree(g, read_ped(spark, str(files / "cohort.ped")), ["POS"], siblings=True)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+
+
+def _stored_genotypes(spark, files):
+    raw, _ = vcf.split_rejects(vcf.read_vcf(spark, str(files / "cohort.vcf")))
+    path = str(files / "genotypes")
+    N.unpivot_genotypes(raw, ["KID", "DAD", "MUM", "SIS"], ["POS"], {"DP": "integer"}, nocall="keep").write.mode("overwrite").parquet(path)
+    return path
+
+
+def test_mapping_joins_different_members_on_one_path(spark):
+    from helixloom.functions.parsers import register_parser
+
+    register_parser("_one", lambda c: F.array(F.struct(c.alias("A"))))
+    register_parser("_two", lambda c: F.array(F.struct(c.alias("B"), F.lit(1).alias("n"))))
+    df = spark.createDataFrame([("x=1;y=2",)], "INFO string")
+    out = Info.apply_mapping(df, [Info.FieldMapping("x", parse_function="_one", nested_path="p"), Info.FieldMapping("y", parse_function="_two", nested_path="p")]).first()
+    assert [tuple(e) for e in out["p"]] == [("1", None, None), (None, "2", 1)]
+
+
 def test_schema_from_catalog(spark, files):
     c = vcf.read_catalog(spark, str(files / "cohort.vcf"))
     s = warehouse.warehouse_schema(c, "vep", ped=True)

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixloom.operators.otu import otu_table, sample_ids
+from helixloom.operators.shaping import safe_names
 from helixloom.operators.sizing import shared_folder
 from helixloom.plans import log as L
 from helixloom.plans.field_plan import schema_catalog
 from helixloom.plans.load import add_run, labelled_run, load_case_control, load_vcf
 from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec
-from helixloom.sources.export import export_csv
+from helixloom.sources.export import export_csv, export_otu_csv
 from helixloom.sources.vcf import collect_catalog, region
 from helixloom.sources.warehouse import Tables, get_variant, read_tables, warehouse_schema, write_tables
 from workloads import derive as D
@@ -200,6 +202,20 @@ def _(spark, sf):
     return spark.read.csv(out, header=True)
 
 
+@query("export_otu_csv", """SELECT 'OTU_' || (row_number() OVER (ORDER BY t) - 1) AS "#OTU ID", a::DOUBLE::VARCHAR AS s1, b::DOUBLE::VARCHAR AS s2, t AS taxonomy
+ FROM (SELECT p_type AS t, coalesce(sum(p_size) FILTER (p_partkey % 2 = 0), 0) AS a, coalesce(sum(p_size) FILTER (p_partkey % 2 = 1), 0) AS b FROM part GROUP BY 1)""")
+def _(spark, sf):
+    rows = D.table(spark, sf, "part").select(F.col("p_type").alias("taxonomy"), F.when(F.col("p_partkey") % 2 == 0, "s1").otherwise("s2").alias("BMlabid"), F.col("p_size").cast("double").alias("value"))
+    out = folder(spark, "csv")
+    export_otu_csv(otu_table(rows, sample_ids(rows, "BMlabid"), agg="sum"), out)
+    return spark.read.csv(out, header=True)
+
+
+@query("safe_names", """SELECT p_partkey AS "Gene_refGene", p_size AS "a_b_c" FROM part""")
+def _(spark, sf):
+    return safe_names(D.table(spark, sf, "part").select(F.col("p_partkey").alias("Gene.refGene"), F.col("p_size").alias("a.b.c")))
+
+
 @query("search_log_replayed", _SPEC_SQL)
 def _(spark, sf):
     from workloads.derive import order_tables
