@@ -138,19 +138,20 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64("text").alias("h"), "text")
     cut = keyed.mapInArrow(_block_rows(window, gram), "doc long, h long, anchor long, content long, start int, count int")
-    shared = cut.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor")
+    # What rows join below is stored first: a join of plain scans can be split where an anchor is hot.
+    shared = stored(cut.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor"), "anchors")
     repeated = stored(cut.join(shared, "anchor"), "blocks")
     content = stored(repeated.groupBy("anchor", "content").agg(F.min("doc").alias("source")), "contents")
     placed = repeated.join(content, ["anchor", "content"])
     # Whole blocks: every document after the first one that holds the content.
     copied = placed.filter("doc > source").select("doc", "h", "start", (F.col("start") + F.col("count") + (window - 1)).alias("stop"))
     # Where contents with one anchor differ, windows are compared, those of a content in its first document only.
-    differ = content.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a < b").select("anchor")
+    differ = stored(content.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a < b").select("anchor"), "differ")
     edge = placed.filter("doc = source").join(differ, "anchor")
     asked = edge.groupBy("doc", "h").agg(F.collect_set(F.shiftleft(F.col("start").cast("long"), 16).bitwiseOR(F.col("count").cast("long"))).alias("asked"))
     rows = keyed.join(asked, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "text", "asked")
     seen = stored(rows.mapInArrow(_window_rows(window), "w1 long, w2 long, doc long, h long, start int"), "windows")
-    least = seen.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("source < last").drop("last")
+    least = stored(seen.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).filter("source < last").drop("last"), "sources")
     found = seen.join(least, ["w1", "w2"]).filter("doc > source").select("doc", "h", "start", (F.col("start") + window).alias("stop"))
     every = copied.unionByName(found)
     packed_span = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))
