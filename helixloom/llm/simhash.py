@@ -6,8 +6,8 @@ hashes (seed 42); a text without words has fingerprint zero.
 
 Equal fingerprints are one node, whatever their number of documents. A shard is the set of fingerprints that agree under a
 mask of bits. Up to `EXACT` bits of radius the masks are radius + 1 blocks, so a pair within the radius meets in a shard for
-certain. For a wider radius (near copies that share four fifths of five-word shingles lie some nine bits apart, seldom over twelve) they are
-`TABLES` samples of `MASK` bits, and the share of pairs found is measured in the tests.
+certain. For a wider radius (near copies that share four fifths of five-word shingles lie some nine bits apart, seldom
+over twelve) they are samples of bits, as many as find `RECALL` of the pairs `USUAL` bits apart.
 
 In each shard a BK-tree (children keyed by their integer distance to the parent) is built and searched with all members at
 once, following only edges within the radius of a query's distance. A shard of more than `SHARD` members becomes several
@@ -21,6 +21,7 @@ each stored in the shared folder.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -35,8 +36,9 @@ from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
 EXACT = 3
-TABLES = 24
-MASK = 14
+# For a wider radius: bits that most near copies differ in at most, and the share of pairs at that distance to be found.
+USUAL = 9
+RECALL = 0.95
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -214,18 +216,24 @@ def _links(radius: int):
     return run
 
 
-def masks(radius: int) -> list[int]:
-    """Masks of bits under which pairs within the radius are looked for."""
+def masks(radius: int, prints: int) -> list[int]:
+    """Masks of bits under which pairs within the radius are looked for.
+
+    Beyond `EXACT` they grow with the logarithm of the number of fingerprints, which keeps shards small, and there are as many
+    as it takes for the same share of pairs at any size.
+    """
     if radius <= EXACT:
         width = -(-64 // (radius + 1))
         return [((1 << min(width, 64 - at)) - 1) << at for at in range(0, 64, width)]
+    size = min(40, max(14, prints.bit_length() - 3))
+    miss = 1 - math.comb(64 - USUAL, size) / math.comb(64, size)
     rng = random.Random(64)
-    return [sum(1 << b for b in rng.sample(range(64), MASK)) for _ in range(TABLES)]
+    return [sum(1 << b for b in rng.sample(range(64), size)) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(miss)))]
 
 
 def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column print): closest pairs first, spanning what each shard links."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, prints.count())]
     keyed = [F.struct(F.lit(i).alias("block"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)]
     members = prints.select("print", F.explode(F.array(*keyed)).alias("k")).select("k.block", "k.key", "print")
     sizes = members.groupBy("block", "key").count().filter("count > 1").withColumn("parts", F.ceil(F.col("count") / shard).cast("int")).drop("count")
@@ -301,7 +309,7 @@ def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 14, similarity: float | None = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 12, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, with all columns of the input: the one with the smallest doc_id.
 
     Links need a fingerprint distance within the radius and, unless `similarity` is None, that Jaccard similarity of shingle
