@@ -186,7 +186,7 @@ def build_gene_records(gene: Column | str, detail: Column | str, db: str) -> Col
         F.when(gene.isNull(), F.lit(None))
         .when(detail.isNull(), F.array(record(none, none, none, none)))
         .when(detail.rlike("^dist=[a-zA-Z0-9]+;dist=[a-zA-Z0-9]+$"), F.array(record(none, none, none, detail)))
-        .when(detail.contains(":"), F.transform(F.split(detail, ","), from_detail))
+        .when(detail.contains(":"), F.transform(F.split(detail, "[;,]"), from_detail))
     )
 
 

@@ -32,14 +32,24 @@ CONSEQUENCE_PATTERN = r"^(Func|ExonicFunc)_(refGene|ensGene)$"
 CODING_CHANGE_PATTERN = r"^(exon_id|cdna_change|aa_change)_(rg|eg)$"
 NONCODING_PATTERN = r"^(Gene|Upstream|Downstream|GeneDetail)_(refGene|ensGene)$"
 DISTANCE_PATTERN = r"^Distance_to_(up|down)stream_(refGene|ensGene)$"
-VEP_GENE_FIELDS = [
-    "Gene", "SYMBOL", "BIOTYPE", "Feature", "Feature_type", "miRNA", "EXON", "INTRON", "CDS_position", "cDNA_position", "Protein_position",
-    "Amino_acids", "HGNC_ID", "HGVSc", "HGVSp", "STRAND", "SWISSPROT", "Codons", "DOMAINS",
-]
 PREDICTION_PATTERN = r"(_pred|_prediction|_Prediction|_pred_coding|_pred_transf)$"
 SCORE_PATTERN = r"(_score|_Score|_SCORE|_rankscore|_phred|_PHRED|_raw|_RAW|_RawScore|_RS)$"
 CONSERVATION_PATTERN = r"^(phastCons|phyloP|PhastCons|PhyloP|SiPhy|tfbsConsSites|targetScanS|wgRna)"
-INTERVAR_PATTERN = r"^(InterVar_automated|PVS1|BA1|PS[1-4]|BS[1-4]|PM[1-6]|PP[1-5]|BP[1-7])$"
+INTERVAR_FIELDS = [
+    "InterVar_automated", "PVS1", "PS1", "PS2", "PS3", "PS4", "PM1", "PM2", "PM3", "PM4", "PM5", "PM6", "PP1", "PP2", "PP3", "PP4", "PP5",
+    "BA1", "BS1", "BS2", "BS3", "BS4", "BP1", "BP2", "BP3", "BP4", "BP5", "BP6", "BP7",
+]
+# Flat fields that are stored but never offered as filters.
+NOT_OFFERED = [
+    "targetScanS", "tfbsConsSites", "RGQ", "cosmic_70", "sample", "avsnp147", "avsnp150", "PR", "Status", "integrated_confidence_value", "MCAP",
+    "Codon_sub", "Eigen_coding_or_noncoding", "OXPHOS_Complex", "Gene_pos", "AAChange_refGene", "AAChange_ensGene", "CSQ_nested",
+    "Class_predicted", "culprit", "US", "Presence_in_TD", "Prob_N", "Prob_P", "Mutation_frequency", "AA_pos", "AA_sub", "CCC", "CCC_case",
+    "CCC_control", "CSQ", "DB", "MQ0", "ANNOVAR_DATE", "CADD_prediction", "Associated_disease", "CLNDISDB", "CS", "EFIN_HumDiv_Prediction",
+    "Ensembl_Protein_ID", "Examined_samples", "Gene_ensGene", "Gene_refGene", "Gene_symbol", "ICGC_Occurrence", "MC", "Mean_MI_score",
+    "MutAss_prediction", "NCBI_Gene_ID", "NCBI_Protein_ID", "NS", "OLD_VARIANT", "Perc_coevo_Sites", "PolyPhen2_prediction", "PolyPhen2_score",
+    "SIFT_prediction", "SiteVar", "VT", "cosmic70", "Tumor_site", "DP", "NEGATIVE_TRAIN_SITE", "POSITIVE_TRAIN_SITE", "DS", "DS_case",
+    "DS_control", "ALLELE_END", "NCC", "NCC_case", "NCC_control",
+]
 DISEASE_PATTERN = r"^(CLN|CLIN|clinvar|COSMIC|ICGC|gwasCatalog|PUBMED|PHENO|snp138NonFlagged)"
 
 
@@ -92,7 +102,7 @@ def _rules() -> list[Rule]:
         Rule(disease, annotated & f.rlike(DISEASE_PATTERN) & numeric, (("nested_filter_range_gte", False),), source),
         Rule(disease, annotated & f.rlike(DISEASE_PATTERN), (("nested_filter_terms", True),), source),
         Rule(disease, flat & f.rlike(DISEASE_PATTERN), (("filter_terms", True),), source),
-        Rule(disease, flat & f.rlike(INTERVAR_PATTERN), (("filter_terms", True),), "ACMG/AMP InterVar Criteria"),
+        Rule(disease, flat & f.isin(INTERVAR_FIELDS), (("filter_terms", True),), "ACMG/AMP InterVar Criteria"),
         Rule(harm, annotated & (f.rlike(PREDICTION_PATTERN) | (f == "IMPACT")), (("nested_filter_terms", True),), "Predictions"),
         Rule(harm, flat & f.rlike(PREDICTION_PATTERN), (("filter_terms", True),), "Predictions"),
         # A lower SIFT score is the more harmful one.
@@ -131,9 +141,10 @@ def schema_catalog(schema: T.StructType) -> list[tuple[str, str | None, str]]:
 def field_plan(catalog: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """One row per offered filter: field, path, type, panel, sub_panel, kind, choices.
 
-    ``catalog`` has field, path, type. With ``facets`` (field, value, n) the fields that offer
+    ``catalog`` has field, path, type; ``NOT_OFFERED`` fields get no filter. With ``facets`` (field, value, n) the fields that offer
     choices also say how many there are; the values themselves stay in the facet table.
     """
+    catalog = catalog.filter(F.col("path").isNotNull() | ~F.col("field").isin(NOT_OFFERED))
     plan = None
     for r in reversed(_rules()):
         sub = r.sub_panel if isinstance(r.sub_panel, Column) else F.lit(r.sub_panel)

@@ -206,9 +206,10 @@ def _(spark, sf):
 
 
 @query("gene_records", f"""{V} SELECT k, brand || ' NEXT' || (k % 10) AS symbol, CASE WHEN k % 6 IN (0, 1) THEN 'NM_' || k END AS transcript, CASE k % 6 WHEN 0 THEN 'exon1' END AS location,
- CASE WHEN k % 6 = 2 THEN 'dist=' || k || ';dist=' || CASE WHEN k % 4 = 0 THEN 'NONE' ELSE (k + 5)::VARCHAR END END AS distance FROM v WHERE k % 6 IN (0, 1, 2, 5)""")
+ CASE WHEN k % 6 = 2 THEN 'dist=' || k || ';dist=' || CASE WHEN k % 4 = 0 THEN 'NONE' ELSE (k + 5)::VARCHAR END END AS distance FROM v WHERE k % 6 IN (0, 1, 2, 5)
+ UNION ALL SELECT k, brand || ' NEXT' || (k % 10), 'NM_9', NULL, NULL FROM v WHERE k % 6 = 1""")
 def _(spark, sf):
-    recs = A.build_gene_records(decode_escapes(info_value("Gene_refGene")), F.replace(decode_escapes(info_value("GeneDetail_refGene")), F.lit(";NM_9:c.-7A>G"), F.lit("")), "refGene")
+    recs = A.build_gene_records(decode_escapes(info_value("Gene_refGene")), decode_escapes(info_value("GeneDetail_refGene")), "refGene")
     e = T.parsed(spark, sf).select("k", F.explode(recs).alias("r"))
     return e.select("k", F.col("r.refGene_symbol").alias("symbol"), F.col("r.refGene_refgene_id").alias("transcript"),
                     F.col("r.refGene_location").alias("location"), F.col("r.refGene_distance_to_gene").alias("distance"))
