@@ -49,6 +49,13 @@ def texts(column: pa.Array, step: int = 256) -> Iterator[bytes]:
             yield text or b""
 
 
+def pieces(batches: Iterator[pa.Array], step: int = 512) -> Iterator[pa.Array]:
+    """Arrow columns in pieces of few rows, for functions whose results are as long as their texts."""
+    for column in batches:
+        for at in range(0, len(column), step):
+            yield column.slice(at, step)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Weights (bias last) of a logistic regression: accelerated gradient on a bounded sample of rows, in x's precision."""
     n, dims = x.shape

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.llm.common import pieces
+
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
@@ -260,7 +262,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in pieces(batches):
             yield pa.array([main_text(p.as_py() or "") for p in column], pa.string())
 
     text = of.asNondeterministic()(F.col("html"))

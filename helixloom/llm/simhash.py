@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import packed, stored, texts, unpacked
+from helixloom.llm.common import packed, pieces, stored, texts, unpacked
 from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
@@ -87,7 +87,7 @@ def shingle_sets(text: F.Column, shingle: int) -> F.Column:
 
     @F.arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in pieces(batches):
             yield pa.array([np.unique(np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])).view(np.int64) for t in texts(column)], pa.list_(pa.int64()))
 
     return of.asNondeterministic()(text)
