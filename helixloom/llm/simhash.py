@@ -6,24 +6,28 @@ hashes (seed 42); a text without words has fingerprint zero.
 
 Equal fingerprints are one node, whatever their number of documents. A shard is the set of fingerprints that agree under a
 mask of bits. Up to `EXACT` bits of radius the masks are radius + 1 blocks, so a pair within the radius meets in a shard for
-certain. For a wider radius (near copies that share four fifths of five-word shingles lie some nine bits apart, seldom
-over twelve) they are samples of bits, as many as find `RECALL` of the pairs `USUAL` bits apart.
+certain. For a wider radius they are samples of bits, as many as find `RECALL` of the pairs `USUAL` bits apart.
 
 In each shard a BK-tree (children keyed by their integer distance to the parent) is built and searched with all members at
 once, following only edges within the radius of a query's distance. A shard of more than `SHARD` members becomes several
 trees; each member queries those from its own on. Trees travel to where the shard's rows are and are not broadcast,
 because the fingerprints of all documents have no size bound.
 
-A shard gives a spanning set of links between its closest fingerprints, not all pairs. Where a similarity is asked for, links
-are confirmed on the shingle sets of their texts. Components come from large-star and small-star rounds over the links,
-each stored in the shared folder.
+A shard gives a spanning set of links between its closest fingerprints, not all pairs. Components come from large-star and
+small-star rounds over the links, each stored in the shared folder.
+
+Where a similarity is asked for, nodes are distinct shingle sets and links from fingerprints are only a first pass: they are
+confirmed on the sets, and join most near copies cheaply. A second pass is complete (`unmet`): of two sets similar enough, each
+has a common shingle among its first few in any order of shingles (prefix filter), so sets of different components that
+share one there are compared as well. Shingles that are common in a sample come last in that order; the sample steers cost,
+not results.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,9 @@ EXACT = 3
 # For a wider radius: bits that most near copies differ in at most, and the share of pairs at that distance to be found.
 USUAL = 9
 RECALL = 0.95
+# Texts looked at for common shingles, and how many of those are told apart.
+SAMPLE = 10_000
+COMMON = 50_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -60,8 +67,13 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(runs: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the hashes."""
     n, counts = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text, shingle):
+    for h in runs:
         n += len(h)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         runs = -(-len(bits) // 255)  # sums of 255 bits fit a byte
@@ -83,12 +95,20 @@ def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
 
 
 def shingle_sets(text: F.Column, shingle: int) -> F.Column:
-    """Distinct shingle hashes of a text."""
+    """Fingerprint, distinct shingle hashes in order of size, and a digest of these."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<print: bigint, node: bigint, set: array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in pieces(batches):
-            yield pa.array([np.unique(np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])).view(np.int64) for t in texts(column)], pa.list_(pa.int64()))
+            prints, nodes, sets = [], [], []
+            for t in texts(column):
+                runs = list(shingle_hashes(t, shingle))
+                prints.append(majority(runs))
+                sets.append(np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)])).view(np.int64))
+                nodes.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), 42))
+            yield pa.StructArray.from_arrays([
+                pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                pa.array(sets, pa.list_(pa.int64()))], ["print", "node", "set"])
 
     return of.asNondeterministic()(text)
 
@@ -244,21 +264,120 @@ def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
             .mapInArrow(_links(radius), "a long, b long"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, keys: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts have a Jaccard similarity of shingle sets of at least `similarity`. keys: doc_id, h, print.
-
-    Texts of equal fingerprint stand for each other; only texts at the ends of links are looked at.
-    """
+def confirmed(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes with a Jaccard similarity of shingle sets of at least `similarity`. keys: node, set."""
     pairs = stored(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    one = keys.join(ends, "print").groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    one = stored(one.select("print", F.col("k.doc_id").alias("d"), F.col("k.h").alias("k")), "ends")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    told = rows.join(broadcast_if(is_small(one), one), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))).dropDuplicates(["print"])
-    sets = stored(told.select("print", shingle_sets(F.col("text"), shingle).alias("set")), "sets")
-    a, b = (sets.select(F.col("print").alias(n), F.col("set").alias(k)) for n, k in (("a", "x"), ("b", "y")))
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = keys.select("node", "set").join(broadcast_if(is_small(ends), ends), "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(sets, "sets")
+    a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(k)) for n, k in (("a", "x"), ("b", "y")))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    return both.filter(F.col("n") / (F.size("x") + F.size("y") - F.col("n")) >= similarity).select("a", "b")
+
+
+def _first_pass(keys: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes by fingerprint: one node of each linked fingerprint, and that one with all others of its fingerprint."""
+    named = stored(keys.groupBy("print", "node").agg(F.count(F.lit(1)).alias("n")), "named")
+    ones = stored(named.groupBy("print").agg(F.min("node").alias("one")), "ones")
+    linked = stored(links(ones.select("print"), radius).distinct(), "near")
+    a, b = (ones.select(F.col("print").alias(p), F.col("one").alias(n)) for p, n in (("a", "x"), ("b", "y")))
+    far = linked.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = named.join(ones, "print").filter("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    return far.unionByName(same)
+
+
+def _prefixes(keys: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, at, token): the first shingles of a set of n, rare ones before common ones, as many as leave less than `similarity` of it."""
+    share = max(1, keys.count() // SAMPLE)
+    seen = keys.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("set").alias("token")).groupBy("token").count()
+    top = seen.filter("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    tokens, counts = (top[c].to_numpy().astype(np.int64) for c in ("token", "count"))
+    order = np.argsort(tokens)
+    sent = keys.sparkSession.sparkContext.broadcast((tokens[order], np.log2(counts[order]).astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, level = sent.value
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                flat, sizes = part.column(1).flatten().to_numpy(False), part.column(1).value_lengths().to_numpy(False).astype(np.int64)
+                place = np.minimum(np.searchsorted(tokens, flat), max(0, len(tokens) - 1))
+                known = np.where(tokens[place] == flat, level[place], 0) if len(tokens) else np.zeros(len(flat), np.int64)
+                ends = np.cumsum(sizes)
+                first = [np.zeros(0, np.int64)]
+                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                    most = b - a - math.ceil(similarity * (b - a) - 1e-9) + 1
+                    first.append(flat[a:b][np.argsort(known[a:b], kind="stable")[:most]])
+                lens = np.array([len(f) for f in first[1:]], np.int64)
+                at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+                cols = np.repeat(part.column(0).to_numpy(False), lens), np.repeat(sizes, lens).astype(np.int32), at.astype(np.int32), np.concatenate(first)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "n", "at", "token"])
+            pa.default_memory_pool().release_unused()
+
+    return keys.select("node", "set").mapInArrow(run, "node long, n int, at int, token long")
+
+
+def _unmet_pairs(similarity: float):
+    """Rows (token, part, guest, node, root, n, at), sorted so that a part's own members come before its guests.
+
+    A pair of different components is told where the overlap can still suffice with this as its first common shingle.
+    """
+    need = similarity / (1 + similarity)
+
+    def met(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (_, xr, xn, xl), (_, yr, yn, yl) = x.T[:, :, None], y.T[:, None, :]
+        i, j = np.nonzero((xr != yr) & (np.minimum(xl, yl) >= need * (xn + yn) - 1e-9))
+        if len(i):
+            a, b = x[i, 0], y[j, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own = None, np.zeros((0, 4), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(False) for c in batch.columns]
+            key = np.stack([cols[0], cols[1].astype(np.int64)], axis=1)
+            rows = np.stack([cols[3], cols[4], cols[5].astype(np.int64), (cols[5] - cols[6]).astype(np.int64)], axis=1)
+            cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if group != tuple(key[a]):
+                    group, own = tuple(key[a]), np.zeros((0, 4), np.int64)
+                split = a + int(np.count_nonzero(~cols[2][a:b]))
+                for at in range(a, split, 256):
+                    new = rows[at:min(split, at + 256)]
+                    own = np.concatenate([own, new])
+                    yield from met(new, own)
+                for at in range(split, b, 256):
+                    yield from met(rows[at:min(b, at + 256)], own)
+
+    return run
+
+
+def unmet(keys: DataFrame, moved: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, all that can have the similarity among them.
+
+    keys: node, set; moved: node, root. Shingles that only one component holds lead to no pair, so a large group of near copies
+    costs nothing here once it is one component; the members of a shingle that many components hold are split into parts.
+    """
+    prefix = stored(_prefixes(keys, similarity), "prefixes")
+    several = prefix.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
+    several = stored(several, "several")
+    held = stored(prefix.join(broadcast_if(is_small(several), several), "token", "left_semi").distinct(), "held")
+    named = stored(held.join(moved, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", "at"), "members")
+    sizes = named.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    sizes = stored(sizes.select("token", F.ceil(F.col("count") / shard).cast("int").alias("parts")), "sizes")
+    met = named.join(broadcast_if(is_small(sizes), sizes), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    asked = met.withColumn("part", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
+    asked = asked.select("token", "part", (F.col("part") != F.col("own")).alias("guest"), "node", "root", "n", "at")
+    return (asked.repartition("token", "part").sortWithinPartitions("token", "part", "guest")
+            .mapInArrow(_unmet_pairs(similarity), "a long, b long"))
+
+
+def similar(keys: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes with the similarity. keys: print, node, set."""
+    near = stored(confirmed(_first_pass(keys, radius), keys, similarity), "confirmed")
+    return near.unionByName(confirmed(unmet(keys, components(near), similarity), keys, similarity))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -283,17 +402,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(keys: DataFrame, radius: int, confirm=lambda pairs: pairs) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints with their smallest doc_id, and the component id of those that are linked.
+def _grouped(keys: DataFrame, found: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Distinct nodes with their smallest doc_id, and the component id of those that are linked.
 
     What later joins read is stored first: a join of two plain scans can be split where a key is hot.
     """
-    nodes = stored(keys.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    moved = components(confirm(links(nodes.select("print"), radius)))
+    nodes = stored(keys.groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
+    moved = components(found(nodes))
     linked = moved.unionByName(moved.select(F.col("root").alias("node"), "root").distinct())
-    named = stored(linked.join(nodes, F.col("node") == F.col("print")).select("node", "root", "first"), "linked")
+    named = stored(linked.join(nodes, "node").select("node", "root", "first"), "linked")
     ids = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
-    return nodes, named.join(ids, "root").select(F.col("node").alias("print"), "component_id")
+    return nodes, named.join(ids, "root").select("node", "component_id")
 
 
 def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -302,31 +421,36 @@ def annotate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     The smallest doc_id reachable over links names a component; null ids do not count, a component of null ids only has
     a null name. Repeated rows are one node. Other columns are not read.
     """
-    keys = stored(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("print")), "prints")
-    nodes, linked = _grouped(keys, radius)
-    named = stored(nodes.join(linked, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id")), "components")
-    return keys.join(named, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    keys = stored(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("node")), "prints")
+    nodes, linked = _grouped(keys, lambda nodes: links(nodes.select(F.col("node").alias("print")), radius))
+    named = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "components")
+    return keys.join(named, "node").select(
+        "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 12, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component, with all columns of the input: the one with the smallest doc_id.
 
-    Links need a fingerprint distance within the radius and, unless `similarity` is None, that Jaccard similarity of shingle
-    sets. Rows are told apart by doc_id and a hash of the text; of rows equal in both, one stays.
+    Without a similarity, texts within the radius of fingerprints are linked. With one, those with at least that Jaccard
+    similarity of shingle sets are, whatever their fingerprints; the radius bounds only the first pass over fingerprints.
+    Rows are told apart by doc_id and a hash of the text; of rows equal in both, one stays.
     """
-    keys = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprints(F.col("text"), shingle).alias("print")), "prints")
-    confirm = (lambda pairs: pairs) if similarity is None else lambda pairs: confirmed(pairs, docs, keys, shingle, similarity)
-    nodes, linked = _grouped(keys, radius, confirm)
-    # Copies of one fingerprint merge before components meet.
+    row = ("doc_id", F.xxhash64("text").alias("h"))
+    if similarity is None:
+        keys = stored(docs.select(*row, fingerprints(F.col("text"), shingle).alias("node")), "prints")
+        nodes, linked = _grouped(keys, lambda nodes: links(nodes.select(F.col("node").alias("print")), radius))
+    else:
+        keys = stored(docs.select(*row, shingle_sets(F.col("text"), shingle).alias("s")).select("doc_id", "h", "s.*"), "prints")
+        nodes, linked = _grouped(keys, lambda nodes: similar(keys, radius, similarity))
+    # Rows of one node merge before components meet.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    groups = keys.groupBy("print").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n")).join(linked, "print", "left")
-    groups = stored(groups.select("print", "rank", "n", F.col("component_id").isNotNull().alias("linked"), "component_id"), "groups")
+    groups = keys.groupBy("node").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n")).join(linked, "node", "left")
+    groups = stored(groups.select("node", "rank", "n", F.col("component_id").isNotNull().alias("linked"), "component_id"), "groups")
     best = groups.filter("linked").groupBy(F.col("component_id").alias("c")).agg(F.min("rank").alias("best"))
-    several = groups.filter("linked").join(best, F.col("component_id").eqNullSafe(F.col("c"))).select("print", "best")
-    several = stored(several.unionByName(groups.filter("not linked and n > 1").select("print", F.col("rank").alias("best"))), "several")
+    several = groups.filter("linked").join(best, F.col("component_id").eqNullSafe(F.col("c"))).select("node", "best")
+    several = stored(several.unionByName(groups.filter("not linked and n > 1").select("node", F.col("rank").alias("best"))), "several")
     # Rows of groups of two and more, without the one that stays; a row that repeats it is told below.
-    members = keys.join(several, "print").select("doc_id", "h", rank.alias("rank"), "best")
+    members = keys.join(several, "node").select("doc_id", "h", rank.alias("rank"), "best")
     gone = stored(members.filter("rank <> best").select(F.col("doc_id").alias("d"), F.col("h").alias("k")).distinct(), "gone")
     again = members.filter("rank = best").groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("d"), F.col("h").alias("k"))
     again = stored(again, "again")

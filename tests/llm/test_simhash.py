@@ -157,3 +157,61 @@ def test_deduplicate_keeps_one_of_each_group(documents, clash):
     want = {c for _, _, c in brute(rows)}
     got = [r.doc_id for r in out.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def kept_by_brute(rows, similarity=0.8):
+    """Smallest ids of the components of all pairs with the similarity, compared one by one."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return set(least.values())
+
+
+def kept_by_stage(documents, rows):
+    got = [r.doc_id for r in simhash.deduplicate(documents(rows)).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def variants(n, words, edits, seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randint(*edits)):
+            text[rng.randrange(words)] = f"e{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_links_that_fail_do_not_hide_pairs_that_hold(documents):
+    rows = variants(400, 200, (1, 8), 3)
+    want = kept_by_brute(rows)
+    assert 20 < len(want) < 380
+    assert kept_by_stage(documents, rows) == want
+
+
+def test_parts_of_a_common_shingle_tell_the_same_pairs(spark):
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(30), rng.randint(8, 12))) for _ in range(300)]
+    keys = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "node long, set array<bigint>")
+    moved = spark.createDataFrame([(i, i % 7) for i in range(7, 40)], "node long, root long")
+    root = lambda i: i % 7 if 7 <= i < 40 else i
+    want = {(i, j) for j in range(300) for i in range(j) if root(i) != root(j)
+            and len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.5}
+    for shard in (2048, 16):
+        pairs = simhash.unmet(keys, moved, 0.5, shard)
+        assert want <= {tuple(r) for r in pairs.distinct().collect()}
+        assert {tuple(r) for r in simhash.confirmed(pairs, keys, 0.5).collect()} == want
