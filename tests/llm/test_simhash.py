@@ -203,6 +203,18 @@ def test_links_that_fail_do_not_hide_pairs_that_hold(documents):
     assert kept_by_stage(documents, rows) == want
 
 
+def test_pairs_near_the_threshold_at_any_distance_of_fingerprints(documents):
+    rows, far = [], 0
+    for k in range(250):
+        pair = [t for _, t in variants(2, 60 + k, ((60 + k) // 90, (60 + k) // 70 + 1), k)]
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        a, b = map(shingles, pair)
+        far += len(a & b) / len(a | b) >= 0.8 and (plain_print(pair[0], 5) ^ plain_print(pair[1], 5)).bit_count() > 12
+    want = kept_by_brute(rows)
+    assert far > 3 and len(want) < 450
+    assert kept_by_stage(documents, rows) == want
+
+
 def test_parts_of_a_common_shingle_tell_the_same_pairs(spark):
     rng = random.Random(2)
     sets = [sorted(rng.sample(range(30), rng.randint(8, 12))) for _ in range(300)]
