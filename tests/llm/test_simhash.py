@@ -215,6 +215,14 @@ def test_pairs_near_the_threshold_at_any_distance_of_fingerprints(documents):
     assert kept_by_stage(documents, rows) == want
 
 
+def test_equal_fingerprints_of_unlike_texts_stay(documents):
+    words = lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    rows = [(i, words(i) + "\n" + "\n".join(["to be read once more"] * 60)) for i in range(6)]
+    rows += [(10, rows[2][1].upper()), (11, rows[3][1] + " more")]
+    assert len({plain_print(t, 5) for _, t in rows[:6]}) == 1
+    assert kept_by_stage(documents, rows) == set(range(6))
+
+
 def test_parts_of_a_common_shingle_tell_the_same_pairs(spark):
     rng = random.Random(2)
     sets = [sorted(rng.sample(range(30), rng.randint(8, 12))) for _ in range(300)]
