@@ -6,7 +6,7 @@ import pytest
 from test_simhash import plain_print
 
 import corpus_pipeline
-from helixloom.llm import mixing, simhash
+from helixloom.llm import mixing
 from helixloom.llm.decontaminate import words_of
 
 
@@ -47,10 +47,9 @@ def test_near_copies_go_and_others_stay(stages):
     ids = sorted(before)
     pairs = [(a, b) for k, b in enumerate(ids) for a in ids[:k] if sets[a] & sets[b] and alike(a, b) >= 0.8]
     assert set(before) - set(after) <= {b for _, b in pairs}
-    # Pairs within the usual distance are found but for a few; of those farther apart some are not.
+    # Of every pair at four fifths or more, at any distance of fingerprints, one goes.
     missed = [(a, b) for a, b in pairs if a in after and b in after]
-    near = [(a, b) for a, b in pairs if (plain_print(before[a], 5) ^ plain_print(before[b], 5)).bit_count() <= simhash.USUAL]
-    assert len(set(missed) & set(near)) <= 0.1 * len(near)
+    assert pairs and not missed
     assert all(plain_print(before[a]) != plain_print(before[b]) for a, b in missed)
 
 
