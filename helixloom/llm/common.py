@@ -25,13 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and go on from the table, which cuts the lineage.
 
-    The files belong to the session's checkpoint folder and go with it.
+    Whoever stores a table gives it up with `released` once all its readers are stored themselves.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for table in tables:
+        folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+        for folder in folders:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame, *named: tuple[str, F.Column]) -> DataFrame:
     """Whole rows in one column `row`, beside working columns: no name of the input can clash with those."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named])

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import decontaminate, exact_dedup, html_extract, license_scan, line_dedup, mixing, quality, simhash, sql, substring_dedup, url_filter
+from helixloom.llm import (decontaminate, exact_dedup, hard_negatives, html_extract, license_scan, line_dedup, mixing, quality, simhash, spelling, sql,
+                           substring_dedup, toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,22 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.annotate(table(spark, sf, "documents"))
+
+
+@query("op11_spelling_variants", sql.SPELLING_VARIANTS)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.annotate(table(spark, sf, "documents"))
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    # The contract's scale, anchors and moved labels.
+    found = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    anchor = F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False))
+    return hard_negatives.mine(found.select("vec_id", label.alias("label"), hard_negatives.whole_vectors("embedding", 256).alias("vector"), anchor.alias("anchor")))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.annotate(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -121,3 +121,43 @@ SELECT doc_id, len(lines) AS n_lines, coalesce(len(gone), 0) AS n_dropped,
        sha256(array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10))) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)
 """
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, x.r, x.vec_id, a.label = x.label AS same, CAST(list_dot_product(a.q, x.q) AS BIGINT) AS score
+      FROM e a JOIN e x ON a.r <> x.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, pr ORDER BY s.score DESC, s.vec_id, s.r)
+QUALIFY row_number() OVER w <= 3
+"""
+
+# CRC-32 byte by byte: the table follows from its polynomial.
+_RUNS = r"regexp_extract_all(" + ASCII_LOWER.format("coalesce(text, '')") + r", '[a-z\x{00C0}-\x{00FF}]{7,}')"
+
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE step AS (SELECT CAST(i AS UBIGINT) AS c, i, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i, k + 1 FROM step WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest({_RUNS}) AS w FROM documents),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS UBIGINT))),
+                          lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS h
+           FROM (SELECT w, hex(encode(d || ':' || w)) AS h FROM run), tab),
+word AS (SELECT w, count(*) AS n FROM (
+           SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w FROM hashed)
+         WHERE length(w) >= 7 GROUP BY w HAVING count(*) >= 2),
+cut AS MATERIALIZED (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)),
+near AS (SELECT DISTINCT * FROM (
+           SELECT a.w, b.w AS o, b.n FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.w <> b.w
+           UNION ALL SELECT c.w, x.w, x.n FROM cut c JOIN word x ON c.v = x.w
+           UNION ALL SELECT x.w, c.w, c.n FROM cut c JOIN word x ON c.v = x.w)),
+best AS (SELECT w, count(*) AS n_near, min(struct_pack(n := -n, w := encode(o))) AS b FROM near GROUP BY w),
+form AS (SELECT word.w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 10 * word.n THEN decode(b.w) END AS form, CASE WHEN -b.n >= 10 * word.n THEN -b.n END AS form_n
+         FROM word LEFT JOIN best USING (w)),
+chain AS (SELECT w AS word, w AS root, form AS next FROM form UNION ALL SELECT word, f.w, f.form FROM chain JOIN form f ON chain.next = f.w)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM form f JOIN chain ON chain.word = f.w AND chain.next IS NULL
+"""
