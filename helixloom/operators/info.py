@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -182,7 +182,7 @@ def refine_catalog(catalog: Catalog, profile: Sequence[Row]) -> Catalog:
     found = {(r["section"], r["name"]): r["type"] for r in profile if r["type"]}
     info = {n: (t if t == "flag" else found.get(("INFO", n), t)) for n, t in catalog.info.items()}
     fmt = {n: ("string" if n == "PL" else found.get(("FORMAT", n), t)) for n, t in catalog.format.items()}
-    return Catalog(info, fmt, catalog.descriptions, catalog.subfields, catalog.samples, catalog.contigs)
+    return replace(catalog, info=info, format=fmt)
 
 
 def csq_types(catalog: Catalog, profile: Sequence[Row] = ()) -> dict[str, str]:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from helixloom.functions import vocab as V
 from helixloom.functions.scalars import normalize_chrom
+from helixloom.operators.alleles import split_alleles, with_vectors
 from helixloom.operators.annotations import annotate
 from helixloom.operators.genotypes import unpivot_genotypes, unpivot_with_pedigree
 from helixloom.operators.inheritance import lof_condition, tag_modes
@@ -50,7 +51,7 @@ def with_lof(variants: DataFrame) -> DataFrame:
 def parse_variants(raw: DataFrame, catalog: Catalog, types: dict[str, str] | None = None) -> DataFrame:
     """Typed core, INFO and annotation columns of split lines, with ``format`` and ``calls`` kept."""
     core = with_info(normalize_variants(raw))
-    plain = parse_info(core, catalog.info)
+    plain = with_vectors(parse_info(core, catalog.info), catalog.info, catalog.info_numbers)
     full = annotate(plain, catalog.info, catalog.csq_fields, types, catalog.subfields)
     return full.drop("_keys", "_values", "INFO")
 
@@ -71,7 +72,8 @@ def long_tables(variants: DataFrame, genotypes: DataFrame | None = None) -> Tabl
 
 
 def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assembly: str = "hg19",
-             partitions: int | None = None, profile: bool = True, stage: bool = True, plain_chrom: bool = True) -> tuple[Tables, DataFrame]:
+             partitions: int | None = None, profile: bool = True, stage: bool = True, plain_chrom: bool = True,
+             split: bool = False) -> tuple[Tables, DataFrame]:
     """Warehouse tables of a VCF and its rejected lines.
 
     With a pedigree all calls are kept, enriched and tagged; without one reference calls are
@@ -79,9 +81,14 @@ def load_vcf(spark: SparkSession, path: str, ped: DataFrame | None = None, assem
     are written once to the shared folder (``stage``), since every table is made from them.
     ``plain_chrom`` turns ``chrX`` into ``X``, as the rules for X and Y need. A file without a heading is an error; a
     line whose number of calls differs from its file's heading is rejected.
+
+    A line of several alternate alleles is one document whose aligned fields are whole in ``<field>_by_allele``;
+    with ``split`` it is one document per allele.
     """
     catalog = read_catalog(spark, path)
     good, bad = split_rejects(read_vcf(spark, path, partitions))
+    if split:
+        good = split_alleles(good, catalog).drop("_allele")
     if plain_chrom:
         good = good.withColumn("CHROM", normalize_chrom("CHROM"))
     types = csq_types(catalog)

@@ -19,7 +19,7 @@ KEYS = ["CHROM", "POS", "REF", "ALT"]
 
 @dataclass
 class Catalog:
-    """What a header declares: field name -> type, sub-field lists, samples, contig lengths."""
+    """What a header declares: field name -> type, sub-field lists, samples, contig lengths, and how many values a field has."""
 
     info: dict[str, str] = field(default_factory=dict)
     format: dict[str, str] = field(default_factory=dict)
@@ -27,6 +27,8 @@ class Catalog:
     subfields: dict[str, list[str]] = field(default_factory=dict)
     samples: list[str] = field(default_factory=list)
     contigs: dict[str, int] = field(default_factory=dict)
+    info_numbers: dict[str, str] = field(default_factory=dict)
+    format_numbers: dict[str, str] = field(default_factory=dict)
 
     @property
     def csq_fields(self) -> list[str]:
@@ -85,7 +87,7 @@ def all_samples(headings: dict[str, list[str]]) -> list[str]:
 
 
 def header_catalog(lines: DataFrame) -> DataFrame:
-    """Declared fields as a table: section, name, type, description, subfields, length.
+    """Declared fields as a table: section, name, type, description, subfields, length, number.
 
     Text types of frequencies and scores are declared wrongly by one annotator, so those names
     are taken as float. Dots become underscores.
@@ -103,7 +105,8 @@ def header_catalog(lines: DataFrame) -> DataFrame:
     return lines.filter(v.startswith("##")).filter(section != "").select(
         section.alias("section"), F.replace(name, F.lit("."), F.lit("_")).alias("name"), kind.alias("type"),
         description.alias("description"), F.when(listed != "", clean).alias("subfields"),
-        F.regexp_extract(v, r"length=(\d+)", 1).try_cast("long").alias("length"))
+        F.regexp_extract(v, r"length=(\d+)", 1).try_cast("long").alias("length"),
+        F.nullif(F.regexp_extract(v, r"Number=([^,>]+)", 1), F.lit("")).alias("number"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
@@ -122,6 +125,8 @@ def collect_catalog(header: DataFrame) -> Catalog:
             continue
         (out.info if r["section"] == "INFO" else out.format)[r["name"]] = r["type"]
         out.descriptions[r["name"]] = r["description"]
+        if r["number"]:
+            (out.info_numbers if r["section"] == "INFO" else out.format_numbers)[r["name"]] = r["number"]
         if r["subfields"]:
             out.subfields[r["name"]] = list(r["subfields"])
     heading = header.filter(F.col("value").startswith("#CHROM")).first()
@@ -181,9 +186,11 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_report(raw: DataFrame, known: DataFrame | None = None, key: str = "variant_key", plain_chrom: bool = True,
-                  key_parts: tuple[str, ...] = ()) -> DataFrame:
+                  key_parts: tuple[str, ...] = (), catalog: Catalog | None = None) -> DataFrame:
     """Counters of one load in one row: processed, created, updated, failed, skipped.
 
+    With the load's ``catalog`` also ``unreadable``: values of numeric fields in loadable lines that are no numbers.
+
     A line whose every sample is a no-call is skipped. ``known`` are the keys already stored; they are
     met with keys made as the load makes them, so ``plain_chrom`` and ``key_parts`` are those of the load.
     """
@@ -200,13 +207,19 @@ def ingest_report(raw: DataFrame, known: DataFrame | None = None, key: str = "va
     else:
         marked = marked.withColumn("_stored", F.lit(None).cast("boolean"))
     loaded = F.col("_state") == "loaded"
-    return marked.agg(
+    report = marked.agg(
         F.count(F.lit(1)).alias("processed"),
         F.count_if(loaded & F.col("_stored").isNull()).alias("created"),
         F.count_if(loaded & F.col("_stored").isNotNull()).alias("updated"),
         F.count_if(F.col("_state") == "failed").alias("failed"),
         F.count_if(F.col("_state") == "skipped").alias("skipped"),
     )
+    if catalog is None:
+        return report
+    from helixloom.operators.alleles import unreadable_values
+
+    bad = unreadable_values(raw.filter(line_errors("_ragged" in raw.columns).isNull()), catalog.info, catalog.info_numbers)
+    return report.withColumn("unreadable", bad.agg(F.coalesce(F.sum("unreadable"), F.lit(0))).scalar())
 
 
 def normalize_variants(raw: DataFrame, rule: str = "base", sep: str = "_", key_parts: tuple[str, ...] = ()) -> DataFrame:

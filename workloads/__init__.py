@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "family", "ingest", "cohorts", "storage"]
+MODULES = ["search", "family", "ingest", "cohorts", "storage", "alleles"]
 
 
 def _load() -> None:
