@@ -86,11 +86,21 @@ def concat_cohorts(case: DataFrame, control: DataFrame) -> DataFrame:
         control.withColumn("group", F.lit("control")), allowMissingColumns=True)
 
 
+def _without_labels(target: DataFrame, name: str, stored: Column, new: Column) -> Column:
+    """Stored entries but those of a label that the new ones have."""
+    kind, label = target.schema[name].dataType, f"{name}_label"
+    if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and label in kind.elementType.fieldNames()):
+        return stored
+    told = F.transform(F.coalesce(new, F.filter(stored, lambda _: F.lit(False))), lambda e: e[label])
+    return F.filter(stored, lambda e: ~F.coalesce(F.array_contains(told, e[label]), F.lit(False)))
+
+
 def upsert_variants(target: DataFrame, batch: DataFrame, key: str = "variant_key",
                     append: Sequence[str] = ("sample",), labelled: Sequence[str] = (), fresh: Sequence[str] = ()) -> DataFrame:
     """New version of the target: stored documents gain the batch's samples and labelled entries,
     unknown ones are added whole. ``fresh`` fields (the label's own counts) are taken from the
-    batch; all other fields of a stored document stay. A key that the batch repeats counts once."""
+    batch; all other fields of a stored document stay. A key that the batch repeats counts once. Entries of a label
+    that the batch has for a document take the place of stored ones, so a batch may come again."""
     batch = unique_rows(batch, [key])
     lists = [*append, *labelled]
     left = target.select(key, F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("_t"))
@@ -107,7 +117,7 @@ def upsert_variants(target: DataFrame, batch: DataFrame, key: str = "variant_key
         elif new is None:
             value = stored
         elif c in lists:
-            value = concat_arrays(stored, new)
+            value = concat_arrays(_without_labels(target, c, stored, new) if c in labelled else stored, new)
         elif c in fresh:
             value = F.coalesce(new, stored)
         else:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,9 @@ from helixloom.functions import vocab as V
 from helixloom.sources.vcf import Catalog
 
 RECORDS_PER_FILE = 20_000_000
+# Positions in one partition of a store that runs are published into, and that partition's column.
+BUCKET_SIZE = 10_000_000
+BUCKET = "POS_BUCKET"
 
 # What a load guarantees: one genotype per sample, and the document's place in every element row.
 UNIQUE = {"sample": ["Sample_ID"]}
@@ -35,32 +39,77 @@ class Tables:
     shared: list[str] = field(default_factory=list)
 
 
-def write_warehouse(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
+def bucket_of(size: int) -> Column:
+    return F.floor(F.col("POS") / size).cast("int")
+
+
+def write_warehouse(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None, bucket: int | None = None) -> None:
     """Parquet by chromosome, sorted by position, so that region and point filters skip files.
 
+    With ``bucket`` a chromosome is cut into partitions of so many positions, which ``replace_partitions`` can write one by one.
+
     The range shuffle splits a large chromosome over many tasks; without ``partitions`` the
     session's shuffle setting and adaptive coalescing decide. The key is a hash, which no sorting by
     position helps to find: Bloom filters on it let a lookup skip files.
     """
     order = [c for c in ("CHROM", "POS", "variant_key") if c in df.columns]
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    by = ["CHROM"]
+    if bucket:
+        ranged, by = ranged.withColumn(BUCKET, bucket_of(bucket)), ["CHROM", BUCKET]
     (ranged.sortWithinPartitions(*order).write.mode(mode).option("maxRecordsPerFile", RECORDS_PER_FILE)
-     .option("parquet.bloom.filter.enabled#variant_key", "true").partitionBy("CHROM").parquet(path))
+     .option("parquet.bloom.filter.enabled#variant_key", "true").partitionBy(*by).parquet(path))
+
+
+def replace_partitions(df: DataFrame, path: str, bucket: int) -> None:
+    """Write the partitions that ``df`` has rows of; all other files stay as they are."""
+    order = [c for c in ("CHROM", "POS", "variant_key") if c in df.columns]
+    placed = df.repartitionByRange(*order).withColumn(BUCKET, bucket_of(bucket)).sortWithinPartitions(*order)
+    (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", RECORDS_PER_FILE)
+     .option("parquet.bloom.filter.enabled#variant_key", "true").partitionBy("CHROM", BUCKET).parquet(path))
+
+
+def write_tables(tables: Tables, path: str, mode: str = "overwrite", partitions: int | None = None, bucket: int | None = None) -> None:
+    """All tables of a warehouse. With ``bucket`` later runs can be published into it."""
+    for name, rows in [("variants", tables.base), *tables.paths.items()]:
+        write_warehouse(rows, f"{path}/{name}", mode, partitions, bucket)
+        if bucket:
+            write_schema(rows, path, name)
+
+
+def write_schema(df: DataFrame, path: str, name: str) -> None:
+    """A table's columns beside it: partitions written at different times need not have the same ones."""
+    kept = T.StructType([f for f in df.schema.fields if f.name != BUCKET])
+    df.sparkSession.createDataFrame([(kept.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_schemas/{name}")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()) if fs.exists(folder) else []
+
 
+def stored_paths(spark: SparkSession, path: str) -> list[str]:
+    """The element tables that a stored warehouse has."""
+    return [n for n in _folders(spark, path) if n != "variants" and not n.startswith(("_", "."))]
 
-def write_tables(tables: Tables, path: str, mode: str = "overwrite", partitions: int | None = None) -> None:
-    write_warehouse(tables.base, f"{path}/variants", mode, partitions)
-    for name, rows in tables.paths.items():
-        write_warehouse(rows, f"{path}/{name}", mode, partitions)
 
+def read_stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One stored table, with its bucket column if it has one."""
+    found = spark.read.parquet(f"{path}/{name}")
+    kept = found.drop("CHROM", BUCKET).schema
+    if name in _folders(spark, f"{path}/_schemas"):
+        told = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schemas/{name}").first()[0]))
+        kept = T.StructType([f for f in told.fields if f.name != "CHROM"])
+    # CHROM is a directory name and would be guessed as a number: the schema says that it is text.
+    kept = T.StructType([*kept.fields, T.StructField("CHROM", T.StringType()), *([T.StructField(BUCKET, T.IntegerType())] if BUCKET in found.columns else [])])
+    return spark.read.schema(kept).parquet(f"{path}/{name}")
 
-def read_tables(spark: SparkSession, path: str, paths: Iterable[str]) -> Tables:
-    def read(name: str) -> DataFrame:
-        # CHROM is a directory name and would be guessed as a number: the schema says that it is text.
-        found = spark.read.parquet(f"{path}/{name}").drop("CHROM").schema.add("CHROM", T.StringType())
-        return spark.read.schema(found).parquet(f"{path}/{name}")
 
-    return Tables(read("variants"), {p: read(p) for p in paths}, unique=UNIQUE, shared=SHARED)
+def read_tables(spark: SparkSession, path: str, paths: Iterable[str] | None = None) -> Tables:
+    """The stored tables; all element tables unless ``paths`` names some."""
+    names = stored_paths(spark, path) if paths is None else paths
+    return Tables(read_stored(spark, path, "variants").drop(BUCKET), {p: read_stored(spark, path, p).drop(BUCKET) for p in names}, unique=UNIQUE, shared=SHARED)
 
 
 def save_bucketed(tables: Tables, database: str, buckets: int, mode: str = "overwrite") -> None:

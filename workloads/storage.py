@@ -12,7 +12,7 @@ from helixloom.operators.shaping import safe_names
 from helixloom.operators.sizing import shared_folder
 from helixloom.plans import log as L
 from helixloom.plans.field_plan import schema_catalog
-from helixloom.plans.load import add_run, labelled_run, load_case_control, load_vcf
+from helixloom.plans.load import add_run, labelled_run, load_case_control, load_vcf, publish_run
 from helixloom.plans.spec import Attribute, FieldFilter, QuerySpec, run_spec
 from helixloom.sources.export import export_csv, export_otu_csv
 from helixloom.sources.vcf import collect_catalog, region
@@ -93,10 +93,10 @@ def _heading(*samples: str) -> list[str]:
     return [*_TEXT, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
-def _cohort_lines(spark: SparkSession, sf: str, which: str, calls: list, chrom: str = "chr1", ac: str = "k % 9") -> DataFrame:
+def _cohort_lines(spark: SparkSession, sf: str, which: str, calls: list, chrom: str = "chr1", ac: str = "k % 9", ident: str = "'.'") -> DataFrame:
     k = D.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k")).filter(which)
     info = F.format_string("AC=%d;DP=%d;Dp_Mean=1.5;DP_MEAN=2.5;LOF=(G%d|E|3|0.5)", F.expr(ac), F.expr("k % 50"), F.expr("k % 7"))
-    return k.select(F.concat_ws("\t", F.lit(chrom), F.expr("k * 10").cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("50"), F.lit("PASS"), info, F.lit("GT"), *[F.expr(c) for c in calls]).alias("value"))
+    return k.select(F.concat_ws("\t", F.lit(chrom), F.expr("k * 10").cast("string"), F.expr(ident), F.lit("A"), F.lit("C"), F.lit("50"), F.lit("PASS"), info, F.lit("GT"), *[F.expr(c) for c in calls]).alias("value"))
 
 
 _GT = "CASE k % 3 WHEN 0 THEN '0/1' WHEN 1 THEN '1/1' ELSE '0/0' END"
@@ -233,3 +233,33 @@ def _(spark, sf):
     spec = QuerySpec([Attribute("CHROM"), Attribute("Sample_ID", "sample", "Sample")])
     L.export_mode_csv(tables_of(spark, sf), "autosomal_dominant", spec, out)
     return spark.read.csv(out, header=True)
+
+
+@query("load_case_control_ids", f"""WITH {_CASES} SELECT k, CASE WHEN c THEN k % 9 END AS "AC_case", CASE WHEN o THEN k % 4 END AS "AC_control", CASE WHEN c THEN 'rs' || k END AS "ID",
+ (CASE WHEN c THEN 1 ELSE 0 END + CASE WHEN o THEN 1 ELSE 0 END) AS calls, 1 AS transcripts FROM v WHERE c OR o""")
+def _(spark, sf):
+    # The cases' lines carry an ID, the controls' do not: they are the same variants all the same.
+    tables, _ = load_case_control(spark, write_vcf(spark, _heading("C1"), _cohort_lines(spark, sf, "k % 2 = 0 OR k % 5 = 0", ["'0/1'"], ident="concat('rs', k)")),
+                                  write_vcf(spark, _heading("K1"), _cohort_lines(spark, sf, "k % 2 = 1", ["'1/1'"], "1", "k % 4")), profile=False)
+    called = tables.paths["sample"].groupBy("variant_key").agg(F.count(F.lit(1)).alias("calls"))
+    lof = tables.paths["LOF"].groupBy("variant_key").agg(F.count(F.lit(1)).cast("int").alias("transcripts"))
+    return tables.base.join(called, "variant_key").join(lof, "variant_key").select((F.col("POS") / 10).cast("long").alias("k"), "AC_case", "AC_control", "ID", "calls", "transcripts")
+
+
+@query("publish_run", f"""WITH {_CASES}, s AS (SELECT k, CASE WHEN k % 3 = 0 THEN '1' ELSE '2' END AS "CHROM", c OR o AS first, k % 3 <> 0 AND k % 2 = 1 AS second FROM v)
+ SELECT k, "CHROM", CASE WHEN first THEN k % 9 END AS "AC_r1", CASE WHEN second THEN k % 4 END AS "AC_r2", concat_ws(',', CASE WHEN first THEN 'r1=' || (k % 50) END, CASE WHEN second THEN 'r2=' || (k % 50) END) AS depths,
+  concat_ws(',', CASE WHEN first THEN 'C1' END, CASE WHEN second THEN 'K1' END) AS samples, CASE WHEN first THEN 1 ELSE 0 END AS transcripts FROM s WHERE first OR second""")
+def _(spark, sf):
+    # A run on one chromosome, without the annotation that the store has, published into the store.
+    lines = _cohort_lines(spark, sf, "(k % 2 = 0 OR k % 5 = 0 OR k % 2 = 1) AND k % 3 = 0", ["'0/1'"]).union(_cohort_lines(spark, sf, "(k % 2 = 0 OR k % 5 = 0 OR k % 2 = 1) AND k % 3 <> 0", ["'0/1'"], "2"))
+    first, _ = load_vcf(spark, write_vcf(spark, _heading("C1"), lines), profile=False)
+    bare = _cohort_lines(spark, sf, "k % 3 <> 0 AND k % 2 = 1", ["'1/1'"], "2", "k % 4").select(F.regexp_replace("value", r";LOF=[^\t]*", "").alias("value"))
+    second, _ = load_vcf(spark, write_vcf(spark, [x for x in _heading("K1") if "ID=LOF" not in x], bare), profile=False)
+    store = folder(spark, "store")
+    write_tables(labelled_run(first, "r1", ["DP"]), store, bucket=5_000)
+    tables = publish_run(spark, store, second, "r2", ["DP"], bucket=5_000)
+    called = tables.paths["sample"].groupBy("variant_key").agg(F.array_join(F.array_sort(F.collect_set("Sample_ID")), ",").alias("samples"))
+    lof = tables.paths["LOF"].groupBy("variant_key").agg(F.count(F.lit(1)).cast("int").alias("transcripts"))
+    depths = F.array_join(F.array_sort(F.transform("DP", lambda e: F.concat(e["DP_label"], F.lit("="), e["DP_value"].cast("string")))), ",")
+    return tables.base.join(called, "variant_key").join(lof, "variant_key", "left").select(
+        (F.col("POS") / 10).cast("long").alias("k"), "CHROM", "AC_r1", "AC_r2", depths.alias("depths"), "samples", F.coalesce("transcripts", F.lit(0)).alias("transcripts"))
