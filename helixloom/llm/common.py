@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,12 +34,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def released(*tables: DataFrame) -> None:
-    """Remove the files of stored tables that nothing reads any more."""
+    """Remove the files of stored tables that nothing reads any more.
+
+    Shuffle files of the plans that wrote them go once the driver has collected those plans, which is asked for here.
+    """
     for table in tables:
-        folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
-        for folder in folders:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        jvm = table.sparkSession._jvm
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def packed(df: DataFrame, *named: tuple[str, F.Column]) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import packed, pieces, stored, texts, unpacked
+from helixloom.llm.common import packed, pieces, released, stored, texts, unpacked
 from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
@@ -265,25 +265,31 @@ def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes with a Jaccard similarity of shingle sets of at least `similarity`. keys: node, set."""
+    """The pairs (a, b) of nodes with a Jaccard similarity of shingle sets of at least `similarity`, stored. keys: node, set."""
     pairs = stored(pairs.distinct(), "pairs")
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
     sets = keys.select("node", "set").join(broadcast_if(is_small(ends), ends), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(sets, "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(k)) for n, k in (("a", "x"), ("b", "y")))
     both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("n") / (F.size("x") + F.size("y") - F.col("n")) >= similarity).select("a", "b")
+    alike = stored(both.filter(F.col("n") / (F.size("x") + F.size("y") - F.col("n")) >= similarity).select("a", "b"), "confirmed")
+    del a, b, both
+    released(pairs, ends, sets)
+    return alike
 
 
 def _first_pass(keys: DataFrame, radius: int) -> DataFrame:
-    """Pairs of nodes by fingerprint: one node of each linked fingerprint, and that one with all others of its fingerprint."""
+    """Stored pairs of nodes by fingerprint: one node of each linked fingerprint, and that one with all others of its fingerprint."""
     named = stored(keys.groupBy("print", "node").agg(F.count(F.lit(1)).alias("n")), "named")
     ones = stored(named.groupBy("print").agg(F.min("node").alias("one")), "ones")
     linked = stored(links(ones.select("print"), radius).distinct(), "near")
     a, b = (ones.select(F.col("print").alias(p), F.col("one").alias(n)) for p, n in (("a", "x"), ("b", "y")))
     far = linked.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = named.join(ones, "print").filter("node <> one").select(F.col("one").alias("a"), F.col("node").alias("b"))
-    return far.unionByName(same)
+    pairs = stored(far.unionByName(same), "first-pass")
+    del a, b, far, same
+    released(named, ones, linked)
+    return pairs
 
 
 def _prefixes(keys: DataFrame, similarity: float) -> DataFrame:
@@ -320,13 +326,14 @@ def _prefixes(keys: DataFrame, similarity: float) -> DataFrame:
 def _unmet_pairs(similarity: float):
     """Rows (token, part, guest, node, root, n, at), sorted so that a part's own members come before its guests.
 
-    A pair of different components is told where the overlap can still suffice with this as its first common shingle.
+    A pair of different components is told where the overlap can still suffice with this as its first common shingle
+    and neither set is too small for the other.
     """
     need = similarity / (1 + similarity)
 
     def met(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         (_, xr, xn, xl), (_, yr, yn, yl) = x.T[:, :, None], y.T[:, None, :]
-        i, j = np.nonzero((xr != yr) & (np.minimum(xl, yl) >= need * (xn + yn) - 1e-9))
+        i, j = np.nonzero((xr != yr) & (np.minimum(xl, yl) >= need * (xn + yn) - 1e-9) & (np.minimum(xn, yn) >= similarity * np.maximum(xn, yn) - 1e-9))
         if len(i):
             a, b = x[i, 0], y[j, 0]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -355,7 +362,7 @@ def _unmet_pairs(similarity: float):
 
 
 def unmet(keys: DataFrame, moved: DataFrame, similarity: float, shard: int = SHARD) -> DataFrame:
-    """Pairs (a, b) of nodes of different components, all that can have the similarity among them.
+    """Stored pairs (a, b) of nodes of different components, all that can have the similarity among them.
 
     keys: node, set; moved: node, root. Shingles that only one component holds lead to no pair, so a large group of near copies
     costs nothing here once it is one component; the members of a shingle that many components hold are split into parts.
@@ -364,24 +371,37 @@ def unmet(keys: DataFrame, moved: DataFrame, similarity: float, shard: int = SHA
     several = prefix.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
     several = stored(several, "several")
     held = stored(prefix.join(broadcast_if(is_small(several), several), "token", "left_semi").distinct(), "held")
+    released(prefix, several)
     named = stored(held.join(moved, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"), "n", "at"), "members")
+    released(held)
     sizes = named.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
     sizes = stored(sizes.select("token", F.ceil(F.col("count") / shard).cast("int").alias("parts")), "sizes")
     met = named.join(broadcast_if(is_small(sizes), sizes), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     asked = met.withColumn("part", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
     asked = asked.select("token", "part", (F.col("part") != F.col("own")).alias("guest"), "node", "root", "n", "at")
-    return (asked.repartition("token", "part").sortWithinPartitions("token", "part", "guest")
-            .mapInArrow(_unmet_pairs(similarity), "a long, b long"))
+    pairs = stored(asked.repartition("token", "part").sortWithinPartitions("token", "part", "guest")
+                   .mapInArrow(_unmet_pairs(similarity), "a long, b long"), "unmet")
+    del met, asked
+    released(named, sizes)
+    return pairs
 
 
 def similar(keys: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of nodes with the similarity. keys: print, node, set."""
-    near = stored(confirmed(_first_pass(keys, radius), keys, similarity), "confirmed")
-    return near.unionByName(confirmed(unmet(keys, components(near), similarity), keys, similarity))
+    first = _first_pass(keys, radius)
+    near = confirmed(first, keys, similarity)
+    moved = components(near)
+    second = unmet(keys, moved, similarity)
+    released(first, moved)
+    far = confirmed(second, keys, similarity)
+    released(second)
+    return near.unionByName(far)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every linked node that is not its component's smallest: large-star and small-star in turn."""
+    """(node, root) for every linked node that is not its component's smallest: large-star and small-star in turn.
+
+    The rounds grow with the logarithm of the longest chain; not to have ended after `rounds` is an error."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -394,11 +414,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours meet at the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stored(small.select("e.*").filter("a <> b").distinct(), "stars")
+        after = stored(small.select("e.*").filter("a <> b").distinct(), "stars")
+        del both, least, large, low, small
+        released(edges)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -457,6 +482,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 12, similarity:
     rows = packed(docs, ("doc_id", F.col("doc_id")), ("h", F.xxhash64("text")))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k"))
     out = gone.unionByName(again)
+    released(keys, nodes, groups, several)
     kept = rows.join(broadcast_if(is_small(out), out), same, "left_anti")
     if not again.isEmpty():
         kept = kept.unionByName(rows.join(broadcast_if(is_small(again), again), same, "left_semi").dropDuplicates(["doc_id", "h"]))
