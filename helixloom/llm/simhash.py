@@ -264,17 +264,71 @@ def links(prints: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
             .mapInArrow(_links(radius), "a long, b long"))
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, bits): whether an odd number of a set's shingles falls on each of 2n to 4n places, a power of two, in 64-bit words."""
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            flat, sizes = part.column(1).flatten().to_numpy(False).view(np.uint64), part.column(1).value_lengths().to_numpy(False).astype(np.int64)
+            words, ends = [np.zeros(0, np.int64)], np.cumsum(sizes)
+            for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                places = 1 << max(6, (2 * (b - a) - 1).bit_length())
+                odd = np.bincount((flat[a:b] & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+                words.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            offsets = np.cumsum([0, *map(len, words[1:])]).astype(np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), bits], ["node", "n", "bits"])
+        pa.default_memory_pool().release_unused()
+
+
+def _hopeful(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets can have the similarity, by an upper bound of their overlap; no pair that has it is left out.
+
+    Places that differ between two parity bitmaps are at most the shingles that only one set holds. The longer bitmap is folded
+    on the length of the shorter one, which keeps that true.
+    """
+    marks = stored(keys.mapInArrow(_parities, "node long, n int, bits array<long>"), "parities")
+    a, b = (marks.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("bits").alias(f"{k}w")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    both = both.filter(F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9)
+    short = F.least(F.size("aw"), F.size("bw"))
+
+    def folded(w: str) -> F.Column:
+        return F.when(F.size(w) == short, F.col(w)).otherwise(
+            F.zip_with(F.slice(w, F.lit(1), short), F.slice(w, short + 1, short), lambda x, y: x.bitwiseXOR(y)))
+
+    # Sizes within a factor of 0.5 have lengths within a factor of two; other pairs are left to the exact check.
+    far = F.aggregate(F.zip_with(folded("aw"), folded("bw"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = F.when(F.greatest(F.size("aw"), F.size("bw")) <= 2 * short, far).otherwise(0)
+    # A similarity s of sets of n and m in all leaves at most (n + m)(1 - s)/(1 + s) shingles that only one set holds.
+    close = apart <= (F.col("an") + F.col("bn")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    out = stored(both.filter(close).select("a", "b"), "hopeful")
+    del a, b, both
+    released(marks)
+    return out
+
+
 def confirmed(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes with a Jaccard similarity of shingle sets of at least `similarity`, stored. keys: node, set."""
+    """The pairs (a, b) of nodes with a Jaccard similarity of shingle sets of at least `similarity`, stored. keys: node, set.
+
+    Bitmaps a few per cent as long as the sets go with all pairs, whole sets only with those the bitmaps leave open.
+    """
+    def of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        return ends, keys.select("node", "set").join(broadcast_if(is_small(ends), ends), "node", "left_semi").dropDuplicates(["node"])
+
     pairs = stored(pairs.distinct(), "pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    sets = keys.select("node", "set").join(broadcast_if(is_small(ends), ends), "node", "left_semi").dropDuplicates(["node"])
+    ends, sets = of(pairs)
+    close = _hopeful(pairs, sets, similarity)
+    del sets
+    released(pairs, ends)
+    ends, sets = of(close)
     sets = stored(sets, "sets")
     a, b = (sets.select(F.col("node").alias(n), F.col("set").alias(k)) for n, k in (("a", "x"), ("b", "y")))
-    both = pairs.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    both = close.join(a, "a").join(b, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     alike = stored(both.filter(F.col("n") / (F.size("x") + F.size("y") - F.col("n")) >= similarity).select("a", "b"), "confirmed")
     del a, b, both
-    released(pairs, ends, sets)
+    released(close, ends, sets)
     return alike
 
 

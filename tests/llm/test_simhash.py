@@ -235,3 +235,21 @@ def test_parts_of_a_common_shingle_tell_the_same_pairs(spark):
         pairs = simhash.unmet(keys, moved, 0.5, shard)
         assert want <= {tuple(r) for r in pairs.distinct().collect()}
         assert {tuple(r) for r in simhash.confirmed(pairs, keys, 0.5).collect()} == want
+
+
+def test_upper_bound_of_the_overlap_loses_no_pair(spark):
+    rng = random.Random(5)
+    sets = []
+    for k in range(60):
+        core = {rng.getrandbits(63) - (1 << 62) for _ in range(20 + 7 * k)}
+        for share in (0.0, 0.05, 0.1, 0.12, 0.3):
+            gone = set(rng.sample(sorted(core), int(share * len(core))))
+            sets.append(sorted(core - gone | {rng.getrandbits(63) for _ in range(rng.randint(0, len(gone)))}))
+    sets += [[], [1], [2]]
+    keys = spark.createDataFrame(list(enumerate(sets)), "node long, set array<bigint>")
+    pairs = [(5 * k + i, 5 * k + j) for k in range(60) for j in range(5) for i in range(j)] + [(5 * k, 5 * k + 5) for k in range(59)] + [(300, 301), (301, 302)]
+    want = {(i, j) for i, j in pairs if sets[i] and len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.8}
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    open_pairs = {tuple(r) for r in simhash._hopeful(asked, keys, 0.8).collect()}
+    assert 100 < len(want) and want <= open_pairs and len(open_pairs - want) < len(set(pairs) - want) / 2
+    assert {tuple(r) for r in simhash.confirmed(asked, keys, 0.8).collect()} == want
