@@ -85,7 +85,9 @@ def _cut(docs: DataFrame, min_docs: int, similarity: float, *columns: tuple[str,
     met = rows.join(gone, F.col("d").eqNullSafe(F.col("doc")) & (F.col("k") == F.col("h")), "left")
     none = F.array().cast("array<int>")
     gone_here = F.coalesce("gone", none)
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(gone_here, i)))
+    # Places that stay, through a hash set: linear in the lines however many go.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     return met.withColumn("n_dropped", F.size(gone_here).cast("long")).withColumn("kept", F.array_join(kept, "\n"))
 
 

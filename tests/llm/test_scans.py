@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -111,3 +112,13 @@ def test_urls_with_repeats_and_clashing_names(spark):
     out = url_filter.judge(df.selectExpr("*", "1 AS host", "2 AS path", "3 AS rule", "4 AS verdict", "5 AS j"), RULES, url_filter.labelled_urls(spark)).collect()
     assert sorted((r.page_id or 0, r.verdict) for r in out) == [(0, "allow"), (1, "block"), (1, "block")]
     assert url_filter.judge(df.limit(0), RULES, url_filter.labelled_urls(spark)).count() == 0
+
+
+def test_document_of_many_dropped_lines(documents):
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    shared = lambda k: k % 3 > 0
+    rows = [(i, "\n".join(f"{word(k)} stands here" if shared(k) else f"{word(k)} {word(i)} alone here" for k in range(20_000))) for i in range(12)]
+    start = time.time()
+    got = line_dedup.deduplicate(documents(rows), min_docs=10, similarity=1.1).orderBy("doc_id").collect()
+    assert time.time() - start < 120
+    assert [r.text for r in got] == ["\n".join(x for x in t.split("\n") if x.endswith("alone here")) for _, t in rows]
