@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from helixloom.llm.common import pieces
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
+# Their content is never markup, so one without an end lasts to the end of the page.
+UNREAD = frozenset("script style textarea title".split())
 BLOCK = frozenset(("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul").split())
 CLOSES_P = BLOCK - {"button", "option", "legend", "summary"}
@@ -34,7 +37,11 @@ OTHER = frozenset(("ad ads adv advert advertisement adverts advertising adsense
                    "notice notices notification alert breadcrumb breadcrumbs comment comments commentlist disqus respond reply replies share sharing social "
                    "related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget pagination pager "
                    "skip legal copyright disclaimer search form tags metadata outbrain taboola").split())
-MAIN = frozenset("article content main post entry story text body articlebody maincontent".split())
+MAIN = frozenset("article content main post entry hentry story text body articlebody maincontent".split())
+COMMENT = frozenset("comment comments commentlist".split())
+# First words of names that state something about an element or its subject, not what it is.
+STATES = frozenset("has no not is with without category tag type format status".split())
+TITLED = frozenset("section p h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 AWAY = frozenset("nav aside footer form menu button dialog fieldset label".split())
 
@@ -48,11 +55,12 @@ _SMALL_PRINT = re.compile(r"©|all rights reserved|cookie", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "depth", "parent", "article", "main", "away", "layout", "link")
+    __slots__ = ("tag", "depth", "parent", "holder", "article", "main", "away", "layout", "link")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.holder: _Element = self if tag in BLOCK or parent is None else parent.holder
         inside = (parent.article, parent.main, parent.away, parent.layout, parent.link) if parent else (False, False, False, False, False)
         self.article, self.main, self.away, self.layout, self.link = inside
         if tag in ("article", "main"):
@@ -61,15 +69,27 @@ class _Element:
         self.away |= tag in AWAY or tag == "header" and not self.article
         if attributes and tag not in ("html", "body"):
             words: set[str] = set()
+            said: list[set[str]] = []
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
                 if name in ("class", "id"):
-                    words.update(w.lower() for w in _WORD.findall(value))
+                    for one in value.split():
+                        parts = [w.lower() for w in _WORD.findall(one)]
+                        words.update(parts)
+                        # Ids of parts of an article are made from their titles.
+                        titled = name == "id" and self.article and tag in TITLED and not OTHER.issuperset(parts)
+                        if parts and parts[0] not in STATES and not titled:
+                            said.append(set(parts))
                 elif name == "role":
                     self.away |= value.lower() in ROLES
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
                     self.away = True
-            self.away |= bool(words & OTHER)
+            # Where the tag or a whole name says main text, a word in a longer name does not outweigh it; comments can be articles too.
+            named = any(w <= MAIN for w in said)
+            if named or tag in ("article", "main"):
+                self.away |= any(w <= OTHER or not named and w & COMMENT for w in said)
+            else:
+                self.away |= any(w & OTHER for w in said)
             self.layout |= bool(words & LAYOUT) and not words & MAIN
             self.main |= bool(words & MAIN)
 
@@ -87,6 +107,8 @@ class _Block:
 def page_blocks(page: str) -> list[_Block]:
     """Blocks with text, in page order."""
     at, stack, out = 0, [], []
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     block: _Block | None = None
 
     def took(text: str) -> None:
@@ -96,8 +118,7 @@ def page_blocks(page: str) -> list[_Block]:
         if block is None:
             if text.isspace():
                 return
-            holder = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0] if stack else None)
-            block = _Block(holder)
+            block = _Block(stack[-1].holder if stack else None)
         block.parts.append(text)
         size = len(text) - text.count(" ")
         block.chars += size
@@ -112,6 +133,10 @@ def page_blocks(page: str) -> list[_Block]:
                 out.append(block)
             block = None
 
+    def shut(depth: int) -> None:
+        opened.subtract(e.tag for e in stack[depth:])
+        del stack[depth:]
+
     find = _MARKUP.search
     while (m := find(page, at)) is not None:
         took(page[at:m.start()])
@@ -124,38 +149,43 @@ def page_blocks(page: str) -> list[_Block]:
                 ended()
             elif tag in ("td", "th"):
                 took(" ")
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened[tag]:
+                shut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not m[3].endswith("/") and tag not in unclosed:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                if close:
+                    at = close.end()
+                elif tag in UNREAD:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             continue
         if tag in BLOCK:
             ended()
             if tag in CLOSES_P:
-                _closed(stack, "p", ("td", "th"))
+                shut(_closed(stack, "p", ("td", "th")) if opened["p"] else len(stack))
             if tag == "li":
-                _closed(stack, "li", ("ul", "ol", "menu"))
+                shut(_closed(stack, "li", ("ul", "ol", "menu")) if opened["li"] else len(stack))
         elif tag in ("br", "td", "th"):
             took(" ")
         if tag not in VOID:
             stack.append(_Element(tag, m[3], stack[-1] if stack else None))
+            opened[tag] += 1
     took(page[at:])
     ended()
     return out
 
 
-def _closed(stack: list[_Element], tag: str, bounds: tuple[str, ...]) -> None:
-    """End an open element of this name, if there is one inside the nearest bound."""
+def _closed(stack: list[_Element], tag: str, bounds: tuple[str, ...]) -> int:
+    """Depth of the open element of this name that ends here; that of the whole stack if none is inside the nearest bound."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i].tag == tag:
-            del stack[i:]
-            return
+            return i
         if stack[i].tag in bounds or stack[i].tag in BLOCK and stack[i].tag != "p" and tag == "p":
-            return
+            break
+    return len(stack)
 
 
 def log_odds(block: _Block, has_article: bool = False) -> float:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,3 +143,29 @@ def test_page_of_many_blocks():
     assert html_extract.main_text(page) == "\n".join(paragraphs)
     soup = "<body>" + "".join(f"<div>{'word ' * (i % 9)}</div>" for i in range(3000))
     assert isinstance(html_extract.main_text(soup), str)
+
+
+SAID = "<p>The first sentence of the story is long enough to be read as a sentence.<p>A second one goes on from there for a while.<p>A third ends it."
+
+
+@pytest.mark.parametrize("names", ["post has-comments", "post category-legal", "hentry tag-search", "post type-post comments-open", "entry-content no-related",
+                                   "social-science story", "legal-history"])
+def test_a_word_in_a_name_does_not_empty_an_article(names):
+    want = SAID[3:].replace("<p>", "\n")
+    assert html_extract.main_text(f"<body><nav class=menu><a href=/>Home</a></nav><article class='{names}'>{SAID}</article><footer>About us</footer>") == want
+    assert html_extract.main_text(f"<body><article><section id='search-methods'>{SAID}</section></article>") == want
+
+
+@pytest.mark.parametrize("names", ["comment", "comment-body", "post ad", "related", "sponsored"])
+def test_comments_and_adverts_that_are_articles_go(names):
+    main = f"<article class=post>{SAID}</article>"
+    assert html_extract.main_text(f"<body>{main}<article class='{names}'><p>Other words stand here, and there are quite many of them, too.</article>") == SAID[3:].replace("<p>", "\n")
+
+
+def test_broken_markup_takes_linear_time_and_swallows_nothing():
+    text = html_extract.main_text(f"<body><article>{SAID}<select><option>a<p>The fourth sentence stands after a list without an end.</article>")
+    assert text.endswith("The fourth sentence stands after a list without an end.") and text.startswith("The first")
+    for page in ("<div>" * 50_000 + "</b>" * 50_000, "<span>" * 50_000 + "a<br>" * 50_000, "<select>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000):
+        start = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - start < 10
