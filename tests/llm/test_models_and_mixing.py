@@ -49,6 +49,33 @@ def test_quality_edges(spark, documents, clash):
     assert quality.annotate(documents([]), known).count() == 0
 
 
+def test_cotraining_guesses_over_all_documents(spark, documents):
+    """Documents that no label covers teach the views, also a kind that is rarer than any sample of documents would show."""
+    rows, labels = corpus(400)
+    rare = [(1_000 + i, "zq zq zq zq " * 40 if i % 2 else rows[i + 1][1], "en", "rare", 0) for i in range(0, 24)]
+    known = spark.createDataFrame(labels[:160] + [(300, None, 0)], LABEL)
+    df = documents(rows + rare + [(None, "x", None, None, 0), (170, rows[170][1], "en", "s1", 0)])
+    good = known.filter("quality is not null").select("doc_id", known.quality.cast("double").alias("y"))
+    views, y, _ = quality._sampled(df, good.selectExpr("doc_id", "y", "-1 as v"))
+    assert len(y) == 160 and not np.isnan(y).any()
+    w = [quality.fit_logistic(v, y) for v in views]
+    share = float(y.mean())
+    (text, ty), (meta, my) = quality._spark_guesses(df, good, 10_000)(w, share, 9)
+    # Without a bound to reach, the guesses are those of all unlabelled documents scored at hand; the repeated row counts in the quantiles.
+    odds = {}
+    for i, t, a, b, _ in rows[160:] + rare:
+        odds[i] = [quality._score(quality.text_view(t.encode()), w[0]), quality._score(quality.meta_view(t.encode(), a, b), w[1])]
+    for teacher, got in ((0, my), (1, ty)):
+        ranked = sorted([o[teacher] for o in odds.values()] + [odds[170][teacher]])
+        cut = ranked[math.ceil((1 - share) * len(ranked)) - 1]
+        assert (got == 1).sum() == sum(o[teacher] >= max(cut, quality.SURE) for o in odds.values()) > 0
+        assert (got == 0).sum() == sum(o[teacher] <= min(cut, -quality.SURE) for o in odds.values())
+    few = quality._spark_guesses(df, good, 20)(w, share, 9)
+    assert all(len(got) <= 21 for _, got in few)
+    out = {r.doc_id: r.keep for r in quality.annotate(df, known).collect()}
+    assert np.mean([out[i] == bool(q) for i, q, _ in labels[160:]]) > 0.95
+
+
 def test_cotraining_learns_from_the_other_view():
     rng = np.random.default_rng(3)
     y = (np.arange(400) % 3 > 0).astype(float)
