@@ -143,6 +143,48 @@ def _(spark, sf):
     return R.apply_reviews(base, approved.unionByName(gone).unionByName(again)).select("group", "document", "status")
 
 
+# Events as reviews of users: errors reject, views take reviews back, all else approves. Two events share a time.
+_REVIEW_EVENTS = """v AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'clinic' ELSE 'lab' END AS "group", user_id AS document,
+  CASE event_type WHEN 'error' THEN 'Rejected' WHEN 'view' THEN 'Delete' ELSE 'Approved' END AS status,
+  'curator' || (event_id % 7) AS reviewer, event_id // 2 AS ts FROM events)"""
+
+
+def _history(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "Rejected").when(F.col("event_type") == "view", "Delete").otherwise("Approved")
+    return R.review_history(table(spark, sf, "events").select(
+        F.when(F.col("event_id") % 3 == 0, "clinic").otherwise("lab").alias("group"), F.lit("users").alias("dataset"), F.col("user_id").alias("document"),
+        kind.alias("status"), F.lit(None).cast("string").alias("description"),
+        F.concat(F.lit("curator"), F.col("event_id") % 7).alias("reviewer"), F.expr("event_id div 2").alias("ts")))
+
+
+# A change is an event whose last predecessor at an earlier time had another status.
+@query("review_history", f"""WITH {_REVIEW_EVENTS},
+ one AS (SELECT "group", document, ts, max(status) AS status, max_by(reviewer, (status, reviewer)) AS reviewer FROM v GROUP BY ALL),
+ c AS (SELECT *, lag(status) OVER (PARTITION BY "group", document ORDER BY ts) AS b FROM one),
+ d AS (SELECT * FROM c WHERE b IS DISTINCT FROM status)
+ SELECT "group", document, status, reviewer, ts AS valid_from, (SELECT min(e.ts) FROM d e WHERE e."group" = d."group" AND e.document = d.document AND e.ts > d.ts) AS valid_to
+ FROM d WHERE status <> 'Delete'""")
+def _(spark, sf):
+    return _history(spark, sf).select("group", "document", "status", "reviewer", "valid_from", "valid_to")
+
+
+@query("exclude_rejected_as_of", f"""WITH {_REVIEW_EVENTS},
+ l AS (SELECT document, max_by(status, (ts, status)) AS status FROM v WHERE "group" = 'lab' AND ts <= 200 GROUP BY document)
+ SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT document FROM l WHERE status = 'Rejected')""")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id")
+    return R.exclude_rejected(rows, _history(spark, sf), "lab", "user_id", "users", as_of=200)
+
+
+@query("review_at_row_time", f"""WITH {_REVIEW_EVENTS},
+ one AS (SELECT document, ts, max(status) AS status FROM v WHERE "group" = 'clinic' GROUP BY ALL),
+ e AS (SELECT event_id, user_id, event_id // 2 AS ts FROM events)
+ SELECT event_id, user_id, nullif(status, 'Delete') AS status FROM e ASOF LEFT JOIN one ON e.user_id = one.document AND e.ts >= one.ts""")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.expr("event_id div 2").alias("at"))
+    return R.review_at(rows, _history(spark, sf), "clinic", "users", "user_id", "at").select("event_id", "user_id", "status")
+
+
 @query("reviews_for_groups", f"""WITH {_REVIEWS} SELECT document, status FROM r WHERE "group" IN ('clinic')""")
 def _(spark, sf):
     return R.reviews_for(_reviews(spark, sf), ["clinic"]).select("document", "status")
