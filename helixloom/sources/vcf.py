@@ -228,7 +228,7 @@ def normalize_variants(raw: DataFrame, rule: str = "base", sep: str = "_", key_p
     typed = raw.select(
         variant_key(F.col("CHROM"), F.col("POS"), F.col("REF"), F.col("ALT"), F.col("ID"), *[F.lit(k) for k in key_parts]).alias("variant_key"),
         display_id("CHROM", "POS", "REF", "ALT", sep).alias("Variant"),
-        "CHROM", parse_int("POS").cast("int").alias("POS"), identified.alias("ID"), "REF", "ALT",
+        "CHROM", parse_int("POS").alias("POS"), identified.alias("ID"), "REF", "ALT",
         F.when(F.col("QUAL") == ".", F.lit(V.DEFAULT_QUAL)).otherwise(parse_float("QUAL")).alias("QUAL"),
         to_list("FILTER", ";").alias("FILTER"),
         F.when(identified.startswith("rs"), F.split(identified, ";")).alias("dbSNP_ID"),

@@ -40,7 +40,7 @@ class Tables:
 
 
 def bucket_of(size: int) -> Column:
-    return F.floor(F.col("POS") / size).cast("int")
+    return F.floor(F.col("POS") / size)
 
 
 def write_warehouse(df: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None, bucket: int | None = None) -> None:
@@ -102,7 +102,7 @@ def read_stored(spark: SparkSession, path: str, name: str) -> DataFrame:
         told = T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schemas/{name}").first()[0]))
         kept = T.StructType([f for f in told.fields if f.name != "CHROM"])
     # CHROM is a directory name and would be guessed as a number: the schema says that it is text.
-    kept = T.StructType([*kept.fields, T.StructField("CHROM", T.StringType()), *([T.StructField(BUCKET, T.IntegerType())] if BUCKET in found.columns else [])])
+    kept = T.StructType([*kept.fields, T.StructField("CHROM", T.StringType()), *([T.StructField(BUCKET, T.LongType())] if BUCKET in found.columns else [])])
     return spark.read.schema(kept).parquet(f"{path}/{name}")
 
 
@@ -174,7 +174,7 @@ def warehouse_schema(catalog: Catalog, annot: str | None = None, case_control: b
     """
     strings = T.ArrayType(T.StringType())
     fields: dict[str, T.DataType] = {
-        "Variant": T.StringType(), "CHROM": T.StringType(), "POS": T.IntegerType(), "ID": T.StringType(),
+        "Variant": T.StringType(), "CHROM": T.StringType(), "POS": T.LongType(), "ID": T.StringType(),
         "REF": T.StringType(), "ALT": T.StringType(), "VariantType": T.StringType(), "dbSNP_ID": strings, "COSMIC_ID": strings,
     }
     metrics = {"QUAL": T.DoubleType(), "FILTER": strings}

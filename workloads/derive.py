@@ -53,7 +53,7 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
     """One variant per part: key, position, alleles, gene and a loss-of-function flag."""
     k = F.col("p_partkey")
     return table(spark, sf, "part").select(
-        k.alias("variant_key"), _pick(CHROMS, k % 6).alias("CHROM"), (k * 20000).cast("int").alias("POS"),
+        k.alias("variant_key"), _pick(CHROMS, k % 6).alias("CHROM"), (k * 20000).alias("POS"),
         _pick(BASES, k % 4).alias("REF"), _pick(BASES, (k + 1 + k % 3) % 4).alias("ALT"),
         F.col("p_brand").alias("gene"), ((k / 6).cast("long") % 3 != 0).alias("lof"), F.col("p_size").alias("p_size"),
         F.col("p_retailprice").alias("p_retailprice"), F.col("p_type").alias("p_type"))
