@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # A pedigree row is a few hundred bytes, so this stays well below the 8 GB broadcast limit.
 BROADCAST_ROWS = 200_000
+# Narrow rows that one task gathers, joins and makes distinct, at some 600 bytes of its memory each.
+ROWS_PER_PART = 500_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -31,6 +33,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def parts_for(*tables: DataFrame) -> int:
+    """Partitions in which rows of these tables meet by key, so that a task's share does not grow with the tables.
+
+    Adaptive execution sizes partitions by their compressed bytes, and millions of narrow rows fit in
+    one. This counts the rows: give it tables whose count is cheap.
+    """
+    cores = tables[0].sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-sum(t.count() for t in tables) // ROWS_PER_PART))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder driver and executors share, as the session names it. Its owner removes what is in it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

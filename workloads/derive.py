@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixloom.functions import vocab as V
-from helixloom.operators.sizing import spread
+from helixloom.operators.sizing import parts_for, spread
 from helixloom.sources.warehouse import Tables
 
 # The five trios: family, child sex, phenotypes of child, father, mother.
@@ -38,9 +38,10 @@ def nested_orders(spark: SparkSession, sf: str, fields: list[str] | None = None)
     """The array layout of the same documents."""
     from helixloom.operators.nesting import nest
 
-    lines = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    docs = nest(lines, ["o_orderkey"], "line", fields or LINE_FIELDS)
-    return table(spark, sf, "orders").join(docs, "o_orderkey", "left")
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    wanted = fields or LINE_FIELDS
+    met = lines.select("o_orderkey", *wanted).repartition(parts_for(orders, lines), "o_orderkey")
+    return orders.join(nest(met, ["o_orderkey"], "line", wanted), "o_orderkey", "left")
 
 
 # --- cohort ------------------------------------------------------------------------------
