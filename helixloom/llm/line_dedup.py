@@ -13,6 +13,9 @@ Copies of a line merge before they are shuffled, so a line in a third of all doc
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,19 @@ DEPTH = 3
 MIN_DOCS = 10
 SIMILARITY = 0.5
 FIELD = "<*>"
-ODD_SPACE = r"[\x09-\x0D]|[\x20\x09-\x0D]{2}"
+# What a line has unless its tokens are parted by single spaces.
+ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
+
+
+def even(line: Column) -> Column:
+    """Tokens parted by one space."""
+    odd = reduce(or_, [line.contains(x) for x in ODD_SPACE])
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def masked(line: Column) -> Column:
-    """Tokens parted by one space, with `<*>` for those that hold a digit."""
-    even = F.trim(F.when(line.rlike(ODD_SPACE), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(even)
+    """Tokens parted by one space, with `<*>` for those that hold a digit. `line` is `even`."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
 
 
 def _leaf(line: Column) -> Column:
@@ -40,6 +49,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _masked(text: Column) -> Column:
+    """Masked lines of a text. A function of a list's members computes what it names anew at each place, so each step is a list of its own."""
+    return F.transform(F.transform(_lines(text), even), masked)
+
+
 def _key(line: Column) -> Column:
     """Leaf and hash of a line; null for a blank one."""
     return F.when(line != "", F.struct(_leaf(line).alias("leaf"), F.xxhash64(line).alias("line")))
@@ -52,7 +66,7 @@ def recurring(docs: DataFrame, keyed: DataFrame, min_docs: int, similarity: floa
     alone = counted.filter(F.col("n") >= min_docs).select("leaf", "line")
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     open_leaves = stored(leaves.filter((F.col("kinds") > 1) & (F.col("n") >= min_docs) & (F.col("least") < min_docs)).select("leaf"), "leaves")
-    words = docs.select(F.explode(F.filter(F.transform(_lines(F.col("text")), masked), lambda x: x != "")).alias("said"))
+    words = docs.select(F.explode(F.filter(_masked(F.col("text")), lambda x: x != "")).alias("said"))
     words = words.withColumn("leaf", _leaf(F.col("said"))).join(open_leaves, "leaf", "left_semi")
     said = words.groupBy("leaf", F.xxhash64("said").alias("line")).agg(F.first("said").alias("said"))
     tokens = stored(said.join(counted, ["leaf", "line"]).select("leaf", "line", "n", F.posexplode(F.split("said", " ")).alias("place", "token")), "tokens")
@@ -73,7 +87,7 @@ def recurring(docs: DataFrame, keyed: DataFrame, min_docs: int, similarity: floa
 def _places(docs: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """(doc, h, gone): places of the lines to drop, per document that has any."""
     keyed = stored(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("h"), F.transform(
-        F.transform(_lines(F.col("text")), masked), _key).alias("keys")), "keys")
+        _masked(F.col("text")), _key).alias("keys")), "keys")
     dropped = recurring(docs, keyed, min_docs, similarity)
     every = keyed.dropDuplicates(["doc", "h"]).select("doc", "h", F.posexplode("keys").alias("place", "k")).filter("k is not null")
     return every.select("doc", "h", "place", "k.*").join(dropped, ["leaf", "line"]).groupBy("doc", "h").agg(F.collect_set("place").alias("gone"))
