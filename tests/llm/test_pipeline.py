@@ -6,7 +6,7 @@ import pytest
 from test_simhash import plain_print
 
 import corpus_pipeline
-from helixloom.llm import mixing
+from helixloom.llm import mixing, quality, simhash
 from helixloom.llm.decontaminate import words_of
 
 
@@ -81,3 +81,21 @@ def test_mix_uses_every_document_and_its_quota(stages):
 def test_run_is_its_stages(spark, sf, stages):
     key = lambda d: sorted((r.doc_id, r.mix.epoch) for r in d.collect())
     assert key(corpus_pipeline.run(spark, sf)) == key(stages[-1][1])
+
+
+def test_stages_bound_their_batches_by_themselves(spark, documents, tmp_path, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+    keep = {"quality": quality.stored, "simhash": simhash.stored}
+    for module in (quality, simhash):
+        def told(df, what, module=module):
+            seen.append((module.__name__.rsplit(".", 1)[1], spark.conf.get(name, None)))
+            return keep[seen[-1][0]](df, what)
+
+        monkeypatch.setattr(module, "stored", told)
+    docs = documents([(i, " ".join(f"w{i * i}x{k}" for k in range(20 + i % 9))) for i in range(40)])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for label, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, docs, str(tmp_path)).count() <= 40
+        assert spark.conf.get(name, None) == before, label
+    assert {m for m, _ in seen} == {"quality", "simhash"} and {size for _, size in seen} == {"4m"}
