@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -50,15 +51,40 @@ def released(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
-    """Python workers of plans that run inside get their rows in Arrow batches of about this size (at least one row each)."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+def small_batches(spark: SparkSession, size: str = "4m", rows: int = 512) -> Iterator[None]:
+    """Python workers of plans that run inside get their rows in Arrow batches of about this size (at least one row each).
+
+    Readers of Parquet files decode that many rows at a time: 4096 rows of long texts or shingle sets are tens of megabytes a column.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def give_back() -> None:
+    """Memory that this Python process has freed goes back to the system.
+
+    Spark keeps a Python worker for later tasks, several of them a core where a plan has several functions, and an idle one holds
+    what its last batch took.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(batches: Iterator) -> Iterator:
+    """The batches of a task. At their end memory is given back, with the last batch if whoever reads them has let go of it."""
+    for batch in batches:
+        yield batch
+        batch = None
+    give_back()
 
 
 def packed(df: DataFrame, *named: tuple[str, F.Column]) -> DataFrame:
@@ -83,6 +109,7 @@ def pieces(batches: Iterator[pa.Array], step: int = 512) -> Iterator[pa.Array]:
     for column in batches:
         for at in range(0, len(column), step):
             yield column.slice(at, step)
+        column = None
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.llm.common import WHITE, packed, stored, texts, unpacked
+from helixloom.llm.common import WHITE, lean, packed, stored, texts, unpacked
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 29
@@ -33,8 +33,9 @@ SEGMENT = 1 << 13
 @F.arrow_udf(T.StringType())
 def _digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """SHA-256 of the text without white space."""
-    for column in batches:
+    for column in lean(batches):
         yield pa.array([hashlib.sha256(t.translate(None, WHITE)).hexdigest() for t in texts(column)], pa.string())
+        column = None
 
 
 # Not deterministic in name only, so that the plan never computes it twice for one row.

@@ -14,7 +14,7 @@ reads all rows and whole texts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixloom.llm.common import fit_logistic, packed, released, stored, texts, unpacked
+from helixloom.llm.common import fit_logistic, lean, packed, released, stored, texts, unpacked
 
 LABELLED = 3_000
 POOL = 3_000
@@ -128,13 +128,22 @@ def judge(model: dict, x: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.stack([*odds, both], axis=1), -30, 30)))
 
 
+def _rows(columns: tuple[pa.Array, pa.Array, pa.Array]) -> Iterator[tuple[bytes, str | None, str | None]]:
+    """Text, lang and source, a few texts at a time."""
+    text, lang, source = columns
+    return zip(texts(text), lang.to_pylist(), source.to_pylist())
+
+
 @F.arrow_udf(T.StructType().add("x", T.BinaryType()).add("m", T.BinaryType()))
-def _features(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+def _features(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Both views as half-precision numbers, to keep the sample small."""
-    rows = list(zip(texts(text), lang.to_pylist(), source.to_pylist()))
-    x = [text_view(t).astype(np.float16).tobytes() for t, _, _ in rows]
-    m = [meta_view(t, a, b).astype(np.float16).tobytes() for t, a, b in rows]
-    return pa.StructArray.from_arrays([pa.array(x, pa.binary()), pa.array(m, pa.binary())], ["x", "m"])
+    for columns in lean(batches):
+        x, m = [], []
+        for t, a, b in _rows(columns):
+            x.append(text_view(t).astype(np.float16).tobytes())
+            m.append(meta_view(t, a, b).astype(np.float16).tobytes())
+        yield pa.StructArray.from_arrays([pa.array(x, pa.binary()), pa.array(m, pa.binary())], ["x", "m"])
+        columns = x = m = None
 
 
 def _sampled(docs: DataFrame, wanted: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -159,11 +168,13 @@ def _log_odds(docs: DataFrame, w: list[np.ndarray]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(w)
 
     @F.arrow_udf("struct<t: double, m: double>")
-    def of(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
-        t, m = np.zeros(len(text)), np.zeros(len(text))
-        for i, (b, k, s) in enumerate(zip(texts(text), lang.to_pylist(), source.to_pylist())):
-            t[i], m[i] = _score(text_view(b), sent.value[0]), _score(meta_view(b, k, s), sent.value[1])
-        return pa.StructArray.from_arrays([pa.array(t), pa.array(m)], ["t", "m"])
+    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in lean(batches):
+            t, m = np.zeros(len(columns[0])), np.zeros(len(columns[0]))
+            for i, (b, k, s) in enumerate(_rows(columns)):
+                t[i], m[i] = _score(text_view(b), sent.value[0]), _score(meta_view(b, k, s), sent.value[1])
+            yield pa.StructArray.from_arrays([pa.array(t), pa.array(m)], ["t", "m"])
+            columns = None
 
     odds = of.asNondeterministic()(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"))
     return docs.filter("doc_id is not null").select("doc_id", odds.alias("o")).select("doc_id", "o.t", "o.m")
@@ -209,11 +220,13 @@ def scores(docs: DataFrame, model: dict | None):
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<p_text: double, p_meta: double, score: double>")
-    def of(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
-        out = np.zeros((len(text), 3))
-        for i, (t, a, b) in enumerate(zip(texts(text), lang.to_pylist(), source.to_pylist())):
-            out[i] = judge(sent.value, text_view(t)[None], meta_view(t, a, b)[None])[0]
-        return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(3)], ["p_text", "p_meta", "score"])
+    def of(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in lean(batches):
+            out = np.zeros((len(columns[0]), 3))
+            for i, (t, a, b) in enumerate(_rows(columns)):
+                out[i] = judge(sent.value, text_view(t)[None], meta_view(t, a, b)[None])[0]
+            yield pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(3)], ["p_text", "p_meta", "score"])
+            columns = None
 
     return of.asNondeterministic()(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"))
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import packed, pieces, released, stored, texts, unpacked
+from helixloom.llm.common import give_back, lean, packed, pieces, released, stored, texts, unpacked
 from helixloom.operators.sizing import broadcast_if, is_small
 
 SHARD = 2048
@@ -87,9 +87,10 @@ def fingerprints(text: F.Column, shingle: int = 3) -> F.Column:
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in lean(batches):
             prints = np.fromiter((fingerprint(t, shingle) for t in texts(column)), np.uint64, len(column))
             yield pa.array(prints.view(np.int64))
+            column = None
 
     return of(text)
 
@@ -99,7 +100,7 @@ def shingle_sets(text: F.Column, shingle: int) -> F.Column:
 
     @F.arrow_udf("struct<print: bigint, node: bigint, set: array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in pieces(batches):
+        for column in pieces(lean(batches)):
             prints, nodes, sets = [], [], []
             for t in texts(column):
                 runs = list(shingle_hashes(t, shingle))
@@ -109,6 +110,7 @@ def shingle_sets(text: F.Column, shingle: int) -> F.Column:
             yield pa.StructArray.from_arrays([
                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 pa.array(sets, pa.list_(pa.int64()))], ["print", "node", "set"])
+            column = prints = nodes = sets = None
 
     return of.asNondeterministic()(text)
 
@@ -232,6 +234,9 @@ def _links(radius: int):
         if own and tree is None:
             grown()
             yield flushed()
+        tree, labels = None, None
+        own.clear()
+        give_back()
 
     return run
 
@@ -278,7 +283,7 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.cumsum([0, *map(len, words[1:])]).astype(np.int32)
             bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(words)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), bits], ["node", "n", "bits"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _hopeful(pairs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
@@ -372,7 +377,7 @@ def _prefixes(keys: DataFrame, similarity: float) -> DataFrame:
                 at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
                 cols = np.repeat(part.column(0).to_numpy(False), lens), np.repeat(sizes, lens).astype(np.int32), at.astype(np.int32), np.concatenate(first)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "n", "at", "token"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return keys.select("node", "set").mapInArrow(run, "node long, n int, at int, token long")
 
@@ -411,6 +416,7 @@ def _unmet_pairs(similarity: float):
                     yield from met(new, own)
                 for at in range(split, b, 256):
                     yield from met(rows[at:min(b, at + 256)], own)
+            give_back()
 
     return run
 
