@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import packed, texts, unpacked
+from helixloom.llm.common import lean, packed, texts, unpacked
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -98,7 +98,7 @@ def _found(spark, tables: dict):
 
     @F.arrow_udf(FOUND_TYPE)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in lean(batches):
             n, hits, items = [], [], []
             for text in texts(column):
                 words = words_of(text)
@@ -109,6 +109,7 @@ def _found(spark, tables: dict):
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
                 ["n_words", "hits", "items"])
+            column = n = hits = items = None
 
     return of.asNondeterministic()
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,28 @@ def maybe_repeated(spark, bloom: np.ndarray, digest: Column) -> Column:
     return in_filter.asNondeterministic()(*_cells(digest, len(bloom) * 8))
 
 
+def _judged(spark, bloom: np.ndarray, text: Column) -> Column:
+    """Digest, and whether both of its cells are in the filter, by one function: two in a row would take two Python workers a task."""
+    sent = spark.sparkContext.broadcast(bloom)
+
+    @F.arrow_udf("struct<digest: string, maybe: boolean>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = sent.value
+        last = len(table) * 8 - 1  # the number of cells is a power of two
+        for column in lean(batches):
+            digests, maybe = [], []
+            for t in texts(column):
+                digests.append(hashlib.sha256(t.translate(None, WHITE)).hexdigest())
+                # Spark's xxhash64 of the digest, and of the digest and the integer 1, as in _cells.
+                h = xxhash.xxh64_intdigest(digests[-1], 42)
+                cells = h & last, xxhash.xxh64_intdigest(b"\x01\0\0\0", h) & last
+                maybe.append(all(int(table[c >> 3]) >> (c & 7) & 1 for c in cells))
+            yield pa.StructArray.from_arrays([pa.array(digests, pa.string()), pa.array(maybe, pa.bool_())], ["digest", "maybe"])
+            column = None
+
+    return of.asNondeterministic()(text)
+
+
 def annotate(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -108,8 +131,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = docs.select(text_digest(text).alias("digest"))
     bloom = repeat_filter(digests, docs.count())
-    rows = packed(docs, ("digest", text_digest(text)), ("size", F.char_length(text)), ("doc_id", F.col("doc_id")))
-    rows = rows.withColumn("maybe", maybe_repeated(spark, bloom, F.col("digest")))
+    rows = packed(docs, ("judged", _judged(spark, bloom, text)), ("size", F.char_length(text)), ("doc_id", F.col("doc_id")))
+    rows = rows.select("row", "size", "doc_id", "judged.digest", "judged.maybe")
     # Rows that tie in length and doc_id differ in white space or other columns only; their JSON decides.
     rank = F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.to_json("row").alias("rest"))
     many = rows.filter("maybe").withColumn("rank", rank).groupBy("digest").agg(F.min_by("row", "rank").alias("row"))

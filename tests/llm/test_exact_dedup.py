@@ -68,3 +68,21 @@ def test_deduplicate_keeps_columns_and_one_row(documents, clash):
     assert out.columns == df.columns
     want = sorted((k for k in brute(ROWS) if k[3]), key=repr)
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted((k[0] for k in want), key=repr)
+
+
+def test_rows_are_judged_as_by_the_two_functions(spark, documents):
+    rows = documents([(i, f"text {i % 700} \u00e9" if i % 3 else f"only {i}") for i in range(1500)] + [(2000, ""), (2001, None), (2002, " \n")])
+    text = F.coalesce("text", F.lit(""))
+    bloom = exact_dedup.repeat_filter(rows.select(exact_dedup.text_digest(text).alias("digest")), 1503)
+    one = rows.select("doc_id", exact_dedup._judged(spark, bloom, text).alias("j")).select("doc_id", "j.*").collect()
+    digests = rows.select("doc_id", exact_dedup.text_digest(text).alias("digest"))
+    two = digests.withColumn("maybe", exact_dedup.maybe_repeated(spark, bloom, F.col("digest"))).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    assert 0 < sum(r.maybe for r in one) < len(one)
+
+
+def test_one_python_function_a_task(spark, documents):
+    """Functions in a row take a Python worker each, which stays when the task is over."""
+    plan = exact_dedup.deduplicate(documents([(1, "a"), (2, "a"), (3, "b")]))._jdf.queryExecution().optimizedPlan().toString()
+    branches = plan.split("Union", 1)[1].count("ArrowEvalPython")
+    assert branches == 2, plan
