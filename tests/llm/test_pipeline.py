@@ -99,3 +99,23 @@ def test_stages_bound_their_batches_by_themselves(spark, documents, tmp_path, mo
         assert stage(spark, docs, str(tmp_path)).count() <= 40
         assert spark.conf.get(name, None) == before, label
     assert {m for m, _ in seen} == {"quality", "simhash"} and {size for _, size in seen} == {"4m"}
+
+
+def test_decontamination_sends_small_batches_whoever_writes_its_result(spark, documents, tmp_path, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, keep = spark.conf.get(name, None), corpus_pipeline.stored
+
+    def told(df, what):
+        seen.append(spark.conf.get(name, None))
+        return keep(df, what)
+
+    monkeypatch.setattr(corpus_pipeline, "stored", told)
+    passage = " ".join(f"q{k}" for k in range(12))
+    docs = documents([(1, f"x {passage} y"), (2, "x y z"), (2, "x y z"), (None, None), (4, passage[:20])])
+    spark.createDataFrame([(7, passage), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    label, stage = corpus_pipeline.STAGES[3]
+    out = stage(spark, docs, str(tmp_path))
+    assert seen == ["4m"] and spark.conf.get(name, None) == before, label
+    # No text is sent to Python by the plan that the caller writes.
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, (r.doc_id for r in out.collect()))) == ["2", "2", "4", "None"]
